@@ -1,0 +1,6 @@
+"""The registered queries, by area."""
+
+from query_suite import analysis, sequences
+from query_suite.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "analysis", "sequences"]

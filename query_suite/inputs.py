@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 ORDER = ["row_id", "l_partkey", "l_suppkey", "activity"]
 
 
+def tune(spark: SparkSession) -> None:
+    """Let wide projections fall back to many small methods that the JVM compiles to machine code."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,13 +1,12 @@
 """Sequence descriptors as native column expressions: one narrow projection, no shuffle.
 
 Work is layered so that nothing is computed twice: residue counts first, then everything that is
-arithmetic on counts, then the three order-dependent descriptors (hydrophobic moment, instability
-index, isoelectric point), which need higher-order functions.
+arithmetic on counts. Hydrophobic moment, instability index and isoelectric point come from Arrow
+functions (see `ordered`).
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -15,9 +14,13 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua.functions import constants as K
-from residua.functions.sequences import clean_sequence, residue_code, residues
-
-LATIN = [chr(65 + i) for i in range(26)]
+from residua.functions.ordered import (
+    hydrophobic_moment,
+    instability_index,
+    isoelectric_point,
+    pair_frequencies,
+)
+from residua.functions.sequences import clean_sequence, has_residues
 
 BASE_DESCRIPTORS = (
     "Length", "MolecularWeight", "Aromaticity", "Hydrophobicity_KD", "NetCharge_pH7",
@@ -109,23 +112,6 @@ class CountedSequence:
         ]
         return _total(positive) - _total(negative)
 
-    def isoelectric_point(self, n_term: Column, c_term: Column) -> Column:
-        """Bisection of the charge curve in a fixed number of halvings."""
-
-        def halve(state: Column, _: Column) -> Column:
-            ph, low, high = state["ph"], state["low"], state["high"]
-            positive = self.charge(F.pow(F.lit(10.0), ph), n_term, c_term) > 0
-            return F.struct(
-                F.when(positive, (ph + high) / 2).otherwise((low + ph) / 2).alias("ph"),
-                F.when(positive, ph).otherwise(low).alias("low"),
-                F.when(positive, high).otherwise(ph).alias("high"),
-            )
-
-        start = F.struct(
-            F.lit(K.PI_START).alias("ph"), F.lit(K.PI_LOW).alias("low"), F.lit(K.PI_HIGH).alias("high")
-        )
-        return F.aggregate(F.sequence(F.lit(1), F.lit(K.PI_STEPS)), start, halve, lambda s: s["ph"])
-
     def elemental(self) -> dict[str, Column]:
         water = {"H": 2, "O": 1}
         totals = {e: self.weighted(K.SCALES[e]) + F.lit(float(water.get(e, 0))) for e in K.ELEMENTS}
@@ -145,61 +131,9 @@ def motif_frequency(sequence: Column, motif: str) -> Column:
     return F.when(pairs > 0, hits / pairs).otherwise(0.0)
 
 
-def _latin_array(scale: dict[str, float]) -> Column:
-    return F.array(*[F.lit(float(scale.get(letter, 0.0))) for letter in LATIN])
-
-
-def hydrophobic_moment(sequence: Column, angle_degrees: float = 100.0) -> Column:
-    """Length-normalised moment of the hydropathy around a helix."""
-    step = math.radians(angle_degrees)
-    hydropathy = _latin_array(K.SCALES["kd"])
-
-    def place(letter: Column, index: Column) -> Column:
-        weight = F.get(hydropathy, residue_code(letter))
-        return F.struct((weight * F.cos(index * step)).alias("x"), (weight * F.sin(index * step)).alias("y"))
-
-    origin = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    return F.aggregate(
-        F.transform(residues(sequence), place),
-        origin,
-        lambda acc, v: F.struct((acc["x"] + v["x"]).alias("x"), (acc["y"] + v["y"]).alias("y")),
-        lambda acc: F.sqrt(acc["x"] * acc["x"] + acc["y"] * acc["y"]) / F.length(sequence),
-    )
-
-
-def instability_index(sequence: Column) -> Column:
-    """Ten over length times the summed weights of adjacent pairs."""
-    exceptions = K.instability_exceptions()
-    weights = F.array(*[F.lit(exceptions.get(a + b, 1.0)) for a in LATIN for b in LATIN])
-    start = F.struct(F.lit(-1).alias("previous"), F.lit(0.0).alias("total"))
-
-    def step(state: Column, letter: Column) -> Column:
-        code = residue_code(letter)
-        weight = F.when(state["previous"] >= 0, F.get(weights, state["previous"] * 26 + code)).otherwise(0.0)
-        return F.struct(code.alias("previous"), (state["total"] + weight).alias("total"))
-
-    return F.aggregate(
-        residues(sequence), start, step, lambda s: F.lit(10.0) / F.length(sequence) * s["total"]
-    )
-
-
 def adjacent_pairs(sequence: Column) -> Column:
-    """Overlapping pairs as an array. The guard keeps a one-residue sequence empty."""
-    letters = residues(sequence)
-    shifted = F.slice(letters, 2, F.greatest(F.length(sequence) - 1, F.lit(0)))
-    return F.when(
-        F.length(sequence) >= 2,
-        F.filter(F.zip_with(letters, shifted, lambda a, b: F.concat(a, b)), lambda pair: pair.isNotNull()),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def pair_counts(sequence: Column) -> Column:
-    """Map of adjacent pair to number of occurrences within the row."""
-    pairs = adjacent_pairs(sequence)
-    present = F.array_distinct(pairs)
-    return F.map_from_arrays(
-        present, F.transform(present, lambda p: F.size(F.filter(pairs, lambda q: q == p)).cast("double"))
-    )
+    """Overlapping pairs as an array, empty below two residues."""
+    return F.regexp_extract_all(sequence, F.lit("(?=(..))"), F.lit(1))
 
 
 def core_columns(counted: CountedSequence) -> dict[str, Column]:
@@ -215,7 +149,7 @@ def core_columns(counted: CountedSequence) -> dict[str, Column]:
         "Aromaticity": counted.fraction("FWY"),
         "Hydrophobicity_KD": counted.mean_of("kd"),
         "NetCharge_pH7": charge,
-        "IsoelectricPoint": counted.isoelectric_point(n_term, c_term),
+        "IsoelectricPoint": isoelectric_point(counted.sequence),
         "InstabilityIndex": instability_index(counted.sequence),
         "Gravy": counted.mean_of("kd"),
         "AliphaticIndex": (count("A") + count("V") * 2.9 + count("IL") * 3.9) * 100.0 / length,
@@ -250,17 +184,14 @@ def with_descriptors(
     wanted = list(only) if only is not None else descriptor_names(config)
     kept = [c for c in df.columns if c not in wanted and c not in (sequence_col, "Sequence")]
     counted = CountedSequence("Sequence", "__n_")
-    cleaned = df.select(
-        *[F.col(f"`{c}`") for c in kept], clean_sequence(F.col(f"`{sequence_col}`")).alias("Sequence")
-    ).filter(F.length("Sequence") > 0)
+    raw = F.col(f"`{sequence_col}`")
+    cleaned = df.filter(has_residues(raw)).select(
+        *[F.col(f"`{c}`") for c in kept], clean_sequence(raw).alias("Sequence")
+    )
     available = core_columns(counted) | counted.elemental() | counted.motifs()
     if any(name.startswith("DPC_") for name in wanted):
-        pairs = F.greatest(counted.length - 1, F.lit(1))
-        available |= {
-            f"DPC_{pair}": F.coalesce(F.try_element_at(F.col("__pairs"), F.lit(pair)), F.lit(0.0)) / pairs
-            for pair in DIPEPTIDES
-        }
-        cleaned = cleaned.withColumn("__pairs", pair_counts(F.col("Sequence")))
+        available |= {f"DPC_{pair}": F.get(F.col("__pairs"), F.lit(i)) for i, pair in enumerate(DIPEPTIDES)}
+        cleaned = cleaned.withColumn("__pairs", pair_frequencies(F.col("Sequence")))
     counts = cleaned.select("*", *[expr.alias(name) for name, expr in counted.count_columns().items()])
     return counts.select(
         *[F.col(f"`{c}`") for c in kept], "Sequence", *[available[name].alias(name) for name in wanted]
@@ -271,16 +202,12 @@ def dipeptides_long(df: DataFrame, id_cols: list[str], sequence_col: str = "Sequ
     """One row per (row, pair present): occurrences and frequency. Counted in the row, no shuffle."""
     cleaned = df.select(*id_cols, clean_sequence(F.col(sequence_col)).alias("__s")).filter(F.length("__s") >= 2)
     exploded = cleaned.select(
-        *id_cols,
-        (F.length("__s") - 1).alias("__pairs"),
-        F.explode(pair_counts(F.col("__s"))).alias("Dipeptide", "__n"),
-    )
-    return exploded.select(
-        *id_cols,
-        "Dipeptide",
-        F.col("__n").cast("bigint").alias("Count"),
-        (F.col("__n") / F.col("__pairs")).alias("Frequency"),
+        *id_cols, "__s", F.explode(F.array_distinct(adjacent_pairs(F.col("__s")))).alias("Dipeptide")
     ).filter(F.col("Dipeptide").rlike(f"^[{K.ALPHABET}]{{2}}$"))
+    count = F.regexp_count(F.col("__s"), F.concat(F.lit("(?="), F.col("Dipeptide"), F.lit(")")))
+    return exploded.select(*id_cols, "Dipeptide", count.cast("bigint").alias("Count"), F.col("__s")).select(
+        *id_cols, "Dipeptide", "Count", (F.col("Count") / (F.length("__s") - 1)).alias("Frequency")
+    )
 
 
 def descriptor_columns(df: DataFrame) -> list[str]:

@@ -15,6 +15,15 @@ def clean_sequence(sequence: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(sequence.cast("string"), F.lit("")), _WHITESPACE, ""))
 
 
+def has_residues(sequence: Column) -> Column:
+    """Whether cleaning leaves anything, decided on the raw text.
+
+    Unlike a test of the cleaned length this filter costs one look at the first characters when it
+    is pushed below the cleaning.
+    """
+    return F.coalesce(sequence.cast("string"), F.lit("")).rlike("(?U)[^\\s\\x1c-\\x1f]")
+
+
 def foreign_characters(cleaned: Column) -> Column:
     """What is left of a cleaned sequence after removing the standard residues."""
     return F.translate(cleaned, ALPHABET, "")
@@ -40,11 +49,6 @@ def residues(cleaned: Column) -> Column:
     return F.when(F.length(cleaned) > 0, F.split(cleaned, "")).otherwise(F.array().cast("array<string>"))
 
 
-def residue_code(residue: Column) -> Column:
-    """Position of a one-letter code in the Latin alphabet, from 0."""
-    return F.ascii(residue) - F.lit(65)
-
-
 def to_number(value: Column, dtype: str = "string") -> Column:
     """Numeric value of a column, null where it does not parse (and null instead of NaN)."""
     if dtype in ("string", "char", "varchar"):

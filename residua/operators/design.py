@@ -10,18 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from residua.functions import constants as K
 from residua.functions.naming import resolve_direction
 from residua.functions.numbers import format_significant, round_half_even
-from residua.functions.sequences import clean_sequence, residues, to_number
+from residua.functions.sequences import clean_sequence, has_residues, residues, to_number
 from residua.operators.quantiles import exact_quantiles
 
 
 def measured(df: DataFrame, sequence_col: str, target_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """Cleaned non-empty sequences with a numeric target as (`Sequence`, `Target`)."""
     target = to_number(F.col(f"`{target_col}`"), dict(df.dtypes)[target_col])
-    return df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        clean_sequence(F.col(f"`{sequence_col}`")).alias("Sequence"),
-        target.alias("Target"),
-    ).filter((F.length("Sequence") > 0) & F.col("Target").isNotNull())
+    raw = F.col(f"`{sequence_col}`")
+    return df.filter(has_residues(raw) & target.isNotNull()).select(
+        *[F.col(f"`{c}`") for c in keep], clean_sequence(raw).alias("Sequence"), target.alias("Target")
+    )
 
 
 @dataclass(frozen=True)
@@ -237,13 +236,10 @@ def alignment_to_reference(
     chosen = reference.select(F.struct("*")).scalar()
     name = F.col("Name") if "Name" in df.columns else F.lit("")
     target = to_number(F.col(f"`{target_col}`"), dict(df.dtypes)[target_col])
-    rows = df.select(
-        *order,
-        name.alias("Name"),
-        clean_sequence(F.col(f"`{sequence_col}`")).alias("Sequence"),
-        target.alias("Target"),
-        chosen.alias("__r"),
-    ).filter(F.length("Sequence") > 0)
+    raw = F.col(f"`{sequence_col}`")
+    rows = df.filter(has_residues(raw)).select(
+        *order, name.alias("Name"), clean_sequence(raw).alias("Sequence"), target.alias("Target"), chosen.alias("__r")
+    )
     best, seq = F.col("__r.ReferenceSequence"), F.col("Sequence")
     longest = F.greatest(F.length(best), F.length(seq), F.lit(1))
     measured_rows = rows.select(

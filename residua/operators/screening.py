@@ -60,13 +60,11 @@ def screening_summary(screened: DataFrame) -> DataFrame:
 def score_histogram(screened: DataFrame, bins: int = 20) -> DataFrame:
     """Rows per equal-width score bin and assessment."""
     score = F.col("StructureQualityScore")
-    counted = screened.filter(score.isNotNull()).groupBy("StructureQualityScore", "StructureAssessment").agg(
-        F.count("*").alias("n")
-    )
+    counted = screened.groupBy("StructureQualityScore", "StructureAssessment").agg(F.count("*").alias("n"))
     bounds = counted.agg(F.struct(F.min(score).alias("low"), F.max(score).alias("high")).alias("b")).scalar()
     width = (bounds["high"] - bounds["low"]) / bins
     place = F.when(width > 0, F.least(F.floor((score - bounds["low"]) / width), F.lit(bins - 1))).otherwise(0)
-    return counted.select(
+    return counted.filter(score.isNotNull()).select(
         place.cast("int").alias("bin"),
         (bounds["low"] + place * width).alias("bin_start"),
         "StructureAssessment",

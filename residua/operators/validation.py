@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from residua.functions.naming import is_numeric_type, normalize_header, sequence_keys
 from residua.functions.sequences import (
     clean_sequence,
+    has_residues,
     invalid_characters,
     is_peptide_like,
     is_standard,
@@ -25,7 +26,7 @@ _CONTENT_SAMPLE, _CONTENT_SHARE = 200, 0.6
 def tag_sequences(df: DataFrame, sequence_col: str = "Sequence") -> DataFrame:
     """Cleaned non-empty sequences with `status` and the `InvalidCharacters` of invalid ones."""
     seq = F.col(f"`{sequence_col}`")
-    cleaned = df.withColumn(sequence_col, clean_sequence(seq)).filter(F.length(seq) > 0)
+    cleaned = df.filter(has_residues(seq)).withColumn(sequence_col, clean_sequence(seq))
     return cleaned.select(
         "*",
         F.when(is_standard(seq), VALID).otherwise(INVALID).alias("status"),
