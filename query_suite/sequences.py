@@ -123,13 +123,13 @@ DESCRIPTOR_SQL |= {
 }
 
 
-def descriptor_cte(names: list[str], with_pi: bool = False) -> str:
-    """CTEs ending in `described`: every valid row with the named descriptors, unrounded."""
-    source = "pi17" if with_pi or "IsoelectricPoint" in names else "charged"
+def descriptor_cte(names: list[str], source_sql: str = I.CLEAN_SQL) -> str:
+    """CTEs ending in `described`: every row of `valid` with the named descriptors, unrounded."""
+    source = "pi17" if "IsoelectricPoint" in names else "charged"
     chain = _bisection_sql() if source == "pi17" else CHARGE_SQL
     columns = ", ".join(f'{DESCRIPTOR_SQL[n]} AS "{n}"' for n in names)
     return (
-        f"WITH {I.CLEAN_SQL}, {chain}, per_sequence AS (SELECT sequence, {columns} FROM {source}), "
+        f"WITH {source_sql}, {chain}, per_sequence AS (SELECT sequence, {columns} FROM {source}), "
         f"described AS (SELECT valid.*, per_sequence.* EXCLUDE (sequence) FROM valid JOIN per_sequence USING (sequence))"
     )
 
