@@ -1,6 +1,6 @@
 """The registered queries, by area."""
 
-from query_suite import analysis, features, files, sequences
+from query_suite import analysis, features, files, modeling, sequences
 from query_suite.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analysis", "features", "files", "sequences"]
+__all__ = ["QUERIES", "SQL", "analysis", "features", "files", "modeling", "sequences"]

@@ -63,20 +63,25 @@ def _k_per_vector(train: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_neighbors(
-    queries: DataFrame, train: DataFrame, query_id: str, train_id: str, features: Sequence[str], y: str, k: int = 5,
+    queries: DataFrame, train: DataFrame, query_id: str, train_id: str, features: Sequence[str] | str, y: str, k: int = 5,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(query_id, train_id, distance, y) of the k nearest reference rows by Euclidean distance."""
+    """(query_id, train_id, distance, y) of the k nearest reference rows by Euclidean distance.
+
+    `features` is a list of numeric columns or the name of one array column.
+    """
     q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), _vector(features).alias("vector"))
     t = train.select(F.col(train_id).cast("bigint").alias("train_id"), _vector(features).alias("vector"), F.col(y).cast("double").alias("y"))
     t = materialize(_k_per_vector(t, k), "reference")
-    rows = t.count()
-    if rows * (len(features) + 2) * 8 <= broadcast_bytes:
+    rows, width = t.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    if rows * (width + 2) * 8 <= broadcast_bytes:
         return _broadcast_search(q, t, k)
     return _cell_search(q, t, k, rows)
 
 
-def _vector(features: Sequence[str]) -> Column:
+def _vector(features: Sequence[str] | str) -> Column:
+    if isinstance(features, str):
+        return F.col(features)
     return F.array(*[F.col(f"`{c}`").cast("double") for c in features])
 
 
