@@ -1,7 +1,7 @@
 """Sequence descriptors as native column expressions: one narrow projection, no shuffle.
 
-Work is layered so that nothing is computed twice: residue counts first, then everything that is
-arithmetic on counts. Hydrophobic moment, instability index and isoelectric point come from Arrow
+Work is layered so that nothing is computed twice: residue counts first, then the sums that several
+descriptors share, then everything that is arithmetic on them. Hydrophobic moment, instability index and isoelectric point come from Arrow
 functions (see `ordered`).
 """
 
@@ -79,10 +79,27 @@ class CountedSequence:
         return self.count(letters) / F.greatest(self.length, F.lit(1))
 
     def weighted(self, scale: dict[str, float]) -> Column:
-        return _total([F.col(self.prefix + aa) * F.lit(scale[aa]) for aa in K.ALPHABET])
+        """Scale summed over the residues, written as the commonest value plus the differences."""
+        values = [scale[aa] for aa in K.ALPHABET]
+        base = max(values, key=lambda v: (values.count(v), -abs(v)))
+        terms = [F.col(self.prefix + aa) * F.lit(v - base) for aa, v in zip(K.ALPHABET, values) if v != base]
+        if values.count(base) == 1:
+            return _total([F.col(self.prefix + aa) * F.lit(v) for aa, v in zip(K.ALPHABET, values)])
+        return _total([self.length * F.lit(base), *terms])
+
+    def totals(self) -> dict[str, Column]:
+        """Sums that several descriptors share; a layer of their own, so each is computed once."""
+        n_pk, c_pk = self.terminal_pk()
+        water = {"H": 2.0, "O": 1.0}
+        columns = {f"__t_{e}": self.weighted(K.SCALES[e]) + F.lit(water.get(e, 0.0)) for e in K.ELEMENTS}
+        atoms = {aa: sum(K.SCALES[e][aa] for e in K.ELEMENTS) for aa in K.ALPHABET}
+        columns["__t_atoms"] = self.weighted(atoms) + F.lit(sum(water.values()))
+        columns["__t_kd"] = self.weighted(K.SCALES["kd"])
+        columns["__charge"] = self.charge(F.lit(10.0**7), F.pow(F.lit(10.0), n_pk), F.pow(F.lit(10.0), c_pk))
+        return columns
 
     def mean_of(self, name: str) -> Column:
-        return self.weighted(K.SCALES[name]) / self.length
+        return (F.col("__t_kd") if name == "kd" else self.weighted(K.SCALES[name])) / self.length
 
     def entropy(self) -> Column:
         shares = [F.col(self.prefix + aa) / self.length for aa in K.ALPHABET]
@@ -113,11 +130,8 @@ class CountedSequence:
         return _total(positive) - _total(negative)
 
     def elemental(self) -> dict[str, Column]:
-        water = {"H": 2, "O": 1}
-        totals = {e: self.weighted(K.SCALES[e]) + F.lit(float(water.get(e, 0))) for e in K.ELEMENTS}
-        atoms = _total(list(totals.values()))
-        columns = {f"Elem_{e}": totals[e] for e in K.ELEMENTS}
-        columns |= {f"Elem_{e}_fraction": totals[e] / atoms for e in "CNOS"}
+        columns = {f"Elem_{e}": F.col(f"__t_{e}") for e in K.ELEMENTS}
+        columns |= {f"Elem_{e}_fraction": F.col(f"__t_{e}") / F.col("__t_atoms") for e in "CNOS"}
         return columns
 
     def motifs(self) -> dict[str, Column]:
@@ -139,9 +153,7 @@ def adjacent_pairs(sequence: Column) -> Column:
 def core_columns(counted: CountedSequence) -> dict[str, Column]:
     """Descriptors that are arithmetic on length, counts and terminal residues."""
     length, count = counted.length, counted.count
-    n_pk, c_pk = counted.terminal_pk()
-    n_term, c_term = F.pow(F.lit(10.0), n_pk), F.pow(F.lit(10.0), c_pk)
-    charge = counted.charge(F.lit(10.0**7), n_term, c_term)
+    charge = F.col("__charge")
     reduced = count("W") * 5500.0 + count("Y") * 1490.0
     columns = {
         "Length": length,
@@ -193,7 +205,8 @@ def with_descriptors(
         available |= {f"DPC_{pair}": F.get(F.col("__pairs"), F.lit(i)) for i, pair in enumerate(DIPEPTIDES)}
         cleaned = cleaned.withColumn("__pairs", pair_frequencies(F.col("Sequence")))
     counts = cleaned.select("*", *[expr.alias(name) for name, expr in counted.count_columns().items()])
-    return counts.select(
+    totals = counts.select("*", *[expr.alias(name) for name, expr in counted.totals().items()])
+    return totals.select(
         *[F.col(f"`{c}`") for c in kept], "Sequence", *[available[name].alias(name) for name in wanted]
     )
 

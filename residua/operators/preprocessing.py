@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua.functions.sequences import to_number
+from residua.operators.columns import long_values
 from residua.operators.profiling import correlation_values
 from residua.operators.quantiles import exact_quantiles
 
@@ -48,22 +49,14 @@ def impute_values(df: DataFrame, columns: Sequence[str], strategy: str = "median
     if strategy == "median":
         found = exact_quantiles(df, columns, [0.5])
         return {c: found[c].values[0.5] for c in columns}
-    types = dict(df.dtypes)
-    numbers = [to_number(F.col(f"`{c}`"), types[c]).alias(c) for c in columns]
     if strategy == "mean":
-        row = df.select(*numbers).agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
-        return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+        stats = column_stats(df, columns)
+        return {c: stats[c].mean if c in stats else None for c in columns}
     if strategy != "most_frequent":
         raise ValueError(f"Unknown impute strategy: {strategy}")
-    counted = (
-        df.select(*numbers)
-        .select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("place", "value"))
-        .filter(F.col("value").isNotNull())
-        .groupBy("place", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    best = counted.groupBy("place").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"))
-    modes = {r["place"]: r["b"]["value"] for r in best.collect()}
+    counted = long_values(df, columns).groupBy("place", "v").agg(F.count("*").alias("n"))
+    best = counted.groupBy("place").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))
+    modes = {r["place"]: r["b"]["v"] for r in best.collect()}
     return {c: modes.get(i) for i, c in enumerate(columns)}
 
 
@@ -91,14 +84,11 @@ class ColumnStats:
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
     """Mean, population variance and range of every column, in one pass."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        value = F.col(f"`{c}`")
-        aggregates += [
-            F.avg(value).alias(f"a{i}"), F.var_pop(value).alias(f"v{i}"), F.min(value).alias(f"l{i}"), F.max(value).alias(f"h{i}"),
-        ]
-    row = df.agg(*aggregates).first()
-    return {c: ColumnStats(row[f"a{i}"], row[f"v{i}"], row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(columns)}
+    stats = long_values(df, columns).groupBy("place").agg(
+        F.avg("v").alias("mean"), F.var_pop("v").alias("variance"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    found = {columns[r["place"]]: ColumnStats(r["mean"], r["variance"], r["low"], r["high"]) for r in stats.collect()}
+    return {c: found[c] for c in columns if c in found}
 
 
 def varying_columns(stats: dict[str, ColumnStats], threshold: float = 0.0) -> list[str]:

@@ -9,48 +9,36 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
-from residua.functions.sequences import to_number
+from residua.operators.columns import long_values, numbers
 from residua.operators.quantiles import exact_quantiles
 
 _PAIRS_PER_PASS = 150
 
 
-def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    types = dict(df.dtypes)
-    return df.select(*[to_number(F.col(f"`{c}`"), types[c]).alias(c) for c in columns])
-
-
-def _one_row_per_column(stats: DataFrame, columns: Sequence[str], fields: dict[str, str], key: str) -> DataFrame:
-    rows = [
-        F.struct(F.lit(c).alias(key), F.lit(i).alias("__place"), *[F.col(f"{p}{i}").alias(n) for p, n in fields.items()])
-        for i, c in enumerate(columns)
-    ]
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
-
 def column_variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sample variance of every column, in one pass."""
-    stats = _numbers(df, columns).agg(*[F.var_samp(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
-    return _one_row_per_column(stats, columns, {"v": "Variance"}, "Descriptor")
+    stats = long_values(df, columns).groupBy("place").agg(F.var_samp("v").alias("Variance"), F.avg("v").alias("Mean"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "__place int, Descriptor string")
+    return names.join(stats, F.col("__place") == F.col("place"), "left").select("Descriptor", "__place", "Variance", "Mean")
 
 
 def top_variance(df: DataFrame, columns: Sequence[str], max_features: int = 12) -> DataFrame:
     """The columns that vary most; equals keep column order."""
     ranked = column_variances(df, columns).orderBy(F.col("Variance").desc_nulls_last(), "__place")
-    return ranked.limit(max_features).drop("__place")
+    return ranked.limit(max_features).select("Descriptor", "Variance")
 
 
 def distribution_summary(df: DataFrame, columns: Sequence[str], max_features: int = 12) -> DataFrame:
     """Range, quartiles and mean of the columns that vary most."""
-    chosen = [r["Descriptor"] for r in top_variance(df, columns, max_features).collect()]
-    quartiles = exact_quantiles(df, chosen, [0.25, 0.5, 0.75])
-    means = _numbers(df, chosen).agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(chosen)]).first()
+    ranked = column_variances(df, columns).orderBy(F.col("Variance").desc_nulls_last(), "__place").limit(max_features)
+    means = {r["Descriptor"]: r["Mean"] for r in ranked.collect()}
+    quartiles = exact_quantiles(df, list(means), [0.25, 0.5, 0.75])
     schema = "Descriptor string, Rows bigint, Min double, Q1 double, Median double, Q3 double, Max double, Mean double"
     rows = []
-    for i, c in enumerate(chosen):
+    for c, mean in means.items():
         q = quartiles[c]
         bounds = [None if v is None else float(v) for v in (q.minimum, *q.values.values(), q.maximum)]
-        rows.append((c, q.count, *bounds, means[f"m{i}"]))
+        rows.append((c, q.count, *bounds, mean))
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -60,17 +48,16 @@ def correlation_values(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str,
     Complete columns go through one distributed covariance; pairs with gaps use the rows where both
     values are present, a bounded number of pairs per pass.
     """
-    numbers = _numbers(df, columns)
-    stats = numbers.agg(
-        F.count("*").alias("n"),
-        *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)],
-        *[(F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(columns)],
-    ).first()
-    flat = {c for i, c in enumerate(columns) if stats[f"f{i}"] or not stats[f"n{i}"]}
-    whole = [c for i, c in enumerate(columns) if stats[f"n{i}"] == stats["n"] and c not in flat]
+    plain, rows = numbers(df, columns), df.count()
+    stats = long_values(df, columns).groupBy("place").agg(
+        F.count("*").alias("n"), (F.min("v") == F.max("v")).alias("flat")
+    )
+    known = {columns[r["place"]]: r for r in stats.collect()}
+    flat = {c for c in columns if c not in known or known[c]["flat"]}
+    whole = [c for c in columns if c not in flat and known[c]["n"] == rows]
     values: dict[tuple[str, str], float | None] = {}
     if len(whole) > 1:
-        vectors = numbers.select(array_to_vector(F.array(*[F.col(f"`{c}`") for c in whole])).alias("v"))
+        vectors = plain.select(array_to_vector(F.array(*[F.col(f"`{c}`") for c in whole])).alias("v"))
         matrix = Correlation.corr(vectors, "v").first()[0].toArray()
         for (i, a), (j, b) in itertools.combinations(enumerate(whole), 2):
             values[(a, b)] = float(matrix[i, j])
@@ -78,7 +65,7 @@ def correlation_values(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str,
     varying = [p for p in pairs if not flat & set(p)]
     for first in range(0, len(varying), _PAIRS_PER_PASS):
         part = varying[first : first + _PAIRS_PER_PASS]
-        found = numbers.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
+        found = plain.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
         values |= {p: found[f"c{i}"] for i, p in enumerate(part)}
     values |= {p: None for p in pairs if flat & set(p)}
     return {p: (None if v is None or v != v else v) for p, v in values.items()}

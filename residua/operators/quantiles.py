@@ -12,9 +12,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from residua.functions.sequences import to_number
+from residua.operators.columns import long_values
 
 BINS = 1024
 LEAF_ROWS = 2000
@@ -40,26 +40,18 @@ class ColumnQuantiles:
     values: dict[float, float | None] = field(default_factory=dict)
 
 
-def _numeric(df: DataFrame, column: str) -> Column:
-    return to_number(F.col(f"`{column}`"), dict(df.dtypes)[column])
+def _in_slots(values: DataFrame, slots: list[_Slot], places: dict[str, int]) -> DataFrame:
+    """Values that lie in a slot, with its number and bounds. Slots are few: ranks times columns."""
+    rows = [(i, places[s.column], s.low, s.high) for i, s in enumerate(slots)]
+    table = values.sparkSession.createDataFrame(rows, "slot int, slot_place int, low double, high double")
+    inside = (F.col("place") == F.col("slot_place")) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+    return values.join(F.broadcast(table), inside)
 
 
-def _in_slots(df: DataFrame, slots: list[_Slot], payload) -> DataFrame:
-    members = []
-    for number, slot in enumerate(slots):
-        value = F.col(f"`{slot.column}`")
-        inside = value.between(F.lit(slot.low), F.lit(slot.high))
-        members.append(F.when(inside, F.struct(F.lit(number).alias("slot"), payload(value, slot).alias("part"), value.alias("v"))))
-    rows = df.select(F.explode(F.filter(F.array(*members), lambda m: m.isNotNull())).alias("m"))
-    return rows.select("m.slot", "m.part", "m.v")
-
-
-def _histogram(df: DataFrame, slots: list[_Slot]) -> list[_Slot]:
-    def bin_of(value: Column, slot: _Slot) -> Column:
-        share = (value - slot.low) / F.lit(slot.high - slot.low)
-        return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-
-    grouped = _in_slots(df, slots, bin_of).groupBy("slot", "part")
+def _histogram(values: DataFrame, slots: list[_Slot], places: dict[str, int]) -> list[_Slot]:
+    share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
+    part = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int").alias("part")
+    grouped = _in_slots(values, slots, places).select("slot", part, "v").groupBy("slot", "part")
     bins = grouped.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
     by_slot: dict[int, list] = {}
     for row in sorted(bins, key=lambda r: (r["slot"], r["part"])):
@@ -75,29 +67,28 @@ def _histogram(df: DataFrame, slots: list[_Slot]) -> list[_Slot]:
     return narrowed
 
 
-def _read_leaves(df: DataFrame, slots: list[_Slot], found: dict[tuple[str, int], float]) -> None:
-    grouped = _in_slots(df, slots, lambda value, slot: F.lit(0)).groupBy("slot", "v").count().collect()
-    below = {number: slot.below for number, slot in enumerate(slots)}
+def _read_leaves(values: DataFrame, slots: list[_Slot], places: dict[str, int]) -> dict[tuple[str, int], float]:
+    grouped = _in_slots(values, slots, places).groupBy("slot", "v").count().collect()
+    below, found = {number: slot.below for number, slot in enumerate(slots)}, {}
     for row in sorted(grouped, key=lambda r: (r["slot"], r["v"])):
         slot, start = slots[row["slot"]], below[row["slot"]]
         for rank in slot.ranks:
             if start <= rank < start + row["count"]:
                 found[(slot.column, rank)] = row["v"]
         below[row["slot"]] = start + row["count"]
+    return found
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, ColumnQuantiles]:
     """Quantiles with linear interpolation; missing values do not count."""
-    numbers = df.select(*[_numeric(df, c).alias(c) for c in columns])
-    bounds = numbers.agg(
-        *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(f"`{c}`").alias(f"l{i}") for i, c in enumerate(columns)],
-        *[F.max(f"`{c}`").alias(f"h{i}") for i, c in enumerate(columns)],
-    ).first()
+    values, places = long_values(df, columns), {c: i for i, c in enumerate(columns)}
+    bounds = values.groupBy("place").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    known = {r["place"]: r for r in bounds.collect()}
     result = {
-        c: ColumnQuantiles(bounds[f"n{i}"], bounds[f"l{i}"], bounds[f"h{i}"]) for i, c in enumerate(columns)
+        c: ColumnQuantiles(known[i]["n"], known[i]["low"], known[i]["high"]) if i in known else ColumnQuantiles(0)
+        for c, i in places.items()
     }
     slots, found = [], {}
     for c, column in result.items():
@@ -112,10 +103,10 @@ def exact_quantiles(
         slots = [s for s in slots if s.low < s.high]
         leaves = [s for s in slots if s.rows <= LEAF_ROWS]
         if leaves:
-            _read_leaves(numbers, leaves, found)
+            found |= _read_leaves(values, leaves, places)
         slots = [s for s in slots if s.rows > LEAF_ROWS]
         if slots:
-            slots = _histogram(numbers, slots)
+            slots = _histogram(values, slots, places)
     for c, column in result.items():
         for p in probabilities:
             if not column.count:

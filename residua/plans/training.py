@@ -21,6 +21,7 @@ from residua.operators.preprocessing import FittedPreprocessor, PreprocessingCon
 from residua.operators.splitting import REPEATS, SplitConfig, cv_folds, fold_count, with_split
 from residua.operators.storage import materialize
 from residua.plans.bundle import ModelBundle
+from residua.plans.linear_folds import PENALTIES, linear_fold_metrics
 from residua.plans.models import catalogue, fit_model
 
 MAX_CLASSES = 10_000
@@ -148,13 +149,12 @@ def cross_validate(
         scored = reduce(DataFrame.unionByName, pool.map(run, places))
     group = ["repeat", "fold"]
     if data.task == REGRESSION:
-        return M.regression_metrics(scored, "y", "prediction", group).withColumnsRenamed(
-            {"R2": "r2", "RMSE": "root_mean_squared_error", "MAE": "mean_absolute_error"}
-        )
+        return M.regression_metrics(scored, "y", "prediction", group).withColumnsRenamed(_FOLD_NAMES)
     found = M.classification_metrics(scored, "y", "prediction", group)
     return found.select(*group, F.col("Accuracy").alias("accuracy"), F.col("F1").alias("f1_weighted"))
 
 
+_FOLD_NAMES = {"R2": "r2", "RMSE": "root_mean_squared_error", "MAE": "mean_absolute_error"}
 _FOLD_METRICS = {True: ["r2", "root_mean_squared_error", "mean_absolute_error"], False: ["accuracy", "f1_weighted"]}
 
 
@@ -202,6 +202,12 @@ def train_and_compare(
     data = _Data(task, labels, train, rows, len(names), names, _select(task, train, names, rows))
 
     full = _full_data(task, labels, table, columns, preprocessing, total) if refit else None
+    linear = [m for m in chosen if task == REGRESSION and m in PENALTIES and not options.get(m)]
+    linear_folds = None
+    if k and linear:
+        found = linear_fold_metrics(train, linear, k, repeats, data.selected, data.width)
+        linear_folds = materialize(found.withColumnsRenamed(_FOLD_NAMES), "folds")
+    train.persist()  # read once per fit; a lost block is read again from the stored table
     records, outputs = [], {}
     for name in chosen:
         model, mean, scale = _fit(name, data, train, options.get(name))
@@ -210,7 +216,10 @@ def train_and_compare(
         metrics = _holdout_metrics(task, labels, test)
         cv, fold_metrics = {}, None
         if k:
-            fold_metrics = cross_validate(name, data, k, repeats, options.get(name), parallelism)
+            if name in linear:
+                fold_metrics = linear_folds.filter(F.col("Model") == name).drop("Model")
+            else:
+                fold_metrics = cross_validate(name, data, k, repeats, options.get(name), parallelism)
             cv = M.fold_summary(fold_metrics, _FOLD_METRICS[task == REGRESSION], []).first().asDict()
         primary = cv.get("CV_r2_mean", metrics.get("R2")) if task == REGRESSION else cv.get("CV_f1_weighted_mean", metrics.get("F1"))
         finite = primary is not None and math.isfinite(primary)
@@ -221,6 +230,7 @@ def train_and_compare(
         })
         bundle = _refit(name, full, options.get(name), descriptor_config, columns, target, metrics, cv) if full else None
         outputs[name] = ModelOutput(bundle, _decoded(test, labels), _decoded(validation, labels), fold_metrics)
+    train.unpersist()
     comparison = leaderboard(df, records)
     best = max(records, key=lambda r: -math.inf if r["PrimaryScore"] is None else r["PrimaryScore"])["Model"]
     return TrainingResult(task, comparison, outputs, best, total)
