@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from residua.functions.sequences import to_number
 
@@ -27,3 +27,13 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])
     rows = df.select(F.posexplode(values).alias("place", "v"))
     return rows.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are present, null where one does not vary.
+
+    The built-in aggregate fails on a constant column when division by zero is an error.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

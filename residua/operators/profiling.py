@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
-from residua.operators.columns import long_values, numbers
+from residua.operators.columns import correlation, long_values, numbers
 from residua.operators.quantiles import exact_quantiles
 
 _PAIRS_PER_PASS = 150
@@ -65,7 +65,7 @@ def correlation_values(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str,
     varying = [p for p in pairs if not flat & set(p)]
     for first in range(0, len(varying), _PAIRS_PER_PASS):
         part = varying[first : first + _PAIRS_PER_PASS]
-        found = plain.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
+        found = plain.agg(*[correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
         values |= {p: found[f"c{i}"] for i, p in enumerate(part)}
     values |= {p: None for p in pairs if flat & set(p)}
     return {p: (None if v is None or v != v else v) for p, v in values.items()}

@@ -83,11 +83,13 @@ def _kernel(ctx: FitContext, regression: bool, cost: float) -> list:
     reg = 1.0 / (cost * ctx.rows)
     if regression:
         return [mapped, MR.LinearRegression(featuresCol="kernel", regParam=reg, standardization=False)]
-    machine = MC.LinearSVC(featuresCol="kernel", regParam=reg, standardization=False, predictionCol="side", rawPredictionCol="margin")
+    machine = MC.LinearSVC(featuresCol="kernel", regParam=reg, standardization=False)
     if ctx.classes > 2:
-        one = MC.LinearSVC(featuresCol="kernel", regParam=reg, standardization=False)
-        machine = MC.OneVsRest(classifier=one, featuresCol="kernel", predictionCol="side", rawPredictionCol="margin")
-    return [mapped, machine, MC.LogisticRegression(featuresCol="margin")]
+        machine = MC.OneVsRest(classifier=machine, featuresCol="kernel", predictionCol="side")
+    else:
+        machine.setPredictionCol("side")
+    calibrated = MC.LogisticRegression(featuresCol="rawPrediction", rawPredictionCol="calibrated")
+    return [mapped, machine, calibrated]
 
 
 def _logistic(ctx: FitContext) -> list:

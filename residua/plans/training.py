@@ -167,12 +167,15 @@ def train_and_compare(
     descriptor_config: DescriptorConfig = DescriptorConfig(),
     preprocessing: PreprocessingConfig = PreprocessingConfig(),
     split: SplitConfig = SplitConfig(),
-    folds: int = 5,
+    folds: int | None = 5,
     options: Mapping[str, Mapping[str, Any]] | None = None,
     parallelism: int = 4,
     refit: bool = True,
 ) -> TrainingResult:
-    """Compare models on a descriptor table. `options` overrides settings of single models."""
+    """Compare models on a descriptor table.
+
+    `options` overrides settings of single models; without `folds` the holdout alone decides.
+    """
     task, options = task_type(task), options or {}
     columns = [c for c in descriptor_columns(df) if c != target]
     chosen = [m for m in models if m in catalogue(task)]
@@ -194,7 +197,7 @@ def train_and_compare(
     train = prepared.filter("split = 'train'").drop("split")
     rows = train.count()
     smallest = None if labels is None else train.groupBy("y").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
-    k = fold_count(task, folds, rows, smallest)
+    k = fold_count(task, folds, rows, smallest) if folds else None
     repeats = REPEATS if task == REGRESSION else 1
     names = preprocessor.output_names
     if k:
