@@ -18,6 +18,7 @@ from residua.functions.sequences import (
 )
 from residua.operators.ordering import with_row_number
 from residua.operators.skew import semi_join_by_key
+from residua.operators.storage import materialize
 
 VALID, INVALID = "valid", "invalid"
 _CONTENT_SAMPLE, _CONTENT_SHARE = 200, 0.6
@@ -64,7 +65,8 @@ class Validation:
 
     @property
     def duplicates(self) -> DataFrame:
-        return duplicate_rows(self._valid_rows, self.sequence_col, self.order)
+        rows = materialize(self._valid_rows, "valid")  # read for the counts and again for the rows
+        return duplicate_rows(rows, self.sequence_col, self.order)
 
     @property
     def counts(self) -> DataFrame:
