@@ -79,12 +79,16 @@ class CountedSequence:
         return self.count(letters) / F.greatest(self.length, F.lit(1))
 
     def weighted(self, scale: dict[str, float]) -> Column:
-        """Scale summed over the residues, written as the commonest value plus the differences."""
+        """Scale summed over the residues.
+
+        Whole-number scales are written as the commonest value plus the differences, which is exact
+        and shorter; others term by term, since a rounding error could move a value over a limit.
+        """
         values = [scale[aa] for aa in K.ALPHABET]
-        base = max(values, key=lambda v: (values.count(v), -abs(v)))
-        terms = [F.col(self.prefix + aa) * F.lit(v - base) for aa, v in zip(K.ALPHABET, values) if v != base]
-        if values.count(base) == 1:
+        if not all(v == int(v) for v in values):
             return _total([F.col(self.prefix + aa) * F.lit(v) for aa, v in zip(K.ALPHABET, values)])
+        base = max(values, key=values.count)
+        terms = [F.col(self.prefix + aa) * F.lit(v - base) for aa, v in zip(K.ALPHABET, values) if v != base]
         return _total([self.length * F.lit(base), *terms])
 
     def totals(self) -> dict[str, Column]:
