@@ -43,8 +43,9 @@ def fasta_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(">"), F.col("Name"), F.lit(" \r\n"), F.lower(F.substring("Sequence", 1, 4)), F.lit("\r\n\r\n "),
         F.col("Sequence").substr(F.lit(5), F.length("Sequence")), F.lit("\r"),
     )
-    junk = spark.range(1).select(F.lit("; text before the first record").alias("value"))
-    junk.unionByName(pep.select(record.alias("value"))).coalesce(1).write.text(path)
+    junk = spark.range(4).select("id", F.lit(0).alias("line"), F.lit("; text before the first record").alias("value"))
+    rows = junk.unionByName(pep.select((F.col("pep_id") % 4).alias("id"), F.lit(1).alias("line"), record.alias("value")))
+    rows.repartition(4, "id").sortWithinPartitions("line").select("value").write.text(path)
     return RD.read_fasta(spark, path).select("Name", "Sequence")
 
 
