@@ -16,11 +16,9 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "validate_split", "duplicates_report", "dedup_first", "validation_counts", "aac", "mass_gravy_indices",
-    "isoelectric_point", "instability", "hydrophobic_moment", "descriptor_table", "dipeptides_long", "criteria_score",
-    "criteria_summary", "screened_ranking", "position_effects", "class_recommendations", "alignment_to_reference",
-    "design_profile", "score_minimize", "rank_predictions", "predictions_with_criteria", "roc_auc", "split_stratified",
-    "cv_folds", "impute_median", "corr_matrix", "knn_join", "fasta_roundtrip", "linear_regression_fit",
+    "validate_split", "duplicates_report", "dedup_first", "descriptor_table", "criteria_score", "screened_ranking",
+    "position_effects", "alignment_to_reference", "score_minimize", "rank_predictions", "roc_auc", "split_stratified",
+    "corr_matrix", "knn_join",
 )
 
 
