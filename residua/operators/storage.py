@@ -1,38 +1,41 @@
-"""Stored intermediate tables: the place where lineage is cut."""
+"""Stored intermediate tables: the place where lineage is cut, and the owner that drops them."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: dict[str, SparkSession] = {}
 
-def scratch_directory(spark: SparkSession) -> str:
-    """Folder shared by all executors, as named by `spark.checkpoint.dir`.
 
-    Only a local session without that setting gets a folder of its own on this machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    chosen = spark.sparkContext.getCheckpointDir()
-    if chosen:
-        return chosen
-    if not spark.sparkContext.master.startswith("local"):
+def scratch_directory(spark: SparkSession) -> str:
+    """Folder shared by all executors: `spark.checkpoint.dir`, or the session's checkpoint folder."""
+    chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not chosen:
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-    directory = tempfile.mkdtemp(prefix="residua-")
-    spark.conf.set("spark.checkpoint.dir", directory)
-    return directory
+    return chosen
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table once and go on from the stored rows.
 
     Later stages then neither repeat the work nor depend on executors that held shuffle files, and
-    partition-dependent values (row positions) stay what they were when written.
+    partition-dependent values (row positions) stay what they were when written. The table stays until
+    `drop_stored` is called, since results that are not yet computed may still read it.
     """
     spark = df.sparkSession
     path = f"{scratch_directory(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED[path] = spark
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables stored so far, once their results have been written; returns how many."""
+    paths = [path for path, owner in _STORED.items() if owner is spark]
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        del _STORED[path]
+    return len(paths)
