@@ -4,10 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import quality
+from residua.llm import fingerprints, quality
 from residua.llm.registry import query, table
 
 
+def _fingerprint_sql() -> str:
+    n = fingerprints.SHORT
+    return f"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+nx AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx FROM o WINDOW w AS (ORDER BY doc_id NULLS FIRST, t)),
+e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS e FROM nx),
+x AS (SELECT DISTINCT x FROM (SELECT t AS x FROM e UNION ALL SELECT e FROM e)),
+ps AS (SELECT x, sha256(x) AS k, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS ps FROM x),
+p AS (SELECT k, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM ps),
+c AS (SELECT *, sum(CASE WHEN i > 1 AND regexp_full_match(p, '[ \t]*\n') THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS s,
+      list_transform(regexp_extract_all(p, '{fingerprints.CLAUSE}'), lambda v: sha256(v)) AS cs FROM p),
+sec AS (SELECT k, s, sha256('S' || string_agg(sha256('P' || array_to_string(cs, '')), '' ORDER BY i)) AS node,
+        string_agg(array_to_string(list_transform(cs, lambda v: substr(v, 1, {n})), ''), '.' ORDER BY i) AS body,
+        flatten(list(list_transform(cs, lambda v: substr(v, 1, {n})))) AS leaves FROM c GROUP BY k, s),
+doc AS (SELECT k, sha256('R' || string_agg(node, '' ORDER BY s)) || ':' || string_agg(body, '/' ORDER BY s) AS f, list_distinct(flatten(list(leaves))) AS l
+        FROM sec GROUP BY k),
+f AS (SELECT k, coalesce(f, sha256('R') || ':') AS f, coalesce(l, []) AS l FROM ps LEFT JOIN doc USING (k)),
+j AS (SELECT e.doc_id, length(t) AS n, sha256(e) AS es, a.f AS fa, a.l AS la, b.f AS fb, b.l AS lb, c.f AS fc, c.l AS lc
+      FROM e JOIN f a ON a.k = sha256(t) JOIN f b ON b.k = sha256(e) JOIN f c ON c.k = sha256(nx))
+SELECT doc_id, n::BIGINT AS n_chars, es AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+  CASE WHEN substr(fa, 1, 64) = substr(fb, 1, 64) THEN 1.0::DOUBLE
+       ELSE least(2 * len(list_intersect(la, lb)) / greatest(len(la) + len(lb), 1), 0.999::DOUBLE) END AS near_edited,
+  CASE WHEN substr(fa, 1, 64) = substr(fc, 1, 64) THEN 1.0::DOUBLE
+       ELSE least(2 * len(list_intersect(la, lc)) / greatest(len(la) + len(lc), 1), 0.999::DOUBLE) END AS near_next
+FROM j
+"""
+
+
 def _quality_sql() -> str:
     blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     chain, left, previous = [], ["length(t)"], "t"
@@ -55,6 +83,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+@query(_fingerprint_sql())
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @query(_quality_sql())
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
