@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import fingerprints, quality
+from residua.llm import fingerprints, quality, warc
 from residua.llm.registry import query, table
+from residua.operators.storage import scratch_directory
 
 
 def _fingerprint_sql() -> str:
@@ -91,3 +94,27 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_quality_sql())
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = f"""
+WITH r AS (SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: '{warc.BASE32_DIGITS}'[
+        1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)]), '') AS d,
+      first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM r)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to,
+  (length('WARC/1.1  WARC-Type: ') + length(CASE WHEN again THEN 'revisit' ELSE 'response' END) + 2
+   + length('WARC-Record-ID: <urn:page:>') + length(coalesce(page_id::VARCHAR, '')) + 2 + length('WARC-Target-URI: ') + octet_length(encode(url)) + 2
+   + CASE WHEN again THEN length('WARC-Refers-To: <urn:page:>') + length(first::VARCHAR) + 2 ELSE 0 END
+   + length('WARC-Payload-Digest: sha1:') + 32 + 2 + length('Content-Type: application/http; msgtype=response') + 2 + length('Content-Length: ')
+   + length((http + CASE WHEN again THEN 0 ELSE n END)::VARCHAR) + 4 + http + CASE WHEN again THEN 0 ELSE n END + 4)::BIGINT AS record_bytes
+FROM (SELECT *, {sum(len(x) + 2 for x in warc.HTTP_LINES)} + length('Content-Length: ') + length(n::VARCHAR) + 4 AS http FROM b)
+"""
+
+
+@query(WARC_SQL)
+def op9_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_directory(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.archive_report(warc.read_archive(spark, path))
