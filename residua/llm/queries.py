@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import fingerprints, quality, warc
+from residua.llm import bpe, fingerprints, quality, warc
 from residua.llm.registry import query, table
 from residua.operators.storage import scratch_directory
 
@@ -118,3 +119,8 @@ def op9_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame
     path = f"{scratch_directory(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.archive_report(warc.read_archive(spark, path))
+
+
+@query()
+def op10_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
