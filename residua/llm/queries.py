@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import bpe, fingerprints, minhash, packing, quality, warc
+from residua.llm import bpe, fingerprints, minhash, packing, pii, quality, toxicity, warc
 from residua.llm.registry import query, table
 from residua.operators.storage import scratch_directory
 
@@ -92,6 +92,15 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+#: Production keys come from the caller; this one only makes the query repeatable.
+PII_KEY = "repeatable query"
+
+
+@query()
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 @query()
 def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -113,6 +122,11 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id
 """
 
 
+@query()
+def op4_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(NEAR_SQL)
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
