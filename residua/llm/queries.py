@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import bpe, fingerprints, minhash, packing, pii, quality, toxicity, warc
+from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, toxicity, warc
 from residua.llm.registry import query, table
 from residua.operators.storage import scratch_directory
 
@@ -132,6 +132,28 @@ def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+LINES_SQL = f"""
+WITH l AS (SELECT doc_id, i - 1 AS line_no, list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> '') AS w
+           FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS ls FROM documents))),
+k AS (SELECT doc_id, line_no, len(w) AS n, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= {lines.LEAST_WORDS}),
+c AS (SELECT s, n, any_value(w) AS w, min((doc_id, line_no)) AS f FROM k GROUP BY s, n),
+v AS (SELECT s, n, f, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c)),
+near AS (SELECT b.s, min(a.f) AS g FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.n = b.n AND a.f < b.f GROUP BY b.s
+         UNION ALL SELECT v.s, min(c.f) FROM v JOIN c ON v.v = c.s WHERE c.f < v.f GROUP BY v.s
+         UNION ALL SELECT c.s, min(v.f) FROM v JOIN c ON v.v = c.s WHERE v.f < c.f GROUP BY c.s),
+m AS (SELECT s, min(g) AS g FROM near GROUP BY s),
+j AS (SELECT k.doc_id, k.line_no, coalesce(m.g, c.f) AS f, CASE WHEN m.g IS NULL THEN 0 ELSE 1 END AS edits
+      FROM k JOIN c USING (s) LEFT JOIN m USING (s))
+SELECT doc_id, line_no::BIGINT AS line_no, f[1]::BIGINT AS keeper_doc_id, f[2]::BIGINT AS keeper_line_no, edits::BIGINT AS edits
+FROM j WHERE (doc_id, line_no) <> f
+"""
+
+
+@query(LINES_SQL)
+def op6_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 @query(_quality_sql())
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
