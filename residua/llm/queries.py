@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, toxicity, warc
+from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, suffixes, toxicity, warc
 from residua.llm.registry import query, table
 from residua.operators.storage import scratch_directory
 
@@ -159,6 +159,11 @@ def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 WARC_SQL = f"""
 WITH r AS (SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h,
            min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
