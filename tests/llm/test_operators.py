@@ -1,0 +1,456 @@
+"""Every operator against a plain version, on odd input and on none."""
+
+import collections
+import hashlib
+import re
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, suffixes, toxicity, warc
+from residua.llm.components import connected_components
+from tests.llm.conftest import odd_rows, prose
+
+IDS_TEXTS = [(r[0], r[1]) for r in odd_rows()]
+
+
+def order(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+# 1 fingerprints
+
+
+def plain_fingerprint(text):
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    paragraphs = re.findall(r"[^\n]*\n|[^\n]+", text)
+    sections = []
+    for i, p in enumerate(paragraphs):
+        if i == 0 or re.fullmatch(r"[ \t]*\n", p):
+            sections.append([])
+        sections[-1].append([digest(c) for c in re.findall(fingerprints.CLAUSE, p)])
+    nodes = [digest("S" + "".join(digest("P" + "".join(p)) for p in s)) for s in sections]
+    body = "/".join(".".join("".join(c[: fingerprints.SHORT] for c in p) for p in s) for s in sections)
+    return digest("R" + "".join(nodes)) + ":" + body
+
+
+def test_fingerprints_equal_a_plain_version(odd, none):
+    texts = sorted(((i, t or "") for i, t in IDS_TEXTS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    expected = []
+    for k, (i, t) in enumerate(texts):
+        following, half = texts[(k + 1) % len(texts)][1], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_fingerprint(t), plain_fingerprint(edited)))
+    got = fingerprints.fingerprint_documents(odd).collect()
+    assert order(r[:5] for r in got) == order(expected)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert all((r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint) for r in got)
+    assert fingerprints.fingerprint_documents(none).count() == 0
+
+
+def test_successors_cross_range_borders(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 3)
+    df = spark.createDataFrame([(i * 1000 + i % 7, f"text {i}, number {i}.") for i in range(40)], "doc_id long, text string").repartition(5)
+    rows = sorted(fingerprints.fingerprint_documents(df).collect())
+    for k, r in enumerate(rows):
+        t, following = f"text {k}, number {k}.", f"text {(k + 1) % 40}, number {(k + 1) % 40}."
+        half = len(t) // 2
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()
+
+
+def test_differing_branches_locate_an_edit(spark):
+    df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nD"), ("x", "x"), ("", "y")], "old string, new string")
+    found = fingerprints.differing_branches(df, "old", "new").select("old", "section", "paragraph").collect()
+    assert order(found) == [("", 0, 0), ("a\nb\n\nc\nd", 1, 2)]
+
+
+# 2 personal data
+
+
+def test_permutations_are_circles_without_fixed_points():
+    keyed = pii.Permutation(b"k")
+    for size in (2, 3, 10, 97, 1000):
+        images = [keyed.next(v, size, "t") for v in range(size)]
+        assert sorted(images) == list(range(size)) and all(v != w for v, w in enumerate(images))
+
+
+def test_surrogates_keep_type_format_and_identity(odd, none, spark):
+    text = (
+        "Mr. John Smith wrote to Foo.Bar@mail5.example.com and foo.bar@mail5.example.com. Call +1 (743) 555-3824 or (743) 555-3824; "
+        "IP 227.5.221.1 and 10.1.2.3; card 4111 1111 1111 1111; DE89 3704 0044 0532 0130 00; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"; "
+        "Mrs. Anna Müller; 078-05-1120; version 1.2.3, 12 apples, 2020-01-02"
+    )
+    keyed = pii.Permutation(b"k")
+    new, found = pii.replaced(text, keyed)
+    kinds = collections.Counter(k for k, _, _ in found)
+    assert kinds == {"name": 2, "email": 2, "phone": 2, "ip": 2, "card": 1, "iban": 1, "secret": 1, "ssn": 1}
+    by_kind = collections.defaultdict(dict)
+    for kind, original, surrogate in found:
+        assert original != surrogate and by_kind[kind].setdefault(original, surrogate) == surrogate
+    assert len(by_kind["phone"]) == 1 and len(by_kind["email"]) == 1  # written in two ways each
+    assert pii.luhn(next(iter(by_kind["card"].values()))) == 0 and pii.iban_rest(next(iter(by_kind["iban"].values()))) == 1
+    first = next(n for o, n in by_kind["name"].items() if o.startswith("Mr. John"))
+    assert first.split()[1] in pii.FIRST_NAMES["m"].split() and new.endswith("version 1.2.3, 12 apples, 2020-01-02")
+    assert "10." in by_kind["ip"]["10.1.2.3"][:3]
+    out = pii.replace_pii(odd.union(odd.limit(1)).drop("text").crossJoin(spark.createDataFrame([(text,), (None,), ("",)], "text string")), "key")
+    assert out.count() == 3 * (len(IDS_TEXTS) + 1) and out.select("text").distinct().count() == 3
+    assert pii.replace_pii(none, "key").count() == 0
+    same = {tuple(r) for r in pii.replace_pii(odd, "key").where("n_entities = 0").select("doc_id", "text").collect()}
+    assert same == set(IDS_TEXTS)
+
+
+def test_collisions_raise_the_version(spark, monkeypatch):
+    df = spark.createDataFrame([(f"mail a{i}@mail.example.com",) for i in range(50)], "text string")
+    assert pii.collisions(pii.entity_table(df, "key")).isEmpty() and pii.sound_version(df, "key") == 0
+    table = spark.createDataFrame([("ip", "1", "9", 1), ("ip", "2", "9", 1), ("ip", "3", "4", 1), ("ip", "5", "5", 1)], "kind string, original string, surrogate string, n long")
+    assert {r.surrogate for r in pii.collisions(table).collect()} == {"9", "5"}
+
+
+# 3 packing
+
+
+def test_packing_covers_every_id_once(odd, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.pack_documents(odd, path, size=512, windows=4, most_gap=8, with_ids=True).toPandas()
+    expected = collections.Counter(
+        struct.pack(f"<{len(ids)}I", *ids) for ids in (tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in IDS_TEXTS)
+    )
+    assert (rows.ids.map(zlib.crc32) == rows.ids_crc32).all() and (rows.ids.map(len) == 4 * rows.length).all()
+    for _, pieces in rows.groupby("sequence_id"):
+        pieces = pieces.sort_values("offset")
+        assert pieces.offset.tolist() == [0, *pieces.length.cumsum().tolist()[:-1]] and pieces.length.sum() <= 512
+    got = collections.Counter()
+    for doc, pieces in rows[~rows.doc_id.isin([9]) & rows.doc_id.notna()].groupby("doc_id"):
+        pieces = pieces.sort_values("start")
+        assert pieces.start.tolist() == [0, *pieces.length.cumsum().tolist()[:-1]] and (pieces.doc_tokens == pieces.length.sum()).all()
+        got[b"".join(pieces.ids)] += 1
+    twice = tokenizer.encode(dict(IDS_TEXTS)[9], add_special_tokens=False).ids + [2]
+    assert rows[rows.doc_id == 9].length.sum() == 2 * len(twice)
+    assert all(expected[k] >= n for k, n in got.items()) and sum(got.values()) == len(IDS_TEXTS) - 4
+    fills = rows.groupby("sequence_id").length.sum()
+    assert 1 - rows.length.sum() / (512 * len(fills)) < 0.08
+    assert packing.pack_documents(none, path).count() == 0
+
+
+def test_word_ids_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, ids = Tokenizer.from_file(path), packing.word_ids(path)
+    rng = np.random.default_rng(1)
+    texts = ["".join(chr(c) for c in rng.integers(0, 256, 120)) for _ in range(200)] + [t or "" for _, t in IDS_TEXTS]
+    for text, packed in zip(texts, ids.encode(texts)):
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# 4 toxicity
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    bad = ["idiot", "moron", "scum", "trash"]
+    rows = []
+    for i in range(500):
+        words = prose(i, 40 + i % 50).split()
+        if i % 3 == 0:
+            words[i % 30], words[10 + i % 20] = bad[i % 4], bad[(i + 1) % 4].capitalize() + ","
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_toxicity_is_learned_from_rows_that_are_not_held_out(labelled):
+    rows = toxicity.classify(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic")).toPandas()
+    assert (rows.held_out == rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    held = rows[rows.held_out]
+    assert ((held.doc_id % 3 == 0) == (held.predicted == 1)).mean() > 0.95 and rows.score.between(0, 1).all()
+    assert ((rows.score >= 0.5) == (rows.predicted == 1)).all()
+
+
+def test_scores_use_texts_only(labelled, odd, none):
+    network = toxicity.fit(labelled, labelled)
+    a = {tuple(r) for r in toxicity.with_scores(odd, network).select("text", "score").collect()}
+    b = {tuple(r) for r in toxicity.with_scores(odd.withColumn("doc_id", odd.doc_id * 3).withColumn("lang", odd.source), network).select("text", "score").collect()}
+    assert a == b and len(a) == len({t for _, t in IDS_TEXTS}) and all(0 <= s <= 1 for _, s in a)
+    assert toxicity.with_scores(none, network).count() == 0
+    untaught = toxicity.classify(odd, labelled.where("toxic = 0")).toPandas()
+    assert len(untaught) == len(IDS_TEXTS) and (untaught.score == 0).all()
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(0)
+    words = [prose(1, 50).encode().split(), prose(2, 3).encode().split()]
+    network = toxicity.Network.fresh(3)
+    parameters = [network.embedding.astype(np.float64), *[f.astype(np.float64) for f in network.filters], *[b.astype(np.float64) + 0.1 for b in network.biases], network.output.astype(np.float64), np.zeros(1)]
+    for text in words:
+        rows = toxicity.rows_of(text)
+        gradients = [np.zeros_like(p) for p in parameters]
+        toxicity._backward(parameters, rows, 1, 1.0, gradients)
+
+        def loss():
+            n = toxicity.Network(parameters[0], parameters[1:4], parameters[4:7], parameters[7], float(parameters[8][0]), network.thresholds)
+            return np.log1p(np.exp(-toxicity.logits(n.word_table(), n, [text])[0]))
+
+        for p, g in zip(parameters[1:8], gradients[1:8]):
+            at = tuple(rng.integers(0, s) for s in p.shape)
+            p[at] += 1e-3
+            above = loss()
+            p[at] -= 2e-3
+            below = loss()
+            p[at] += 1e-3
+            assert abs((above - below) / 2e-3 - g[at]) < 2e-2 * max(1, abs(g[at]))
+
+
+# 5 near duplicates
+
+
+def plain_components(rows, k, percent=80):
+    sets = []
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[j : j + k]) for j in range(max(1, len(words) - k + 1))} if words else set())
+    ids = [i for i, _ in rows]
+    label = {i: i for i in ids if i is not None}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for x, s in enumerate(sets):
+        for y in range(x):
+            both = len(s & sets[y])
+            if s and sets[y] and None not in (ids[x], ids[y]) and 100 * both >= percent * (len(s) + len(sets[y]) - both):
+                a, b = sorted((find(ids[x]), find(ids[y])))
+                label[b] = a
+    return order((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in zip(ids, sets))
+
+
+def near_rows():
+    rows = [(100 + i, prose(50, 60 + i % 4)) for i in range(30)]
+    base = prose(60, 150).split()
+    for i in range(60):  # a family on the edge: links inside it are neither all nor none
+        words = list(base)
+        for j in range(3):
+            words[(i * 37 + j * 53) % 150] = f"x{i}y{j}"
+        rows.append((500 + i, " ".join(words)))
+    return rows + [(900 + i, f"same words here {i // 2}") for i in range(6)]
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_components_equal_all_pairs(spark, odd, none, k):
+    rows = [r for r in IDS_TEXTS if r[0] != 9] + near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert order(minhash.near_duplicates(df, k=k).collect()) == plain_components(rows, k)
+    assert minhash.near_duplicates(none, k=k).count() == 0 and minhash.near_duplicates(odd, k=k).count() == len(IDS_TEXTS)
+
+
+def test_bit_counts_estimate_similarity(spark):
+    a, b = prose(70, 600), " ".join(prose(70, 540).split() + prose(71, 60).split())
+    df = spark.createDataFrame([(1, a), (2, b), (3, prose(72, 500))], "doc_id long, text string")
+    signed = minhash.signatures(df, "doc_id", "text", 4)
+    sides = [signed.select(signed.doc_id.alias(s), *[signed[p].alias(f"{s}_{p}") for p in minhash.PLANES]) for s in "ab"]
+    found = {(r.a, r.b): r.e for r in sides[0].crossJoin(sides[1]).select("a", "b", minhash.estimate("a_", "b_").alias("e")).collect()}
+    x, y = (set(minhash.shingle_set(t, 4).tolist()) for t in (a, b))
+    assert found[1, 1] == 1 and abs(found[1, 2] - len(x & y) / len(x | y)) < 0.15 and abs(found[1, 3]) < 0.15
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, None)]
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+# 6 lines
+
+
+def plain_lines(rows, least=lines.LEAST_WORDS):
+    found = {}
+    for i, text in rows:
+        for n, line in enumerate((text or "").lower().split("\n") if text is not None else []):
+            words = [w for w in re.split(r"[ \t-\r]+", line) if w]
+            if len(words) >= least:
+                found[(i, n)] = words
+    key = lambda p: (p[0] is not None, p[0] or 0, p[1])
+    places, out = sorted(found, key=key), []
+    for at, p in enumerate(places):
+        x = found[p]
+        for q in places[:at]:
+            y = found[q]
+            if x == y or len(x) == len(y) and sum(a != b for a, b in zip(x, y)) == 1 or abs(len(x) - len(y)) == 1 and any(
+                max(x, y, key=len)[:i] + max(x, y, key=len)[i + 1 :] == min(x, y, key=len) for i in range(max(len(x), len(y)))
+            ):
+                out.append((*p, *q))
+                break
+    return order(out)
+
+
+def line_rows():
+    base = [prose(i, 7 + i % 6) for i in range(12)]
+    rows = []
+    for i in range(25):
+        words = base[i % 12].split()
+        if i % 3 == 0:
+            words[i % len(words)] = f"changed{i % 4}"
+        if i % 4 == 1:
+            del words[i % len(words)]
+        if i % 5 == 2:
+            words.insert(i % len(words), words[0])
+        rows.append((i, "\n".join([" ".join(words), base[(i * 5) % 12].upper() + " ", "short", ""])))
+    return rows + [(40, "a a b c d e"), (41, "a b c d e"), (42, "a b a c d e"), (43, "b a a c d e")]
+
+
+def test_duplicate_lines_equal_all_pairs(spark, odd, none):
+    rows = [(1000 + i, t) for i, t in line_rows()] + [r for r in IDS_TEXTS if r[0] not in (9, 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lines.duplicate_lines(df).collect()
+    assert order(r[:4] for r in got) == plain_lines(rows)
+    assert {r.edits for r in got} == {0, 1}
+    cut = {r.doc_id: r.text for r in lines.without_duplicate_lines(df).collect()}
+    gone = {(r.doc_id, r.line_no) for r in got}
+    for i, text in rows:
+        assert cut[i] == (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if (i, n) not in gone))
+    assert lines.duplicate_lines(none).count() == 0
+    kept = lines.without_duplicate_lines(odd)
+    assert kept.columns == odd.columns and kept.count() == len(IDS_TEXTS)
+
+
+def test_line_joins_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    rows = line_rows()
+    assert order(r[:4] for r in lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == plain_lines(rows)
+
+
+# 7 quality
+
+
+def test_base_counts_and_verdicts(odd, none):
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge_quality(odd).collect()}
+    expected = set()
+    for i, text in IDS_TEXTS:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        ls = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = collections.Counter(zip(words, words[1:], words[2:]))
+        again = {j + d for j in range(len(words) - 2) if windows[tuple(words[j : j + 3])] > 1 for d in range(3)}
+        failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        expected.add((i, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(ls) - len(set(ls)), len(again), failed))
+    assert got == expected and quality.judge_quality(none).count() == 0
+
+
+def test_divergent_documents_are_rejected(spark):
+    rows = [(i, prose(i, 200), "en") for i in range(40)] + [(90, " | ".join(f"q{i}z" for i in range(300)), "en"), (91, "%$# " * 5 + "&*| ".join(f"w{i}" for i in range(200)), "en")]
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(40)) and not got[90].kept and not got[91].kept
+    p, q = np.array([3, 1, 0, 2]) / 6, np.array([1, 1, 4, 2]) / 8
+    m = (p + q) / 2
+    kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v)
+    df = spark.createDataFrame([([3, 1, 0, 2], [1, 1, 4, 2]), ([0, 0, 0, 0], [1, 1, 4, 2])], "x array<bigint>, y array<bigint>")
+    found = [r.d for r in quality.with_distance(df, "x", "y", "d").collect()]
+    assert found[0] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2)) and found[1] is None
+
+
+# 8 suffixes
+
+
+def plain_repeats(rows, width):
+    counts = collections.Counter()
+    data = [(i, (t or "").encode()) for i, t in rows]
+    for _, b in data:
+        counts.update(hashlib.blake2b(b[j : j + width], digest_size=12).digest() for j in range(len(b) - width + 1))
+    out = []
+    for i, b in data:
+        gone = np.zeros(len(b) + 1, np.int8)
+        for j in range(len(b) - width + 1):
+            if counts[hashlib.blake2b(b[j : j + width], digest_size=12).digest()] > 1:
+                gone[j : j + width] = 1
+        kept = bytes(np.frombuffer(b, np.uint8)[gone[:-1] == 0])
+        out.append((i, len(b), len(b) - len(kept), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return order(out)
+
+
+def repeat_rows():
+    shared = prose(80, 200)
+    return [(200 + i, prose(90 + i, 30) + shared[i * 3 : 500 + i * 11] + prose(130 + i, 20)) for i in range(12)] + [(300, shared), (301, "ab" * 700)]
+
+
+@pytest.mark.parametrize("most", [256, 0])
+def test_repeats_equal_all_strings(spark, none, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST_SORTED", most)
+    rows = [r for r in IDS_TEXTS if r[0] != 8] + repeat_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert order(suffixes.remove_repeats(df, width=400).collect()) == plain_repeats(rows, 400)
+    assert suffixes.remove_repeats(none).count() == 0
+
+
+def test_long_texts_are_read_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "STRETCH", 700)
+    rows = [(1, prose(1, 900)), (2, "xx" + prose(1, 900)[1500:4000] + prose(2, 50))]
+    assert order(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == plain_repeats(rows, 400)
+
+
+def test_deep_shallow_order():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        stems = [bytes(rng.integers(97, 99, rng.integers(0, 250)).astype(np.uint8)) for _ in range(3)]
+        strings = [(s := stems[rng.integers(0, 3)])[: rng.integers(0, len(s) + 1)] + bytes(rng.integers(97, 99, rng.integers(0, 4)).astype(np.uint8)) for _ in range(10)]
+        assert [strings[i] for i in suffixes.sorted_order(strings)] == sorted(strings)
+        prefixes = suffixes.pairwise_prefixes(strings)
+        for i, a in enumerate(strings):
+            for j, b in enumerate(strings[:i]):
+                assert prefixes[i, j] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+# 9 archive
+
+
+def page_rows():
+    return [(5, "http://a", "<p>x</p>"), (3, "http://b\r\nX: y", "<p>x</p>"), (9, None, None), (2, "http://é", ""), (7, "u", "日本"), (None, "n", "<p>x</p>"), (3, "again", "<p>x</p>"), (8, "big", "z" * 200_000)]
+
+
+def test_archive_gives_the_records_back(spark, tmp_path):
+    df = spark.createDataFrame([(*r, "clash", 1) for r in page_rows()], "page_id long, url string, html string, digest string, header int")
+    warc.write_archive(df, str(tmp_path / "w"))
+    records = warc.read_archive(spark, str(tmp_path / "w"))
+    report = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_report(records).collect()}
+    assert report == {(5, 8, "revisit", 3), (3, 8, "response", None), (None, 8, "revisit", 3), (9, 0, "revisit", 2), (2, 0, "response", None), (7, 6, "response", None), (8, 200_000, "response", None)}
+    import base64
+
+    for r in records.collect():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        length = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert len(rest) == length + 4 and r.verified
+        digest = re.search(rb"sha1:(\w+)", head)[1]
+        assert digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest())
+        if b"WARC-Type: response" in head:
+            assert rest[:-4].partition(b"\r\n\r\n")[2] == bytes(r.payload)
+    assert spark.read.parquet(str(tmp_path / "w" / "payloads")).count() == 4
+    warc.write_archive(df.limit(0), str(tmp_path / "none"))
+    assert warc.archive_report(warc.read_archive(spark, str(tmp_path / "none"))).count() == 0
+
+
+# 10 byte-pair encoding
+
+
+def test_codes_equal_the_library(odd, none):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    expected = []
+    for i, text in IDS_TEXTS:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        expected.append((i, len(ids), digest(",".join(map(str, ids))), digest(tokenizer.decode(ids, skip_special_tokens=False))))
+    assert order(bpe.encode_documents(odd, path).collect()) == order(expected)
+    assert bpe.encode_documents(none, path).count() == 0
+
+
+def test_random_bytes_encode_as_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own = Tokenizer.from_file(path), bpe.coder(path)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(chr(int(c)) for c in rng.choice([*range(32, 127), 10, 233, 0x4E00, 0x1F600], 150))
+        assert own.encode(text)[1] == ",".join(map(str, tokenizer.encode(text, add_special_tokens=False).ids))
+    assert own.decode(np.array([128, 50256, 200])) == tokenizer.decode([128, 50256, 200], skip_special_tokens=False)
