@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -16,9 +17,11 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "validate_split", "duplicates_report", "dedup_first", "descriptor_table", "criteria_score", "screened_ranking",
-    "position_effects", "alignment_to_reference", "score_minimize", "rank_predictions", "roc_auc", "split_stratified",
-    "corr_matrix", "knn_join",
+    "validate_split", "validation_counts", "duplicates_report", "dedup_first", "descriptor_table", "aac", "mass_gravy_indices",
+    "isoelectric_point", "instability", "hydrophobic_moment", "dipeptides_long", "criteria_score", "criteria_summary", "screened_ranking",
+    "position_effects", "class_recommendations", "design_profile", "alignment_to_reference", "score_minimize",
+    "predictions_with_criteria", "rank_predictions", "roc_auc", "split_stratified", "cv_folds", "corr_matrix", "impute_median",
+    "knn_join", "fasta_roundtrip", "linear_regression_fit", "score_and_screen",
 )
 
 
@@ -32,6 +35,10 @@ def session(cpus: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
+        # small files are split, so that all cores read them
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

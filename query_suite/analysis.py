@@ -104,11 +104,11 @@ def position_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {I.CLEAN_SQL}, letters AS (SELECT l.activity, p.pos, p.aa, CASE WHEN substr(l.sequence, p.pos, 1) = p.aa THEN 1.0 ELSE 0.0 END AS hit
-           FROM (SELECT DISTINCT i AS pos, substr(sequence, i, 1) AS aa FROM (SELECT sequence, unnest(range(1, 4)) AS i FROM valid)) p, valid l)
+           FROM (SELECT DISTINCT i AS pos, substr(sequence, i, 1) AS aa FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM valid)) p, valid l)
            SELECT CAST(pos AS BIGINT) AS "Position", aa AS "Residue", round(corr(hit, activity), 6) + 0.0 AS "Correlation" FROM letters GROUP BY pos, aa HAVING sum(hit) >= 2""")
 def position_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closed-form correlation of the first three positions against the plain indicator form."""
-    effects = D.position_effects(_assay(spark, sf_dir), "sequence", "activity", max_positions=3)
+    """The closed-form correlation against the plain indicator form."""
+    effects = D.position_effects(_assay(spark, sf_dir), "sequence", "activity")
     return rounded(effects.select("Position", "Residue", "Correlation"))
 
 
@@ -154,7 +154,7 @@ def position_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mutation_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     effects = D.position_effects(_assay(spark, sf_dir), "sequence", "activity")
     recommendations = D.position_recommendations(effects, "activity")
-    proposals = D.suggest_mutations(I.peptides(spark, sf_dir).select("pep_id", "sequence"), recommendations, "sequence")
+    proposals = D.suggest_mutations(I.peptides(spark, sf_dir).select("pep_id", "sequence"), recommendations, "sequence", top_n=12)
     return rounded(proposals.drop("sequence", "Suggestion"))
 
 
@@ -181,7 +181,7 @@ _ALIGN_SQL = _BEST_SQL + """, pairs AS (SELECT *, levenshtein("ReferenceSequence
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid_rows(spark, sf_dir).withColumnRenamed("name", "Name")
-    return D.alignment_to_reference(rows, "sequence", "activity", KEYS)
+    return D.alignment_to_reference(rows, "sequence", "activity", KEYS, most_changes=12)
 
 
 @query(f"{_ALIGN_SQL} SELECT * FROM aligned")

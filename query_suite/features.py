@@ -174,7 +174,17 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SP.with_split(orders, "o_orderkey", "stratum", "multiclass")
 
 
-@query(_split_sql(f"{I.PEP_SQL}, e AS (SELECT {_EDGES} FROM pep), r AS (SELECT pep_id, CAST({_BIN} AS VARCHAR) AS s FROM pep, e)", "pep_id").replace("s AS stratum, ", ""))
+def _cut_sql(rows: str, name: str, share: str) -> str:
+    """Rows of a table cut into `taken` and the rest, by target bins of that table."""
+    return f"""{name}_e AS (SELECT {_EDGES} FROM {rows}), {name}_r AS (SELECT pep_id, activity, CAST({_BIN} AS VARCHAR) AS s FROM {rows}, {name}_e),
+  {name}_n AS (SELECT s, count(*) AS n FROM {name}_r GROUP BY s), {name}_t AS (SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(ceil(sum(n) * ({share})) AS BIGINT) AS total FROM {name}_n),
+  {name}_a AS (SELECT s, n * total // rows + CASE WHEN row_number() OVER (ORDER BY n * total % rows DESC, s) <= total - sum(n * total // rows) OVER () THEN 1 ELSE 0 END AS cut FROM {name}_n, {name}_t),
+  {name} AS (SELECT pep_id, activity, row_number() OVER (PARTITION BY s ORDER BY md5(CAST(pep_id AS VARCHAR) || ':42'), pep_id) <= cut AS taken FROM {name}_r JOIN {name}_a USING (s))"""
+
+
+@query(f"""WITH {I.PEP_SQL}, {_cut_sql("pep", "first_cut", "0.2")}, left_over AS (SELECT pep_id, activity FROM first_cut WHERE NOT taken),
+  {_cut_sql("left_over", "second_cut", "0.1 / (1.0 - 0.2)")}
+  SELECT pep_id, 'test' AS split FROM first_cut WHERE taken UNION ALL SELECT pep_id, CASE WHEN taken THEN 'val' ELSE 'train' END FROM second_cut""")
 def split_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     pep = I.peptides(spark, sf_dir)
     return SP.with_split(pep, "pep_id", "activity", "regression").select("pep_id", "split")

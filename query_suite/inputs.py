@@ -17,12 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a file with too few splits to all cores; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _core(seed: str, size: str) -> str:
     return (
         f"concat(translate(substr(md5(cast({seed} AS STRING)), 1, cast(4 + {size} % 9 AS INT)), "
@@ -59,12 +53,12 @@ FROM {labels}
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean distinct peptides with a measured value, one per part."""
-    return spark.sql(_PEP.format(part="{src}"), src=spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")))
+    return spark.sql(_PEP.format(part="{src}"), src=table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"))
 
 
 def raw_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty peptides, one per line item: blanks, gaps, lower case, foreign letters, repeats."""
-    return spark.sql(_RAW.format(lineitem="{src}"), src=spread(table(spark, sf_dir, "lineitem").select(*_RAW_COLUMNS)))
+    return spark.sql(_RAW.format(lineitem="{src}"), src=table(spark, sf_dir, "lineitem").select(*_RAW_COLUMNS))
 
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:

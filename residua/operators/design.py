@@ -12,6 +12,7 @@ from residua.functions.naming import resolve_direction
 from residua.functions.numbers import format_significant, round_half_even
 from residua.functions.sequences import clean_sequence, has_residues, residues, to_number
 from residua.operators.quantiles import exact_quantiles
+from residua.operators.storage import materialize
 
 
 def measured(df: DataFrame, sequence_col: str, target_col: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -36,11 +37,11 @@ def position_effects(
     target_col: str,
     direction: str = "auto",
     min_count: int = 2,
-    max_positions: int = 60,
+    max_positions: int | None = None,
 ) -> DataFrame:
     """Count, mean, shift and correlation of the target for every residue at every position.
 
-    One shuffle of at most positions x residues rows per task. The correlation of the 0/1 indicator
+    All positions count unless a last one is given. One shuffle of at most positions x residues rows per task. The correlation of the 0/1 indicator
     with the target follows from group mean, overall mean and spread in closed form.
     """
     direction = resolve_direction(direction, target_col)
@@ -54,7 +55,7 @@ def position_effects(
         ).alias("o")
     ).scalar()
     letters = rows.select(
-        "Target", F.posexplode(residues(F.substring("Sequence", 1, max_positions))).alias("at", "Residue")
+        "Target", F.posexplode(residues(F.col("Sequence") if max_positions is None else F.substring("Sequence", 1, max_positions))).alias("at", "Residue")
     ).filter(F.col("Residue").isin(*K.ALPHABET))
     grouped = (
         letters.groupBy((F.col("at") + 1).alias("Position"), "Residue")
@@ -84,6 +85,7 @@ def position_recommendations(effects: DataFrame, target_col: str) -> DataFrame:
     best = F.min(F.struct((-F.col("DesignScore")).alias("a"), (-F.col("Count")).alias("b"), "Residue", *payload))
     worst = F.min(F.struct(F.col("DesignScore").alias("a"), (-F.col("Count")).alias("b"), "Residue", *payload))
     picked = effects.groupBy("Position", "Direction").agg(best.alias("best"), worst.alias("worst"))
+    # The parts of the sentence.
     sentence = F.concat(
         F.lit("Position "), F.col("Position").cast("string"), F.lit(" favors "), F.col("best.Residue"),
         F.lit(f" ({target_col} mean "), format_significant(F.col("best.MeanTarget")),
@@ -123,9 +125,10 @@ def analyze_positions(
     target_col: str,
     direction: str = "auto",
     min_count: int = 2,
-    max_positions: int = 60,
+    max_positions: int | None = None,
 ) -> PositionAnalysis:
-    effects = position_effects(df, sequence_col, target_col, direction, min_count, max_positions)
+    """The three tables over effects that are computed once (at most positions x residues rows)."""
+    effects = materialize(position_effects(df, sequence_col, target_col, direction, min_count, max_positions), "effects")
     return PositionAnalysis(
         effects.orderBy("Position", F.col("DesignScore").desc(), "Residue"),
         position_recommendations(effects, target_col),
@@ -141,9 +144,9 @@ def position_heatmap(effects: DataFrame, positions: int, value: str = "DesignSco
 
 
 def suggest_mutations(
-    candidates: DataFrame, recommendations: DataFrame, sequence_col: str = "Sequence", top_n: int = 12
+    candidates: DataFrame, recommendations: DataFrame, sequence_col: str = "Sequence", top_n: int | None = None
 ) -> DataFrame:
-    """Proposals for every candidate, at the first `top_n` recommended positions it has.
+    """Proposals for every candidate, at the recommended positions it has; only the first `top_n` if given.
 
     The recommendations are a table of at most one row per analysed position, so they are broadcast
     and each candidate is only spread over those positions. Since the list goes up by position, the
@@ -153,13 +156,13 @@ def suggest_mutations(
         F.col("Position").alias("__position"),
         "RecommendedResidue", "EvidenceCount", "RecommendedCorrelation", "Suggestion",
     )
-    last = listed.select("__position").orderBy("__position").limit(top_n).agg(F.max("__position")).scalar()
+    wanted = listed.select("__position").orderBy("__position")
+    last = (wanted if top_n is None else wanted.limit(top_n)).agg(F.max("__position")).first()[0] or 0
     sequence = F.col("__sequence")
     spread = (
         candidates.withColumn("__sequence", clean_sequence(F.col(f"`{sequence_col}`")))
-        .select("*", F.posexplode(residues(sequence)).alias("__at", "CurrentResidue"))
+        .select("*", F.posexplode(F.slice(residues(sequence), 1, last)).alias("__at", "CurrentResidue"))
         .withColumn("Position", F.col("__at") + 1)
-        .filter(F.col("Position") <= last)
     )
     joined = spread.join(F.broadcast(listed), F.col("Position") == F.col("__position"))
     same = F.col("CurrentResidue") == F.col("RecommendedResidue")
@@ -202,31 +205,31 @@ def positional_matches(a: Column, b: Column) -> Column:
     return F.size(F.filter(equal, lambda e: e))
 
 
-def mutation_summary(reference: Column, sequence: Column, limit: int = 12) -> Column:
-    """Substitutions as `A3K`, then the length change; ` ...` when there are more than the limit."""
-    theirs = residues(sequence)
-    shared = F.slice(residues(reference), F.lit(1), F.least(F.length(reference), F.length(sequence)))
+def mutation_summary(reference: Column, sequence: Column, limit: int | None = 12) -> Column:
+    """Substitutions as `A3K`, then the length change; ` ...` when there are more than a given limit.
 
-    def change(residue: Column, index: Column) -> Column:
-        other = F.get(theirs, index)
-        return F.when(residue != other, F.concat(residue, (index + 1).cast("string"), other))
+    Both sequences are taken apart once, so the work is linear in their length.
+    """
+    both = F.zip_with(residues(reference), residues(sequence), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def change(pair: Column, index: Column) -> Column:
+        return F.when(pair["a"] != pair["b"], F.concat(pair["a"], (index + 1).cast("string"), pair["b"]))
 
-    substitutions = F.filter(F.transform(shared, change), lambda c: c.isNotNull())
+    substitutions = F.filter(F.transform(both, change), lambda c: c.isNotNull())
     difference = F.length(sequence) - F.length(reference)
     size = F.concat(
         F.when(difference > 0, "+").otherwise("-"), F.abs(difference).cast("string"), F.lit(" residue(s)")
     )
     changes = F.when(difference != 0, F.array_append(substitutions, size)).otherwise(substitutions)
-    return F.when(F.size(changes) == 0, "Reference").otherwise(
-        F.concat(
-            F.array_join(F.slice(changes, 1, limit), ", "),
-            F.when(F.size(changes) > limit, " ...").otherwise(""),
-        )
-    )
+    if limit is None:
+        return F.coalesce(F.nullif(F.array_join(changes, ", "), F.lit("")), F.lit("Reference"))
+    shown = F.array_join(F.slice(F.transform(changes, lambda c, i: F.when(i < limit, c).otherwise("...")), 1, limit + 1), ", ")
+    return F.coalesce(F.nullif(F.regexp_replace(shown, ", [.]{3}$", " ..."), F.lit("")), F.lit("Reference"))
 
 
 def alignment_to_reference(
-    df: DataFrame, sequence_col: str, target_col: str, order: Sequence[str], direction: str = "auto"
+    df: DataFrame, sequence_col: str, target_col: str, order: Sequence[str], direction: str = "auto",
+    most_changes: int | None = None,
 ) -> DataFrame:
     """Every peptide against the best observed one, row-local; no pair of peptides is formed.
 
@@ -258,7 +261,7 @@ def alignment_to_reference(
         round_half_even(edit_share, 3).alias("EditSimilarityToReference"),
         "EditDistanceToReference",
         (F.length(seq) - F.length(best)).alias("LengthDifference"),
-        mutation_summary(best, seq).alias("MutationSummaryVsReference"),
+        mutation_summary(best, seq, most_changes).alias("MutationSummaryVsReference"),
     )
 
 
@@ -284,6 +287,7 @@ def design_profile(
     target = to_number(F.col(f"`{target_col}`"), dict(df.dtypes)[target_col])
     best = df.filter(target >= threshold if direction == "maximize" else target <= threshold)
     spread = exact_quantiles(best, wanted, [0.1, 0.5, 0.9])
+    # Fixed value: output text.
     reason = "Observed range among the best-activity peptides in this dataset."
     rows = []
     for name in wanted:

@@ -71,7 +71,7 @@ def correlation_values(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str,
     return {p: (None if v is None or v != v else v) for p, v in values.items()}
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], max_features: int = 80) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str], max_features: int | None = None) -> DataFrame:
     """Long form of the correlation matrix of the first columns, both triangles and the diagonal."""
     used = list(columns)[:max_features]
     values = correlation_values(df, used)

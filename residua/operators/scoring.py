@@ -3,48 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua.functions.naming import scoring_direction
 from residua.operators.ordering import with_row_number
 
+# Output texts.
 MINIMIZE_MEANING = (
     "Positive optimized score; higher is better. Raw lower-is-better value is in RawModelPrediction."
 )
 MAXIMIZE_MEANING = "Predicted target value; higher is better."
 
 
-def _batch(df: DataFrame, value: str) -> Column:
-    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")).alias("b")).scalar()
+@dataclass(frozen=True)
+class Batch:
+    """Range and size of the values that are scored together."""
+
+    low: float
+    high: float
+    n: int
 
+    @property
+    def flat(self) -> bool:
+        return not self.n or abs(self.low - self.high) <= 1e-8 + 1e-5 * abs(self.high)
 
-def _near(batch: Column) -> Column:
-    return F.abs(batch["low"] - batch["high"]) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(batch["high"])
+
+def batch_of(df: DataFrame, value: str) -> Batch:
+    """Read once, so that the numbers stand in the score expressions as plain values."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    row = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")).first()
+    return Batch(row["low"], row["high"], row["n"])
 
 
-def lower_better_score(value: Column, batch: Column) -> Column:
-    """Inverted min-max score from 0 to 100; a batch without spread is scored value by value."""
-    spread = (batch["n"] > 1) & ~_near(batch)
-    inverted = F.lit(100.0) * (batch["high"] - value) / F.nullif(batch["high"] - batch["low"], F.lit(0.0))
-    alone = F.when(value <= 0, -value).otherwise(F.lit(100.0) / (F.lit(1.0) + value))
-    score = F.when(spread, inverted).otherwise(alone)
+def lower_better_score(value: Column, batch: Batch) -> Column:
+    """Inverted min-max score from 0 to 100, exact at both ends; a batch without spread is scored value by value."""
+    if batch.n > 1 and not batch.flat:
+        score = F.lit(100.0) * ((F.lit(batch.high) - value) / F.lit(batch.high - batch.low))
+    else:
+        score = F.when(value <= 0, -value).otherwise(F.lit(100.0) / (F.lit(1.0) + value))
     return F.when(value.isNotNull(), F.greatest(score, F.lit(0.0)))
 
 
-def normalized_score(value: Column, batch: Column, higher_is_better: bool = True) -> Column:
-    """Min-max score from 0 to 100 in either direction; 100 for a batch without spread."""
-    above = (value - batch["low"]) if higher_is_better else (batch["high"] - value)
-    scaled = F.lit(100.0) * above / F.nullif(batch["high"] - batch["low"], F.lit(0.0))
-    score = F.when(_near(batch), F.lit(100.0)).otherwise(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(100.0)))
-    return F.when(value.isNotNull(), score)
+def normalized_score(value: Column, batch: Batch, higher_is_better: bool = True) -> Column:
+    """Min-max score from 0 to 100 in either direction, exact at both ends; 100 for a batch without spread."""
+    if batch.flat:
+        return F.when(value.isNotNull(), F.lit(100.0))
+    above = (value - F.lit(batch.low)) if higher_is_better else (F.lit(batch.high) - value)
+    scaled = F.lit(100.0) * (above / F.lit(batch.high - batch.low))
+    return F.when(value.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(100.0)))
 
 
 def with_regression_scores(df: DataFrame, target: str, prediction: str = "Prediction") -> DataFrame:
     """Score columns of a regression batch, by the direction its target name implies."""
     direction = scoring_direction(target)
-    batch = _batch(df, prediction)
+    batch = batch_of(df, prediction)
     raw = F.nanvl(F.col(prediction).cast("double"), F.lit(None).cast("double"))
     if direction == "minimize":
         columns = {
@@ -83,8 +97,3 @@ def with_rank(df: DataFrame, order: Sequence[Column | str], score: str = "Rankin
 def top_predictions(ranked: DataFrame, top_n: int = 30) -> DataFrame:
     """The best rows of a ranked table, numbered 1..n."""
     return ranked.filter(F.col("Rank") <= top_n).orderBy("Rank")
-
-
-def best_rows(df: DataFrame, order: Sequence[Column | str], top_n: int, score: str = "RankingScore") -> DataFrame:
-    """Top of an unranked table: one pass that keeps `top_n` rows per task."""
-    return df.orderBy(F.col(score).desc_nulls_last(), *order).limit(top_n)

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from residua.functions.naming import is_classification
 from residua.operators.ordering import hash_order, with_row_number
 from residua.operators.quantiles import exact_quantiles
+from residua.operators.storage import materialize
 
 REPEATS = 5
+BROADCAST_STRATA = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,23 +53,35 @@ def allocate(sizes: dict, total: int) -> dict:
 def with_split(df: DataFrame, id_col: str, target: str, task: str, config: SplitConfig = SplitConfig()) -> DataFrame:
     """Add `split` (train, val, test), stratified by class or by target bin.
 
-    Rows are put in md5 order inside their stratum and cut at exact counts.
+    Rows are put in md5 order inside their stratum and cut at exact counts. The strata of the validation
+    cut are made anew from the rows that the test cut left. Where the target is too small or too even for
+    strata, the cut is made without them; `is_stratified` tells.
     """
+    cut = _with_cut(df, id_col, target, task, config.test_size, config.random_state)
+    test, rest = cut.filter("__in").drop("__in").withColumn("split", F.lit("test")), cut.filter("not __in").drop("__in")
+    if config.val_size <= 0:
+        return test.unionByName(rest.withColumn("split", F.lit("train")))
+    relative = min(max(config.val_size / (1.0 - config.test_size), 0.05), 0.5)
+    second = _with_cut(materialize(rest, "rest"), id_col, target, task, relative, config.random_state)
+    return test.unionByName(second.withColumn("split", F.when(F.col("__in"), "val").otherwise("train")).drop("__in"))
+
+
+def is_stratified(df: DataFrame, target: str, task: str) -> bool:
+    """Whether a split of these rows has strata: always by class, by target bin only with enough rows and values."""
+    return is_classification(task) or regression_bins(df, target) is not None
+
+
+def _with_cut(df: DataFrame, id_col: str, target: str, task: str, share: float, seed: int) -> DataFrame:
+    """Add `__in`: whether a row belongs to the first `share` of its stratum."""
     stratum = F.col(target).cast("string") if is_classification(task) else regression_bins(df, target)
     tagged = df.withColumn("__stratum", F.coalesce(stratum.cast("string"), F.lit("")) if stratum is not None else F.lit(""))
     sizes = {r["__stratum"]: r["n"] for r in tagged.groupBy("__stratum").agg(F.count("*").alias("n")).collect()}
-    rows = sum(sizes.values())
-    test = allocate(sizes, math.ceil(config.test_size * rows))
-    left = {s: n - test[s] for s, n in sizes.items()}
-    relative = min(max(config.val_size / (1.0 - config.test_size), 0.05), 0.5)
-    val = allocate(left, math.ceil(relative * sum(left.values()))) if config.val_size > 0 else dict.fromkeys(sizes, 0)
-    cuts = df.sparkSession.createDataFrame(
-        [(s, test[s], test[s] + val[s]) for s in sizes], "__s string, __test bigint, __val bigint"
-    )
-    numbered = with_row_number(tagged, hash_order(id_col, config.random_state), "__n", ["__stratum"])
-    split = F.when(F.col("__n") <= F.col("__test"), "test").when(F.col("__n") <= F.col("__val"), "val").otherwise("train")
-    joined = numbered.join(F.broadcast(cuts), F.col("__stratum") == F.col("__s"))  # one row per class or bin
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
+    taken = allocate(sizes, math.ceil(share * sum(sizes.values()))) if sizes else {}
+    cuts = df.sparkSession.createDataFrame(list(taken.items()), "__s string, __cut bigint")
+    numbered = with_row_number(tagged, hash_order(id_col, seed), "__n", ["__stratum"])
+    small = F.broadcast(cuts) if len(taken) <= BROADCAST_STRATA else cuts
+    joined = numbered.join(small, F.col("__stratum") == F.col("__s"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__n") <= F.col("__cut")).alias("__in"))
 
 
 def fold_count(task: str, requested: int, rows: int, smallest_class: int | None = None) -> int | None:

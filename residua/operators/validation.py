@@ -21,7 +21,7 @@ from residua.operators.skew import semi_join_by_key
 from residua.operators.storage import materialize
 
 VALID, INVALID = "valid", "invalid"
-_CONTENT_SAMPLE, _CONTENT_SHARE = 200, 0.6
+_CONTENT_SHARE = 0.6
 
 
 def tag_sequences(df: DataFrame, sequence_col: str = "Sequence") -> DataFrame:
@@ -120,13 +120,12 @@ def guess_sequence_column(df: DataFrame) -> str | None:
     for c in df.columns:
         if "seq" in normalize_header(c) or "peptide" in normalize_header(c):
             return c
-    for c in df.columns:
-        value = F.col(f"`{c}`")
-        sample = df.select(clean_sequence(value).alias("s")).filter(value.isNotNull()).limit(_CONTENT_SAMPLE)
-        share = sample.agg(F.avg(is_peptide_like(F.col("s")).cast("int"))).first()[0]
-        if share is not None and share >= _CONTENT_SHARE:
-            return c
-    return None
+    if not df.columns:
+        return None
+    values = [F.col(f"`{c}`") for c in df.columns]
+    like = [F.when(v.isNotNull(), is_peptide_like(clean_sequence(v)).cast("int")) for v in values]
+    shares = df.agg(*[F.avg(v).alias(f"s{i}") for i, v in enumerate(like)]).first()  # all rows, all columns, one pass
+    return next((c for i, c in enumerate(df.columns) if (shares[f"s{i}"] or 0.0) >= _CONTENT_SHARE), None)
 
 
 def numeric_targets(df: DataFrame, descriptors: Sequence[str], minimum: int = 3) -> list[str]:

@@ -89,6 +89,8 @@ def _solve(products: np.ndarray, penalty: Callable[[np.ndarray], tuple]) -> np.n
                 largest = max(largest, float(np.abs(step).max()))
             if largest < _TOLERANCE:
                 break
+        else:
+            raise ArithmeticError(f"The penalised fit did not converge in {_SWEEPS} sweeps.")
     weights = weights * scale[:, None]
     return np.column_stack([means[:, -1] - (means[:, :-1] * weights).sum(1), weights])
 

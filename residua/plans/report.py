@@ -49,7 +49,3 @@ def descriptor_summary(descriptors: DataFrame, feature_count: int) -> DataFrame:
         F.lit(feature_count).alias("Descriptor Feature Count"),
     )
     return aggregate_values("descriptors", computed)
-
-
-def first_rows(table: DataFrame, rows: int = TOP_ROWS) -> DataFrame:
-    return table.limit(rows)

@@ -24,7 +24,8 @@ from residua.plans.bundle import ModelBundle
 from residua.plans.linear_folds import PENALTIES, linear_fold_metrics
 from residua.plans.models import catalogue, fit_model
 
-MAX_CLASSES = 10_000
+#: Labels kept on the driver; a target with more is a list of names rather than of classes.
+MOST_CLASSES, BROADCAST_CLASSES = 1_000_000, 100_000
 
 
 @dataclass
@@ -54,11 +55,12 @@ def prepare_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, li
         return df.withColumn("y", number).filter(F.col("y").isNotNull()), None
     text = F.trim(value.cast("string"))
     present = df.withColumn("__class", text).filter(F.col("__class").isNotNull() & ~F.col("__class").isin("", "nan", "None"))
-    labels = sorted(r[0] for r in present.select("__class").distinct().limit(MAX_CLASSES + 1).collect())
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"The target '{target}' has more than {MAX_CLASSES} classes.")
-    place = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("__class")) - 1
-    return present.withColumn("y", place.cast("double")).drop("__class"), labels
+    labels = sorted(r[0] for r in present.select("__class").distinct().limit(MOST_CLASSES + 1).collect())
+    if len(labels) > MOST_CLASSES:
+        raise ValueError(f"The target '{target}' has more than {MOST_CLASSES} different values.")
+    places = df.sparkSession.createDataFrame([(label, float(i)) for i, label in enumerate(labels)], "__label string, y double")
+    small = F.broadcast(places) if len(labels) <= BROADCAST_CLASSES else places
+    return present.drop("y").join(small, F.col("__class") == F.col("__label")).drop("__class", "__label"), labels
 
 
 @dataclass(frozen=True)
@@ -78,8 +80,7 @@ class _Data:
         return len(self.labels) if self.labels else 1
 
 
-def _select(task: str, rows: DataFrame, names: list[str], count: int) -> list[int] | None:
-    percentile = SEL.selection_percentile(len(names), count)
+def _select(task: str, rows: DataFrame, names: list[str], percentile: int) -> list[int] | None:
     if percentile >= 100:
         return None
     columns = rows.select("y", vector_to_array("features").alias("v")).select(
@@ -171,10 +172,13 @@ def train_and_compare(
     options: Mapping[str, Mapping[str, Any]] | None = None,
     parallelism: int = 4,
     refit: bool = True,
+    feature_percentile: int = 100,
 ) -> TrainingResult:
     """Compare models on a descriptor table.
 
     `options` overrides settings of single models; without `folds` the holdout alone decides.
+    `feature_percentile` is the share of features kept by their F score; `selection.selection_percentile`
+    gives the usual one for tables with few rows.
     """
     task, options = task_type(task), options or {}
     columns = [c for c in descriptor_columns(df) if c != target]
@@ -202,9 +206,9 @@ def train_and_compare(
     names = preprocessor.output_names
     if k:
         train = with_folds(train, k, repeats, "y" if labels is not None else None)
-    data = _Data(task, labels, train, rows, len(names), names, _select(task, train, names, rows))
+    data = _Data(task, labels, train, rows, len(names), names, _select(task, train, names, feature_percentile))
 
-    full = _full_data(task, labels, table, columns, preprocessing, total) if refit else None
+    full = _full_data(task, labels, table, columns, preprocessing, total, feature_percentile) if refit else None
     linear = [m for m in chosen if task == REGRESSION and m in PENALTIES and not options.get(m)]
     linear_folds = None
     if k and linear:
@@ -254,12 +258,14 @@ class _Full:
     preprocessor: FittedPreprocessor
 
 
-def _full_data(task: str, labels, table: DataFrame, columns: list[str], config: PreprocessingConfig, total: int) -> _Full:
+def _full_data(
+    task: str, labels, table: DataFrame, columns: list[str], config: PreprocessingConfig, total: int, percentile: int
+) -> _Full:
     """All rows under a preprocessor of their own, for the models that are kept."""
     preprocessor = fit_preprocessor(table, columns, config)
     rows = materialize(preprocessor.transform(table, ["id", "y"]), "all")
     names = preprocessor.output_names
-    return _Full(_Data(task, labels, rows, total, len(names), names, _select(task, rows, names, total)), preprocessor)
+    return _Full(_Data(task, labels, rows, total, len(names), names, _select(task, rows, names, percentile)), preprocessor)
 
 
 def _refit(name: str, full: _Full, options, config: DescriptorConfig, columns: list[str], target: str, metrics, cv) -> ModelBundle:

@@ -7,9 +7,11 @@ its file, on which "first" and default names depend, is fixed there.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -19,9 +21,13 @@ from residua.operators.ordering import with_row_number
 from residua.operators.validation import parsed_ratio
 
 # Texts that mean a missing value in a delimited file.
-MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NULL", "NaN", "None", "n/a", "nan", "null")
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+)
 DELIMITERS = ("\t", ",", ";", "|")
 NUMERIC_SHARE = 0.8
+MOST_PROPERTIES = 10_000
 
 MEASUREMENT_SCHEMA = StructType(
     [StructField("Name", StringType()), StructField("Sequence", StringType())]
@@ -32,9 +38,20 @@ MEASUREMENT_SCHEMA = StructType(
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, sep: str = ",") -> DataFrame:
-    """Delimited table with a header. Without a schema, columns whose present values all parse become numbers."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False)
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | None = None, sep: str = ",", quoted_line_ends: bool = False
+) -> DataFrame:
+    """Delimited table with a header. Without a schema, columns whose present values all parse become numbers.
+
+    Files are split over tasks at line ends. Where quoted values hold line ends, say so: such files are read
+    whole, one task each. Otherwise a row with an open quote stops the reading instead of giving broken rows.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", quoted_line_ends)
+    if not quoted_line_ends:
+        lines = spark.read.text(path)
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if not lines.where((quotes % 2 == 1) & F.col("value").rlike(f'(^|{re.escape(sep)})"')).isEmpty():
+            raise ValueError(f"Quoted values with line ends in {path}: read it with quoted_line_ends=True.")
     if schema is not None:
         return reader.schema(schema).csv(path)
     return infer_numbers(reader.csv(path))
@@ -62,18 +79,28 @@ def infer_numbers(df: DataFrame) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """Pieces of text between separators, with file and place; `first` marks the start of a file."""
+    """Pieces of text between separators, with file and place, from one scan; `first` marks the start of a file.
+
+    A task reads the pieces of a file in order, so the first piece of a file is the one before which the task
+    read another file or none, if its block starts at 0.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            files, blocks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            first = [block == 0 and file != last for file, block, last in zip(files, blocks, [before, *files])]
+            before = files[-1] if files else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.bool_())], [*batch.schema.names, "first"])
+
     text = spark.read.option("lineSep", separator).text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
     )
-    starts = text.filter(F.col("block") == 0).groupBy("file").agg(F.min("place").alias("start"))
-    joined = text.join(starts.withColumnRenamed("file", "__file"), F.col("file") == F.col("__file"), "left")
-    unix = F.regexp_replace("value", "\r\n?", "\n")
-    first = (F.col("block") == 0) & (F.col("place") == F.col("start"))
-    return joined.select(unix.alias("value"), "file", "block", "place", F.coalesce(first, F.lit(False)).alias("first"))
+    marked = text.mapInArrow(mark, "value string, file string, block long, place long, first boolean")
+    return marked.withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
 
 
 def _fasta_records(text: Column) -> Column:
@@ -97,13 +124,13 @@ def _default_name(name: Column, prefix: str, number: Column) -> Column:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, Name, Sequence); a record without a name is called `Sequence_<record>`."""
     chunks = _chunks(spark, path, "\n>")
+    order = [F.col("block"), F.col("place"), F.col("part")]
     text = F.when(F.col("first"), F.col("value")).otherwise(F.concat(F.lit(">"), F.col("value")))
     records = chunks.select("file", "block", "place", F.posexplode(_fasta_records(text)).alias("part", "text"))
     named = records.select(
         "file", "block", "place", "part",
         _header(F.col("text")).alias("Name"), _fasta_sequence(F.col("text")).alias("Sequence"),
     )
-    order = [F.col("block"), F.col("place"), F.col("part")]
     numbered = with_row_number(named, order, "record", ["file"])
     return numbered.select("file", "record", _default_name(F.col("Name"), "Sequence_", F.col("record")).alias("Name"), "Sequence")
 
@@ -198,7 +225,8 @@ def clean_sequence_or_null(value: Column) -> Column:
 
 
 def read_sdf(spark: SparkSession, path: str, properties: Sequence[str] | None = None) -> DataFrame:
-    """Wide molecule table. Without a list the columns are all property names found, in file order.
+    """Wide molecule table. Without a list the columns are all property names found, in file order; more than
+    `MOST_PROPERTIES` names are an error, since each becomes a column.
 
     A property that parses as a number in at least 80 % of all rows becomes numeric.
     """
@@ -207,7 +235,9 @@ def read_sdf(spark: SparkSession, path: str, properties: Sequence[str] | None =
         found = records.select("file", "record", F.posexplode("properties").alias("at", "p")).groupBy("p.key").agg(
             F.min(F.struct("file", "record", "at")).alias("first")
         )
-        names = [r["key"] for r in found.orderBy("first").collect()]
+        names = [r["key"] for r in found.orderBy("first").limit(MOST_PROPERTIES + 1).collect()]
+        if len(names) > MOST_PROPERTIES:
+            raise ValueError(f"More than {MOST_PROPERTIES} property names in {path}: name those wanted.")
         properties = [n for n in names if n not in ("Name", "Sequence")]
     wide = records.select(
         "file", "record", "Name", "Sequence",
@@ -222,15 +252,24 @@ def read_sdf(spark: SparkSession, path: str, properties: Sequence[str] | None =
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """A text file that is FASTA, a delimited table or a list, in this order of preference."""
+    """A text file that is FASTA, a delimited table or a list, in this order of preference.
+
+    The delimiter is that of the first line with text of every file; files that differ are an error.
+    """
     lines = spark.read.text(path)
     if not lines.filter(F.ltrim("value").startswith(">")).isEmpty():
         return read_fasta(spark, path)
-    head = lines.filter(F.trim("value") != "").first()
-    for sep in DELIMITERS:
-        if head is not None and sep in head["value"].strip(" \r\n"):
-            return read_csv(spark, path, sep=sep)
-    return read_sequence_list(spark, path)
+    line = F.regexp_replace(F.rtrim(F.regexp_replace("value", "\r", "")), "^ +", "")
+    found = F.lit(None).cast("string")
+    for sep in reversed(DELIMITERS):
+        found = F.when(line.contains(sep), sep).otherwise(found)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    heads = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"), found.alias("sep"))
+    heads = heads.filter(F.trim("value") != "").groupBy("file").agg(F.min_by(F.struct("sep"), "place")["sep"].alias("sep"))
+    kinds = [r["sep"] for r in heads.select("sep").distinct().collect()]  # at most one row per delimiter
+    if len(kinds) > 1:
+        raise ValueError(f"The files of {path} have different delimiters: {sorted(map(str, kinds))}")
+    return read_csv(spark, path, sep=kinds[0]) if kinds and kinds[0] else read_sequence_list(spark, path)
 
 
 _READERS = {".csv": read_csv, ".fasta": read_fasta, ".fa": read_fasta, ".faa": read_fasta, ".sdf": read_sdf, ".txt": read_text}
