@@ -51,6 +51,18 @@ FROM {labels}
 """
 
 
+_LONG = """
+SELECT doc_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', ''{flag})) AS sequence,
+       -abs(cast(n_chars AS DOUBLE) - 1000.0) AS activity
+FROM {documents}
+"""
+
+
+def long_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of up to many thousand residues: the letters of the alphabet in every text."""
+    return spark.sql(_LONG.format(documents="{src}", flag=""), src=table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+
+
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean distinct peptides with a measured value, one per part."""
     return spark.sql(_PEP.format(part="{src}"), src=table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"))
@@ -75,4 +87,5 @@ CLEAN_SQL = RAW_SQL + """, cleaned AS (
     SELECT * REPLACE (upper(regexp_replace(coalesce(sequence, ''), '\\s+', '', 'g')) AS sequence) FROM raw_pep),
   filled AS (SELECT *, translate(sequence, 'ACDEFGHIKLMNPQRSTVWY', '') AS foreign_part FROM cleaned WHERE sequence <> ''),
   valid AS (SELECT row_id, l_partkey, l_suppkey, activity, name, sequence FROM filled WHERE foreign_part = '')"""
+LONG_SQL = f"valid AS (SELECT * FROM ({_LONG.format(documents='documents', flag=", 'g'")}) WHERE sequence <> '')"
 LABELED_SQL = f"labeled AS ({_duck(_LABELED.format(labels='labels'))})"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from residua.functions.numbers import format_significant
+from residua.plans.bundle import ModelBundle
 
 TOP_ROWS = 25
 
@@ -49,3 +50,23 @@ def descriptor_summary(descriptors: DataFrame, feature_count: int) -> DataFrame:
         F.lit(feature_count).alias("Descriptor Feature Count"),
     )
     return aggregate_values("descriptors", computed)
+
+
+def model_summary(spark: SparkSession, bundle: ModelBundle, metrics: Sequence[str] | None = None, digits: int = 5) -> DataFrame:
+    """What the model is, and its metrics on held-out rows with so many decimals."""
+    about = {"Model": bundle.model_name, "Target": bundle.target_column, "Task": bundle.task, "Feature Count": str(len(bundle.feature_names))}
+    chosen = {k: v for k, v in bundle.metrics.items() if v is not None and (metrics is None or k in metrics)}
+    found = {k: f"{v:.{digits}f}" for k, v in chosen.items()}
+    return key_values(spark, "model", about).unionByName(key_values(spark, "metrics", found))
+
+
+def best_predictions(ranked: DataFrame, rows: int = TOP_ROWS) -> DataFrame:
+    """The best rows of a ranked table for the report."""
+    return ranked.filter(F.col("Rank") <= rows).orderBy("Rank")
+
+
+def leaderboard_section(comparison: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The comparison of models as (section, key, value), one row per model and metric."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("number")) for m in metrics])).alias("p")
+    long = comparison.select("Model", pairs).where("p.number is not null")
+    return long.select(F.lit("leaderboard").alias("section"), F.concat("Model", F.lit(" "), "p.metric").alias("key"), format_significant(F.col("p.number"), 5).alias("value"))
