@@ -18,10 +18,10 @@ from residua.operators.storage import materialize
 
 # Common function words by language.
 COMMON_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on are this at from",
-    "de": "der die und das von zu mit sich des auf für ist im nicht ein eine den dem als auch",
-    "fr": "de la le et les des en un du que est pour dans qui sur pas une par au avec",
-    "es": "de la que el en y a los del se las por un para con una su al lo como",
+    "en": "the of and to in a is that for it",
+    "de": "der die und das von zu mit sich des auf",
+    "fr": "de la le et les des en un du que",
+    "es": "de la que el en y a los del se",
 }
 WORDS = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 # Character classes, taken in this order; what is left is the last class.
@@ -29,17 +29,12 @@ CLASSES = {
     "lower": r"\p{Ll}+", "space": r"[ \t-\r]+", "upper": r"\p{Lu}+", "stop": r"[.,;:?!'()\-]+", "digit": r"\p{Nd}+",
 }
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 
 # A distance may reach `base + noise / sqrt(size)`: small histograms stray further from their reference.
 CHAR_LIMIT, WORD_LIMIT = (0.14, 1.6), (0.20, 1.7)
 MIN_CHARS, MIN_LETTER_WORDS = 200, 100
 
 
-def _length_without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
 def with_repeated_words(df: DataFrame, words: str) -> DataFrame:
     """Add `n_repeat_words`: words standing in a window of three that occurs at least twice in the list.
 
@@ -48,7 +43,7 @@ def with_repeated_words(df: DataFrame, words: str) -> DataFrame:
     w, n = F.col(words), F.size(words)
     windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
     df = df.withColumn("__windows", F.when(n >= 3, windows))
-    ordered = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("__ordered", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), ordered))
     df = df.withColumn("__last", F.size("__ordered") - 1)
     o, last = F.col("__ordered"), F.col("__last")
@@ -59,46 +54,43 @@ def with_repeated_words(df: DataFrame, words: str) -> DataFrame:
     return df.drop("__windows", "__ordered", "__last", "__same")
 
 
-def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """Counts of the base rules: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    has_word = lambda line: F.length(F.translate(line, BLANKS, "")) > 0
-    step = df.withColumn("__text", whole)
+def described(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Counts of the base rules and the histograms `__chars`, `__bins`; `__key` is a listed language or 'other'."""
+    step = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    rest, left = F.col("__text"), [F.length("__text")]
+    for k, pattern in enumerate(CLASSES.values()):
+        step = step.withColumn(f"__rest{k}", F.regexp_replace(rest, pattern, ""))
+        rest = F.col(f"__rest{k}")
+        left.append(F.length(rest))
+    chars = [(a - b).cast("bigint") for a, b in zip(left, left[1:])] + [left[-1].cast("bigint")]
+    no_blanks = left[0] - chars[list(CLASSES).index("space")]
     step = step.withColumns({
         "__words": F.array_remove(F.split("__text", r"[ \t-\r]+"), ""),
-        "__lines": F.filter(F.split("__text", "\n"), has_word),
-        "word_chars": _length_without(F.col("__text"), BLANKS).cast("bigint"),
-        "n_symbols": (F.length("__text") - _length_without(F.col("__text"), SYMBOLS)).cast("bigint"),
-    })
+        "__lines": F.filter(F.split("__text", "\n"), lambda line: line.rlike(r"[^ \t-\r]")),
+        "__runs": F.btrim(F.regexp_replace(F.lower("__text"), r"\P{L}+", "|"), F.lit("|")),  # words of letters, by bars
+        "__chars": F.array(*chars),
+        "word_chars": no_blanks.cast("bigint"),
+        # no symbol is a letter or blank, so the short rest has them all
+        "n_symbols": (F.length("__rest2") - F.length(F.translate("__rest2", SYMBOLS, ""))).cast("bigint"),
+    }).drop(*[f"__rest{k}" for k in range(len(CLASSES))], "__text")
     step = step.withColumns({
         "n_words": F.size("__words").cast("bigint"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
+        "__letter_words": F.when(F.col("__runs") == "", 0).otherwise(
+            F.length("__runs") - F.length(F.replace("__runs", F.lit("|"), F.lit(""))) + 1
+        ).cast("bigint"),
+        "__short": F.regexp_replace(F.concat(F.lit("|"), F.replace("__runs", F.lit("|"), F.lit("||")), F.lit("|")), r"\|\p{L}{5,}(?=\|)", ""),
     })
-    step = with_repeated_words(step, "__words")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return step.withColumn("base_failed", failed).drop("__words", "__lines")
-
-
-def histogram_columns(df: DataFrame, lang: str = "lang") -> DataFrame:
-    """`__chars`, `__bins` (arrays of counts), `__key` (listed language or 'other'); reads `__text`."""
-    rest, left, chars = F.col("__text"), [F.length("__text")], []
-    for k, pattern in enumerate(CLASSES.values()):
-        df = df.withColumn(f"__rest{k}", F.regexp_replace(rest, pattern, ""))
-        rest = F.col(f"__rest{k}")
-        left.append(F.length(rest))
-    chars = [(a - b).cast("bigint") for a, b in zip(left, left[1:])] + [left[-1].cast("bigint")]
-    df = df.withColumn("__spaced", F.concat(F.lit("|"), F.regexp_replace(F.lower("__text"), r"\P{L}+", "||"), F.lit("|")))
-    df = df.withColumn("__short", F.regexp_replace("__spaced", r"\|\p{L}{6,}(?=\|)", ""))
     hits = [
-        ((F.length("__short") - F.length(F.replace(F.col("__short"), F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("bigint") for w in WORDS
+        ((F.length("__short") - F.length(F.replace("__short", F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("bigint") for w in WORDS
     ]
-    letter_words = F.size(F.array_remove(F.split("__spaced", r"\|+"), "")).cast("bigint")
-    df = df.withColumns({"__chars": F.array(*chars), "__hits": F.array(*hits), "__letter_words": letter_words})
+    step = with_repeated_words(step.withColumn("__hits", F.array(*hits)), "__words")
     total = F.aggregate("__hits", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    key = F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("other")
-    return df.withColumns({
-        "__bins": F.concat("__hits", F.array(F.col("__letter_words") - total)), "__key": key,
-    }).drop("__spaced", "__short", "__hits", *[f"__rest{k}" for k in range(len(CLASSES))])
+    return step.withColumns({
+        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+        "__bins": F.concat("__hits", F.array(F.col("__letter_words") - total)),
+        "__key": F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("other"),
+    }).drop("__words", "__lines", "__runs", "__short", "__hits")
 
 
 def with_distance(df: DataFrame, counts: str, reference: str, out: str) -> DataFrame:
@@ -115,12 +107,12 @@ def with_distance(df: DataFrame, counts: str, reference: str, out: str) -> DataF
     return df.withColumn(out, F.when((F.col("__n") > 0) & (F.col("__m") > 0), apart)).drop("__n", "__m", "__p", "__q")
 
 
-def references(described: DataFrame) -> DataFrame:
+def references(counted: DataFrame) -> DataFrame:
     """Summed histograms, one row per language key: at most the listed languages and 'other'."""
     def summed(column: str, bins: int) -> Column:
         return F.array(*[F.sum(F.get(column, F.lit(i))) for i in range(bins)])
 
-    return described.groupBy("__key").agg(
+    return counted.groupBy("__key").agg(
         summed("__chars", len(CLASSES) + 1).alias("__ref_chars"), summed("__bins", len(WORDS) + 1).alias("__ref_bins")
     )
 
@@ -136,9 +128,8 @@ def judge_quality(
     The reference table has one row for each listed language and one for the rest, so it is broadcast.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    described = histogram_columns(base_columns(source)).drop("text", "lang", "__text")
-    described = materialize(described, "quality")
-    joined = described.join(F.broadcast(references(described)), "__key")
+    counted = materialize(described(source).drop("text", "lang"), "quality")
+    joined = counted.join(F.broadcast(references(counted)), "__key")
     judged = with_distance(with_distance(joined, "__chars", "__ref_chars", "char_distance"), "__bins", "__ref_bins", "word_distance")
     judged = judged.withColumn("__n_chars", F.aggregate("__chars", F.lit(0).cast("bigint"), lambda a, x: a + x))
     judged = judged.withColumns({
