@@ -1,8 +1,8 @@
 """Exact k-nearest-neighbour join.
 
 A small reference table (size checked) is broadcast. A larger one is cut into cells around pivots
-and each query visits only the cells that the triangle inequality cannot rule out, so no pair of
-rows is formed outside those cells. Cells are cut into blocks of bounded size and a block that many
+and each query first visits the nearest, which bounds the distance of its k-th neighbour, then only
+the cells that the triangle inequality cannot rule out within that bound. Cells are cut into blocks of bounded size and a block that many
 queries visit is copied to several groups, so no group grows with the data.
 """
 
@@ -19,6 +19,8 @@ from residua.operators.storage import materialize
 BROADCAST_BYTES = 64 * 2**20
 BLOCK_ROWS, GROUP_QUERIES = 20_000, 50_000
 MAX_PIVOTS = 1024
+#: Blocks a query may visit on average before the search is refused, and block counts that may be broadcast.
+MOST_VISITS, BROADCAST_BLOCKS = 64, 400_000
 _TILE = 4_000_000  # distances held at once
 _FOUND = "query_id bigint, train_id bigint, distance double, y double"
 
@@ -101,7 +103,7 @@ def _broadcast_search(q: DataFrame, t: DataFrame, k: int) -> DataFrame:
 
 
 def _cell_search(q: DataFrame, t: DataFrame, k: int, rows: int) -> DataFrame:
-    spark = q.sparkSession
+    """Two rounds: the nearest cell of a query bounds its k-th distance, then only cells within that bound are visited."""
     wanted = min(MAX_PIVOTS, max(2, 4 * rows // BLOCK_ROWS))
     order = F.md5(F.col("train_id").cast("string"))
     pivots = _matrix(t.orderBy(order, "train_id").limit(wanted).select("vector").toPandas()["vector"])
@@ -114,41 +116,74 @@ def _cell_search(q: DataFrame, t: DataFrame, k: int, rows: int) -> DataFrame:
                 yield batch.assign(cell=cell, off=distances[np.arange(len(batch)), cell])
 
     placed = materialize(t.mapInPandas(assign, "train_id bigint, vector array<double>, y double, cell int, off double"), "cells")
-    inner = Window.partitionBy("cell").orderBy("off", "train_id")
-    closest = placed.select("cell", "off", F.row_number().over(inner).alias("n")).filter(F.col("n") <= k)
-    reach = closest.groupBy("cell").agg(F.max("off").alias("kth"), F.max("n").alias("have"))
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).join(reach, "cell").toPandas()
-    cells, radius = stats["cell"].to_numpy(), stats["radius"].to_numpy()
-    bound = np.where(stats["have"] >= k, stats["kth"], np.inf)
-    blocks = np.ceil(stats["n"].to_numpy() / BLOCK_ROWS).astype(int)
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).toPandas()  # one row per pivot
+    cells, radius, counts = stats["cell"].to_numpy(), stats["radius"].to_numpy(), stats["n"].to_numpy()
+    blocks = np.ceil(counts / BLOCK_ROWS).astype(int)
     centres = pivots[cells]
     slack = 1e-6 * (1.0 + np.abs(pivots).max())
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visits(bounded: bool):
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for first in range(0, len(batch), 1000):
+                    part = batch.iloc[first : first + 1000].reset_index(drop=True)
+                    distances = np.sqrt(_squares(_matrix(part["vector"]), centres))
+                    if bounded:
+                        row, col = np.nonzero(distances - radius <= part["within"].to_numpy()[:, None] + slack)
+                    else:  # the nearest cells that hold k rows together
+                        near = distances.argsort(axis=1)
+                        before = np.cumsum(counts[near], axis=1) - counts[near]
+                        row, place = np.nonzero(before < k)
+                        col = near[row, place]
+                    copies = blocks[col]
+                    row, col = np.repeat(row, copies), np.repeat(col, copies)
+                    piece = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    yield pd.DataFrame({
+                        "query_id": part["query_id"].to_numpy()[row], "vector": part["vector"].to_numpy()[row],
+                        "cell": cells[col], "piece": piece,
+                    })
+
+        return visit
+
+    schema = "query_id bigint, vector array<double>, cell int, piece int"
+    cut = (placed, list(zip(cells.tolist(), blocks.tolist())), k)
+    first = _search_blocks(materialize(q.mapInPandas(visits(False), schema), "visits"), *cut)
+    bounds = materialize(first.groupBy("query_id").agg(F.max("distance").alias("within")), "bounds")
+    asked = q.join(bounds, "query_id")
+    _limit_visits(asked, centres, radius, slack, blocks, rows)
+    return _search_blocks(materialize(asked.mapInPandas(visits(True), schema), "visits"), *cut)
+
+
+def _limit_visits(asked: DataFrame, centres: np.ndarray, radius: np.ndarray, slack: float, blocks: np.ndarray, rows: int) -> None:
+    """Stop with a clear message instead of copying queries to most of a large table."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first in range(0, len(batch), 1000):
-                part = batch.iloc[first : first + 1000].reset_index(drop=True)
-                distances = np.sqrt(_squares(_matrix(part["vector"]), centres))
-                within = (distances + bound).min(1)
-                row, col = np.nonzero(distances - radius <= within[:, None] + slack)
-                copies = blocks[col]
-                row, col = np.repeat(row, copies), np.repeat(col, copies)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-                yield pd.DataFrame({
-                    "query_id": part["query_id"].to_numpy()[row], "vector": part["vector"].to_numpy()[row],
-                    "cell": cells[col], "piece": piece,
-                })
-
-    visits = materialize(q.mapInPandas(visit, "query_id bigint, vector array<double>, cell int, piece int"), "visits")
-    per_block = visits.groupBy("cell", "piece").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("groups"))
-    pieces = spark.createDataFrame([(int(c), int(b)) for c, b in zip(cells, blocks)], "cell int, pieces int")
+            if len(batch):
+                distances = np.sqrt(_squares(_matrix(batch["vector"]), centres))
+                yield pd.DataFrame({"n": [(distances - radius <= batch["within"].to_numpy()[:, None] + slack) @ blocks]}).explode("n").astype("int64")
+
+    total, asking = asked.mapInPandas(count, "n bigint").agg(F.sum("n"), F.count("*")).first()
+    if asking and total > MOST_VISITS * asking and blocks.sum() > MOST_VISITS:
+        raise ValueError(
+            f"{asking} queries would visit {total / asking:.0f} of {blocks.sum()} blocks of {rows} rows each: the columns do not separate "
+            "the rows. Use fewer columns or principal components."
+        )
+
+
+def _search_blocks(visits: DataFrame, placed: DataFrame, pieces: list[tuple[int, int]], k: int) -> DataFrame:
+    """The k nearest rows over the blocks that each query visits. A block asked by many queries is copied to several groups."""
+    spark = visits.sparkSession
+    per_block = materialize(visits.groupBy("cell", "piece").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("groups")), "groups")
+    small = F.broadcast(per_block) if per_block.count() <= BROADCAST_BLOCKS else per_block
+    known_pieces = F.broadcast(spark.createDataFrame(pieces, "cell int, pieces int"))  # one row per pivot
     reference = (
-        placed.join(F.broadcast(pieces), "cell")  # one row per pivot
+        placed.join(known_pieces, "cell")
         .withColumn("piece", F.pmod(F.xxhash64("train_id"), F.col("pieces")).cast("int"))
-        .join(per_block, ["cell", "piece"])
+        .join(small, ["cell", "piece"])
         .select("train_id", "vector", "y", "cell", "piece", F.explode(F.sequence(F.lit(1), F.col("groups"))).alias("copy"))
     )
-    spread = visits.join(F.broadcast(per_block) if rows < 10**9 else per_block, ["cell", "piece"]).select(
+    spread = visits.join(small, ["cell", "piece"]).select(
         "query_id", "vector", "cell", "piece",
         (F.pmod(F.xxhash64("query_id"), F.col("groups")) + 1).cast("int").alias("copy"),
     )

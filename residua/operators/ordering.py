@@ -17,8 +17,9 @@ _RANGE, _PLACE = "__range", "__place"
 
 
 def _ranged(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """Range partitions in order. The ranges are found from a sample, which reads the input a second time, so it is stored."""
     return materialize(
-        df.repartitionByRange(*keys)
+        materialize(df, f"{name}-input").repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .select("*", F.spark_partition_id().alias(_RANGE), F.monotonically_increasing_id().alias(_PLACE)),
         name,
