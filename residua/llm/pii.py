@@ -49,7 +49,8 @@ KINDS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)",
+    "phone": r"(?<![\w.])(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1\D)\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}"
+             r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w|\.\d)",
     "card": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w])",
     "name": "".join((r"(?<!\w)(?:", "|".join(TITLES.values()), r") (?:[A-ZÀ-ÖØ-Þ][\w'’\-]+)(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){0,2}")),
 }
@@ -216,9 +217,13 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, without overlaps."""
     if not text or not HINT.search(text):
         return
-    for found in ANY.finditer(text):
-        if is_entity(found.lastgroup, found[0]):
+    found = ANY.search(text)
+    while found:
+        good = is_entity(found.lastgroup, found[0])
+        if good:
             yield found.lastgroup, found.start(), found.end()
+        # what was no entity may hold one
+        found = ANY.search(text, found.end() if good else found.start() + 1)
 
 
 def replaced(text: str | None, keyed: Permutation) -> tuple[str | None, list[tuple[str, str, str]]]:
