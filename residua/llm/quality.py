@@ -31,7 +31,7 @@ CLASSES = {
 SYMBOLS = "#*$%&|<>"
 
 # A distance may reach `base + noise / sqrt(size)`: small histograms stray further from their reference.
-CHAR_LIMIT, WORD_LIMIT = (0.14, 1.6), (0.20, 1.7)
+CHAR_LIMIT, WORD_LIMIT = (0.14, 1.6), (0.15, 1.7)
 MIN_CHARS, MIN_LETTER_WORDS = 200, 100
 
 
