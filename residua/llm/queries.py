@@ -159,7 +159,24 @@ def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
-@query()
+REPEATS_SQL = f"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * suffixes.WIDTH})) AS m
+      FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {suffixes.WIDTH - 1})) AS i FROM b WHERE length(h) >= {2 * suffixes.WIDTH})),
+again AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {suffixes.WIDTH} THEN 0 ELSE 1 END AS new FROM s SEMI JOIN again USING (m)),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+spans AS (SELECT r, run, min(i) AS a, max(i) + {suffixes.WIDTH} AS z FROM k GROUP BY r, run),
+pieces AS (SELECT r, 0 AS f, min(a) AS t FROM spans GROUP BY r
+           UNION ALL SELECT r, z, lead(a) OVER (PARTITION BY r ORDER BY a) FROM spans),
+kept AS (SELECT r, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, length(h) // 2) - f)), '' ORDER BY f) AS kept FROM pieces JOIN b USING (r) GROUP BY r),
+n AS (SELECT r, count(*) AS spans, sum(z - a) AS gone FROM spans GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
+
+@query(REPEATS_SQL)
 def op8_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
