@@ -27,6 +27,8 @@ from residua.operators.neighbors import nearest_neighbors, neighbor_classes, nei
 
 SEED = 42
 KERNEL_DIMENSIONS = 256
+#: The node state of all trees is held on the driver while they grow, so the default depth is bounded; `options` may raise it.
+TREE_DEPTH = 12
 SELECTED = "selected"
 
 
@@ -59,7 +61,7 @@ def _forest(ctx: FitContext, trees: int, extra: bool, regression: bool) -> list:
     estimator = MR.RandomForestRegressor if regression else MC.RandomForestClassifier
     subset = ("onethird" if extra else "all") if regression else "sqrt"
     defaults = {
-        "numTrees": trees, "maxDepth": 30, "featureSubsetStrategy": subset, "seed": SEED,
+        "numTrees": trees, "maxDepth": TREE_DEPTH, "featureSubsetStrategy": subset, "seed": SEED,
         "bootstrap": not extra, "maxBins": 16 if extra else 32,
     }
     return [estimator(featuresCol=ctx.column, **(defaults | dict(ctx.options)))]

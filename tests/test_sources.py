@@ -119,3 +119,35 @@ def test_fixed_schema_and_exports(spark, tmp_path):
     assert RD.read_csv(spark, str(tmp_path / "csv")).first()["Activity"] == 1.0
     written = WR.write_tables({"ValidatedInput": table, "Predictions": table.select("Name")}, str(tmp_path / "set"))
     assert spark.read.parquet(written[1]).columns == ["Name"]
+
+
+def test_na_is_a_missing_value(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,IC50,Sequence\nx,1.5,AK\ny,NA,NA\nz,2.0,AR\n")
+    found = RD.read_csv(spark, str(tmp_path / "a.csv"))
+    assert dict(found.dtypes)["IC50"] == "double"
+    assert [(r["IC50"], r["Sequence"]) for r in found.orderBy("Name").collect()] == [(1.5, "AK"), (None, "NA"), (2.0, "AR")]
+
+
+def test_quoted_line_ends_are_read_or_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Name,Sequence\n"x\ny",AK\n"say ""hi""",AR\n')
+    with pytest.raises(ValueError, match="line ends"):
+        RD.read_csv(spark, str(tmp_path / "a.csv"))
+    rows = RD.read_csv(spark, str(tmp_path / "a.csv"), quoted_line_ends=True).collect()
+    assert {(r["Name"], r["Sequence"]) for r in rows} == {("x\ny", "AK"), ('say "hi"', "AR")}
+
+
+def test_delimiter_is_that_of_every_file(spark, tmp_path):
+    for name, sep in (("a.txt", "\t"), ("b.txt", "\t")):
+        (tmp_path / name).write_text(f"Name{sep}Sequence\n{name}{sep}AK\n")
+    assert {r["Name"] for r in RD.read_text(spark, str(tmp_path)).collect()} == {"a.txt", "b.txt"}
+    (tmp_path / "c.txt").write_text("Name;Sequence\nc;AK\n")
+    with pytest.raises(ValueError, match="delimiters"):
+        RD.read_text(spark, str(tmp_path))
+
+
+def test_every_fasta_file_of_a_folder_starts_anew(spark, tmp_path):
+    for i in range(4):
+        lead = "junk before\n" if i % 2 else ""
+        (tmp_path / f"f{i}.fasta").write_text(lead + f">n{i}\nAK\n>\nAR\n")
+    rows = RD.read_fasta(spark, str(tmp_path)).collect()
+    assert sorted((r["record"], r["Name"], r["Sequence"]) for r in rows) == sorted([(1, f"n{i}", "AK") for i in range(4)] + [(2, "Sequence_2", "AR")] * 4)
