@@ -1,6 +1,6 @@
 """Time the headline queries on `$BENCH_SF_DIR` with `local[$BENCH_CPUS]`; prints one JSON line.
 
-Each query runs twice and the second, warm run counts. Results go to a sink that discards them, so
+Each query runs once to warm up, then `$BENCH_RUNS` times (1 by default), of which the median counts. Results go to a sink that discards them, so
 all rows and columns are computed.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import tempfile
 import time
@@ -47,16 +48,20 @@ def session(cpus: str) -> SparkSession:
 
 def main() -> None:
     from query_suite import QUERIES
+    from residua.operators.storage import drop_stored
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     wanted = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     times = {}
     for name in wanted:
-        for _ in range(2):
+        runs = []
+        for _ in range(1 + int(os.environ.get("BENCH_RUNS", "1"))):
             started = time.time()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.time() - started, 3)
+            runs.append(time.time() - started)
+            drop_stored(spark)
+        times[name] = round(statistics.median(runs[1:]), 3)
         print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
