@@ -31,7 +31,7 @@ WIDTH, GRAM = 400, 64
 STRETCH, PLACE_BITS = 1 << 19, 20
 SHALLOW, CHUNK = 96, 8
 #: Groups with more classes than this are counted by hashes instead of being sorted in one task.
-MOST_SORTED = 256
+MOST_SORTED = 2048
 
 _random = np.random.default_rng(41)
 _BASES = [int(x) * 2 + 1 for x in _random.integers(1 << 40, 1 << 62, 2)]
@@ -290,7 +290,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "at", "first", "last", "gram", "c1", "c2"])
 
     every = materialize(texts.mapInArrow(find, "id long, text_hash long, at long, first long, last long, gram long, c1 long, c2 long"), "anchors")
-    again = every.groupBy("gram").count().where("count > 1").select("gram")
+    # Stored, so that both sides of the join are shuffled for it and a hot gram can be split.
+    again = materialize(every.groupBy("gram").count().where("count > 1").select("gram"), "again")
     candidates = materialize(every.join(again, "gram"), "candidates")
     classes = candidates.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "at", "first", "last")).alias("one"))
     groups = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.min("n").alias("fewest"))
