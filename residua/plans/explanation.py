@@ -71,15 +71,12 @@ def _permuted(bundle: ModelBundle, rows: DataFrame, id_col: str) -> DataFrame:
     donors = given.select((F.pmod(F.col("__r") - 1 + shift, F.lit(n)) + 1).alias("__to"), "j", "x")
     donors = donors.groupBy("__to").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("d"))  # one entry per feature
     joined = numbered.join(donors, F.col("__r") == F.col("__to"))
-    variants = joined.select("__r", "v", "d", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("j"))
+    base = bundle.model.predict(joined.select((F.col("__r") * len(names)).alias("key"), "__r", "v", "d", array_to_vector("v").alias("features")), "key")
+    carried = base.select("__r", "v", "d", _outcome(bundle, base).alias("before"))  # the row's own output goes along with its variants
+    variants = carried.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("j"))
     changed = F.transform("v", lambda x, i: F.when(i == F.col("j"), F.get("d", F.col("j"))["x"]).otherwise(x))
     key = (F.col("__r") * len(names) + F.col("j")).alias("key")
-    changed_rows = variants.select(key, "__r", "j", array_to_vector(changed).alias("features"))
-    base_rows = numbered.select((F.col("__r") * len(names)).alias("key"), F.col("__r").alias("__base"), array_to_vector("v").alias("features"))
-    after = bundle.model.predict(changed_rows, "key")
-    before = bundle.model.predict(base_rows, "key")
-    moved = after.select("__r", "j", _outcome(bundle, after).alias("after")).join(
-        before.select("__base", _outcome(bundle, before).alias("before")), F.col("__r") == F.col("__base")
-    )
+    after = bundle.model.predict(variants.select(key, "j", "before", array_to_vector(changed).alias("features")), "key")
+    moved = after.select("j", "before", _outcome(bundle, after).alias("after"))
     label = F.get(F.array(*[F.lit(name) for name in names]), F.col("j"))
     return moved.groupBy(label.alias("Feature")).agg(F.avg(F.abs(F.col("after") - F.col("before"))).alias("MeanAbsAttribution"))
