@@ -13,9 +13,7 @@ gives no pieces. Which sequence a document meets depends on the partitions; its
 
 from __future__ import annotations
 
-import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,59 +27,81 @@ from tokenizers import Tokenizer
 from residua.operators.storage import materialize
 
 SIZE, WINDOWS, MOST_GAP, SEPARATOR = 4096, 64, 64, 2
-CACHED_WORDS, CHUNK_CHARS = 600_000, 1_000_000
-_TOKENIZERS: dict[str, "WordIds"] = {}
+#: Words remembered by a worker, at about 270 bytes each; more save time where workers have the memory.
+REMEMBERED_WORDS, CHUNK_CHARS = 300_000, 1_000_000
+_TOKENIZERS: dict[tuple[str, int], "WordIds"] = {}
 
 
-def _latin_class(*categories: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] in categories)
+#: Blanks to Python but not to the vocabulary.
+ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
-# The vocabulary's own word pattern, for texts of Latin-1 letters: letter runs, single digits, runs of the rest.
-_LETTERS, _NUMBERS, _BLANKS = _latin_class("L"), _latin_class("N"), "\t\n\x0b\x0c\r \x85\xa0"
-LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+").findall
-IS_LATIN = re.compile("[\x00-\xff]*").fullmatch
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Remembered:
+    """A cache in two generations: what is asked for stays or moves to the young one; when that is full, the old one goes."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of `wanted` that are unknown; all others are in the young generation then."""
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
+        wanted = wanted.difference(self.young)
+        found = wanted.intersection(self.old)
+        for word in found:
+            self.young[word] = self.old[word]
+        return list(wanted - found)
 
 
 class WordIds:
-    """Ids of texts by the public library, asked once for each distinct word.
+    """Ids of texts by the public library, asked once for each distinct word while it is remembered.
 
-    The vocabulary's normalizer and word pattern never look across words of Latin-1 texts, so a text's ids
-    are those of its words; other texts, and texts with special tokens, go to the library whole.
+    The vocabulary's normalizer and word pattern never look across blanks in Latin-1 texts, so a text's ids
+    are those of its parts between blanks; other texts, and texts with special tokens, go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.parts = Remembered(remembered)
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text must be encoded in one piece."""
+        return not is_latin(text) or any(s in text for s in self.special) or any(c in text for c in ODD_BLANKS)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [
-            LATIN_WORDS(t.lower()) if IS_LATIN(t) and not any(s in t for s in self.special) else None for t in texts
-        ]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known = self.words
-        new = list({w for words in split if words is not None for w in words if w not in known})
-        for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = self._packed(encoding.ids)
+        split = [None if self._whole(t) else t.split() for t in texts]
+        new = self.parts.missing(set().union(*(parts for parts in split if parts is not None)))
+        known = self.parts.young
+        for part, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[part] = self._packed(encoding.ids)
         return [
-            b"".join([known[w] for w in words]) if words is not None
+            b"".join(map(known.__getitem__, parts)) if parts is not None
             else self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            for words, text in zip(split, texts)
+            for parts, text in zip(split, texts)
         ]
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+def word_ids(path: str, remembered: int = REMEMBERED_WORDS) -> WordIds:
+    if (path, remembered) not in _TOKENIZERS:
+        _TOKENIZERS[path, remembered] = WordIds(path, remembered)
+    return _TOKENIZERS[path, remembered]
 
 
 class Packer:
@@ -178,11 +198,12 @@ def merge_last_windows(rows: pd.DataFrame, size: int) -> pd.DataFrame:
 def pack_documents(
     df: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE,
     windows: int = WINDOWS, most_gap: int = MOST_GAP, separator: int = SEPARATOR, with_ids: bool = False,
+    remembered: int = REMEMBERED_WORDS,
 ) -> DataFrame:
     """Pieces of all documents with their sequence and place in it; `with_ids` adds the ids as bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, end = word_ids(vocabulary), Packer(size, windows, most_gap), struct.pack("<I", separator)
+        encoder, packer, end = word_ids(vocabulary, remembered), Packer(size, windows, most_gap), struct.pack("<I", separator)
         partition = TaskContext.get().partitionId()
 
         def batch_of(pieces: list[tuple]) -> pa.RecordBatch:

@@ -103,7 +103,8 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"), remembered=1_200_000)
 
 
 NEAR_SQL = """

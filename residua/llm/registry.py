@@ -21,5 +21,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Texts per Arrow batch: by default a batch of 10,000 long texts and what is made of them would not fit small workers.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in small batches, unless the session has a setting of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
