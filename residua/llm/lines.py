@@ -34,10 +34,17 @@ def _joined(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inn
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, list(on), how)
 
 
+def words_of(line: Column) -> Column:
+    return F.array_remove(F.split(line, r"[ \t-\r]+"), "")
+
+
+def _split(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line_no", "line"))
+
+
 def lines_of(df: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """`doc_id`, `line_no` (from 0), `words`, and the class key `k1`, `k2` of every line with enough words."""
-    lines = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.array_remove(F.split("line", r"[ \t-\r]+"), "").alias("words"))
+    lines = _split(df, id_col, text).withColumn("words", words_of(F.col("line"))).drop("line")
     lines = lines.where(F.size("words") >= least_words)
     return lines.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit("second"), "words")})
 
@@ -52,7 +59,8 @@ def sieve_keys(words: Column) -> Column:
     def pair(q: Column) -> Column:
         return F.array(F.xxhash64(F.lit("P"), q, F.slice(words, F.lit(1), q)), F.xxhash64(F.lit("S"), q, F.slice(words, n - q + 1, q)))
 
-    return F.array_distinct(F.concat(pair(reach(n)), pair(reach(n - 1))))
+    far, near = reach(n), reach(n - 1)
+    return F.when(far == near, pair(far)).otherwise(F.concat(pair(far), pair(near)))
 
 
 def with_running_xor(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -101,7 +109,8 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     classes = materialize(classes.select("k1", "k2", "n", "first.doc_id", "first.line_no"), "classes")
 
     sieved = stored.select("k1", "k2", F.explode("sieve").alias("key"))
-    met = sieved.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("key")
+    # Stored, so that both sides of the join are shuffled for it and a hot key can be split.
+    met = materialize(sieved.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("key"), "met")
     hopeful = sieved.join(met, "key", "left_semi").select("k1", "k2").distinct()
     firsts = classes.join(hopeful, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", "line_no")
     # Numbers that follow the order of first occurrence; stored, so that they stay what they are.
@@ -109,7 +118,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     numbered = materialize(
         firsts.repartitionByRange(*places).sortWithinPartitions(*places).withColumn("number", F.monotonically_increasing_id()), "numbers"
     )
-    candidates = _candidates(lines, numbered)
+    candidates = _candidates(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), numbered)
 
     variants = candidates.select("number", F.posexplode("variants").alias("place", "key"))
     groups = variants.groupBy("key", "place").agg(F.min("number").alias("early"), F.max("number").alias("late")).where("early < late").drop("late")
@@ -139,13 +148,18 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     )
 
 
-def _candidates(lines: DataFrame, numbered: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, numbered: DataFrame) -> DataFrame:
     """Words, variants and whole key of the numbered lines, read from the texts again."""
-    wanted = numbered.select("number", F.col("doc_id").alias("__doc"), F.col("line_no").alias("__line"))
+    wanted = numbered.select("number", "k1", F.col("doc_id").alias("__doc"), F.col("line_no").alias("__line"))
     few = wanted.count() <= BROADCAST_ROWS
-    here = lines["doc_id"].eqNullSafe(wanted["__doc"]) & (lines["line_no"] == wanted["__line"])
-    found = lines.join(F.broadcast(wanted) if few else wanted, here).select("number", "words")
-    return materialize(with_variants(found.dropDuplicates(["number"]) if not few else found), "candidates")
+    if few:  # only their texts are taken apart
+        ids = wanted.select("__doc").distinct()
+        docs = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["__doc"]), "left_semi")
+    split = _split(docs, "doc_id", "text")
+    here = split["doc_id"].eqNullSafe(wanted["__doc"]) & (split["line_no"] == wanted["__line"])
+    found = split.join(F.broadcast(wanted) if few else wanted, here).select("number", "k1", words_of(F.col("line")).alias("words"))
+    found = found.where(F.xxhash64("words") == F.col("k1")).drop("k1")  # rows that repeat an id may differ
+    return materialize(with_variants(found), "candidates")
 
 
 def without_duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
