@@ -5,10 +5,11 @@ buckets in which candidates meet, and their low bits, packed in bit planes, esti
 by counting bits, corrected for chance collisions. A pair whose estimate could still reach the threshold is
 confirmed on the whole sets.
 
-No bucket emits all its pairs. First every member is compared with the smallest member of its buckets; the
-links found make components. Only buckets that still hold several components go on: there members outside the
-component of the smallest are compared with the members of other components, so that no link between
-components is lost; links inside a component cannot change the result.
+No bucket emits all its pairs. First every member is compared with the smallest member of its buckets, then, in
+a few rounds, with the most similar one of another component among its neighbours in a hashed order. Links
+confirmed so far make components, and links inside a component cannot change the result. Only buckets that
+still hold several components go on: there members outside the component of the smallest are compared with
+members of other components by longer signatures, so that no link between components is lost.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a text of fewer than `k`
 words has its whole sequence as its only shingle. Rows with a null id take no part: their component is null
@@ -17,6 +18,7 @@ and they are kept. Rows that repeat an id share its component. An empty table gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +30,15 @@ from residua.llm.components import connected_components
 from residua.operators.storage import materialize
 
 ROWS, BANDS, LOW_BITS = 4, 32, 2
-MINIMA = ROWS * BANDS
-PLANE_WORDS = MINIMA // 64
-#: How far an estimate may fall below the similarity it estimates: five standard deviations.
-SLACK = 0.21
+MINIMA, LONG_MINIMA = ROWS * BANDS, 2048
 PERCENT = 80
+ROUNDS, NEIGHBOURS = 4, 64
+#: Rows of a table of ids that may be broadcast: a few MB.
+BROADCAST_ROWS = 400_000
 
 _random = np.random.default_rng(20240607)
-_FACTORS = _random.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _random.integers(0, 2**63, MINIMA, dtype=np.uint64)
+_FACTORS = _random.integers(0, 2**63, LONG_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _random.integers(0, 2**63, LONG_MINIMA, dtype=np.uint64)
 _MIX = _random.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,11 +69,18 @@ def _chain(hashes: np.ndarray) -> np.uint64:
     return out[0]
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each of the hash functions over a set, 32 bits each."""
-    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+def slack(n_minima: int) -> float:
+    """How far an estimate may fall below the similarity it estimates: five standard deviations."""
+    chance = 2.0**-LOW_BITS
+    equal = PERCENT / 100 + (1 - PERCENT / 100) * chance
+    return 5 * math.sqrt(equal * (1 - equal) / n_minima) / (1 - chance)
+
+
+def minima(shingles: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """The smallest value of each of n hash functions over a set, 32 bits each."""
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 1024):
-        values = shingles[i:i + 1024, None] * _FACTORS + _SHIFTS
+        values = shingles[i:i + 1024, None] * _FACTORS[:n] + _SHIFTS[:n]
         np.minimum(out, values.min(axis=0), out=out)
     return out >> np.uint64(32)
 
@@ -84,27 +93,31 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def bit_planes(minima: np.ndarray) -> np.ndarray:
-    """Low bits of the minima: for each bit a plane of 128 bits, as 64-bit words."""
+    """Low bits of the minima: for each bit a plane of as many bits, as 64-bit words."""
     planes = [np.packbits(((minima >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)) for bit in range(LOW_BITS)]
     return np.concatenate(planes).view(np.uint64)
 
 
-PLANES = [f"p{i}" for i in range(LOW_BITS * PLANE_WORDS)]
+def plane_names(n: int) -> list[str]:
+    return [f"p{i}" for i in range(LOW_BITS * n // 64)]
+
+
+PLANES = plane_names(MINIMA)
 SIGNATURE = "doc_id long, n_shingles long, set1 long, set2 long, " + ", ".join(f"{p} long" for p in PLANES) + ", bands array<long>"
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, n: int = MINIMA) -> Column:
     """Estimated similarity of the sets behind two prefixed signatures, corrected for chance equality of low bits."""
-    unequal = F.lit(0)
-    for word in range(PLANE_WORDS):
+    names, words, unequal = plane_names(n), n // 64, F.lit(0)
+    for word in range(words):
         differ = None
         for bit in range(LOW_BITS):
-            name = PLANES[bit * PLANE_WORDS + word]
+            name = names[bit * words + word]
             one = F.col(f"{a}{name}").bitwiseXOR(F.col(f"{b}{name}"))
             differ = one if differ is None else differ.bitwiseOR(one)
         unequal = unequal + F.bit_count(differ)
     chance = 2.0**-LOW_BITS
-    return ((1 - unequal / MINIMA) - chance) / (1 - chance)
+    return ((1 - unequal / n) - chance) / (1 - chance)
 
 
 def signatures(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
@@ -134,8 +147,16 @@ def signatures(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     return source.mapInArrow(sign, SIGNATURE)
 
 
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `texts` with the given distinct ids; few ids are broadcast, so that no other text is moved."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the similarity; `texts` has one text for each end."""
+    """Those pairs (a, b) whose full sets reach the similarity; `texts` has a text for each end. The result is stored."""
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct()
+    texts = _of_ids(texts, ids)
     left, right = (texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -151,14 +172,57 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return joined.mapInArrow(check, "a long, b long")
+    return materialize(joined.mapInArrow(check, "a long, b long"), "confirmed")
+
+
+def long_signatures(texts: DataFrame, k: int) -> DataFrame:
+    """Bit planes of many more minima, for the documents of undecided buckets."""
+    names = plane_names(LONG_MINIMA)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                planes = np.array([bit_planes(minima(shingle_set(t.as_py(), k), LONG_MINIMA)).view(np.int64) for t in batch.column(1)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(planes[:, i]) for i in range(len(names)))], ["doc_id", *names])
+
+    return texts.select("doc_id", "text").mapInArrow(sign, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def best_neighbours(rows: DataFrame, seed: int) -> DataFrame:
+    """For each member of an undecided bucket the most similar member of another component among the next
+    `NEIGHBOURS` in a hashed order; one row (a, b, similarity) per member and bucket at most."""
+    words = MINIMA // 64
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(pair) for pair in zip(held, columns)]
+            band, a, component = columns[:3]
+            planes, n = np.stack(columns[3:], axis=1).view(np.uint64), len(band)
+            best, partner = np.full(n, -1), np.zeros(n, np.int64)
+            for step in range(1, min(NEIGHBOURS, n - 1) + 1):
+                differ = planes[:-step] ^ planes[step:]
+                equal = MINIMA - np.bitwise_count(differ[:, :words] | differ[:, words:]).sum(axis=1).astype(np.int64)
+                equal[(band[:-step] != band[step:]) | (component[:-step] == component[step:])] = -1
+                for mine, other, where in ((slice(None, -step), a[step:], equal), (slice(step, None), a[:-step], equal)):
+                    better = where > best[mine]
+                    best[mine][better], partner[mine][better] = where[better], other[better]
+            found = best >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(partner[found]), pa.array(best[found])], ["a", "b", "equal"])
+            held = [c[-NEIGHBOURS:] for c in columns]
+
+    ordered = rows.select("band", "a", "component", *[f"a_{p}" for p in PLANES], F.xxhash64("a", F.lit(seed)).alias("place"))
+    ordered = ordered.repartitionByRange("band", "place").sortWithinPartitions("band", "place").drop("place")
+    return ordered.mapInArrow(scan, "a long, b long, equal long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` (smallest id reachable over links), `kept`, one row per input row."""
     signed = materialize(signatures(df, id_col, text, k), "signatures")
     taking_part = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = taking_part.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(taking_part.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = materialize(
         signed.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2", "n_shingles"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")),
@@ -177,27 +241,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     banded = lead.select(F.explode("bands").alias("band"), F.col("doc_id").alias("a"))
     buckets = banded.groupBy("band").agg(F.min("a").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = materialize(banded.join(buckets, "band"), "buckets")
-    could_reach = estimate("a_", "b_") >= percent / 100 - SLACK
+    could_reach = estimate("a_", "b_") >= percent / 100 - slack(MINIMA)
 
     stars = shared.where("a <> hub").select("a", F.col("hub").alias("b")).distinct()
-    stars = materialize(stars.join(prefixed("a"), "a").join(prefixed("b"), "b").where(could_reach).select("a", "b"), "stars")
-    links = materialize(confirmed(stars, texts, k, percent), "confirmed")
+    stars = stars.join(prefixed("a"), "a").join(prefixed("b"), "b").where(could_reach).select("a", "b")
+    links = confirmed(stars, texts, k, percent)
     labels = connected_components(links)
-
-    placed = shared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_rows = placed.join(mixed.select("band", "low"), "band").join(prefixed("a"), "a")
-    open_rows = materialize(open_rows.select("band", "a", "component", (F.col("component") != F.col("low")).alias("outside"), *[f"a_{p}" for p in PLANES]), "open")
-    if not open_rows.isEmpty():
-        others = open_rows.withColumnsRenamed({"a": "b", "component": "other", "outside": "b_outside", **{f"a_{p}": f"b_{p}" for p in PLANES}})
-        apart = (F.col("component") != F.col("other")) & (~F.col("b_outside") | (F.col("a") > F.col("b")))
-        crossing = open_rows.where("outside").join(others, "band").where(apart & could_reach).select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-        ).distinct()
-        more = materialize(confirmed(crossing.join(stars, ["a", "b"], "left_anti"), texts, k, percent), "confirmed")
+    undecided = _undecided(shared, labels, prefixed("a"))
+    for seed in range(ROUNDS):
+        if undecided.isEmpty():
+            break
+        near = best_neighbours(undecided, seed).groupBy("a").agg(F.max_by("b", "equal").alias("b"), F.max("equal").alias("equal"))
+        likely = (F.col("equal") / MINIMA - 2.0**-LOW_BITS) / (1 - 2.0**-LOW_BITS) >= percent / 100 - slack(MINIMA)
+        more = confirmed(near.where(likely).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, k, percent)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = connected_components(links)
+        undecided = _undecided(shared, labels, prefixed("a"))
+    if not undecided.isEmpty():
+        more = confirmed(_crossing(undecided, texts, k, percent), texts, k, percent)
         if not more.isEmpty():
             labels = connected_components(links.union(more))
 
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), kept.alias("kept"))
+
+
+def _undecided(shared: DataFrame, labels: DataFrame, planes: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their component and whether it is not the bucket's smallest."""
+    placed = shared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = placed.join(mixed.select("band", "low"), "band").join(planes, "a")
+    return materialize(rows.select("band", "a", "component", (F.col("component") != F.col("low")).alias("outside"), *[f"a_{p}" for p in PLANES]), "undecided")
+
+
+def _crossing(undecided: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of different components in a bucket whose long signatures could reach the similarity."""
+    members = undecided.select("band", "a", "component", "outside")
+    signed = materialize(long_signatures(_of_ids(texts, undecided.select(F.col("a").alias("doc_id")).distinct()), k), "long_signatures")
+    names = plane_names(LONG_MINIMA)
+    mine = undecided.groupBy("a").agg(F.collect_set("band").alias("bands"))  # at most one for each band
+
+    def side(name: str) -> DataFrame:
+        planes = signed.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("a"), *[F.col(p).alias(f"{name}_{p}") for p in names])
+        own = mine.join(planes, "a").withColumnRenamed("bands", f"{name}_bands")
+        return members.withColumnsRenamed({"component": f"{name}_component", "outside": f"{name}_outside"}).join(own, "a").withColumnRenamed("a", name)
+
+    # Each pair meets once: in the first band it shares, from the side outside, or from the larger id where both are.
+    once = (~F.col("y_outside") | (F.col("x") > F.col("y"))) & (F.col("x_component") != F.col("y_component"))
+    likely = estimate("x_", "y_", LONG_MINIMA) >= percent / 100 - slack(LONG_MINIMA)
+    first = F.col("band") == F.array_min(F.array_intersect("x_bands", "y_bands"))
+    found = side("x").where("x_outside").join(side("y"), "band").where(once & likely & first)
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
