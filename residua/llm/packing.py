@@ -13,7 +13,9 @@ gives no pieces. Which sequence a document meets depends on the partitions; its
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +34,13 @@ REMEMBERED_WORDS, CHUNK_CHARS = 300_000, 1_000_000
 _TOKENIZERS: dict[tuple[str, int], "WordIds"] = {}
 
 
-#: Blanks to Python but not to the vocabulary.
-ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+def _latin_class(*categories: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] in categories)
+
+
+# The vocabulary's own word pattern, for texts of Latin-1 letters: letter runs, single digits, runs of the rest.
+_LETTERS, _NUMBERS, _BLANKS = _latin_class("L"), _latin_class("N"), "\t\n\x0b\x0c\r \x85\xa0"
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+").findall
 
 
 def is_latin(text: str) -> bool:
@@ -66,8 +73,8 @@ class Remembered:
 class WordIds:
     """Ids of texts by the public library, asked once for each distinct word while it is remembered.
 
-    The vocabulary's normalizer and word pattern never look across blanks in Latin-1 texts, so a text's ids
-    are those of its parts between blanks; other texts, and texts with special tokens, go to the library whole.
+    The vocabulary's normalizer and word pattern never look across words of Latin-1 texts, so a text's ids
+    are those of its words; other texts, and texts with special tokens, go to the library whole.
     """
 
     def __init__(self, path: str, remembered: int) -> None:
@@ -82,11 +89,11 @@ class WordIds:
 
     def _whole(self, text: str) -> bool:
         """Whether a text must be encoded in one piece."""
-        return not is_latin(text) or any(s in text for s in self.special) or any(c in text for c in ODD_BLANKS)
+        return not is_latin(text) or any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if self._whole(t) else t.split() for t in texts]
+        split = [None if self._whole(t) else LATIN_WORDS(t.lower()) for t in texts]
         new = self.parts.missing(set().union(*(parts for parts in split if parts is not None)))
         known = self.parts.young
         for part, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
