@@ -11,7 +11,8 @@ their ending.
 A check over the whole corpus counts originals per surrogate; should two meet, or an entity keep its value,
 the key's version is raised and the check repeated, so distinctness never rests on the construction alone.
 
-Defined results: null texts stay null and empty ones empty; texts without entities are unchanged. Columns named
+Defined results: null texts stay null and empty ones empty; texts without entities are unchanged. One letter repeated is
+no secret unless a word such as `password=` stands before it. Columns named
 like an output column are replaced, all others are kept. Repeated rows are treated alike, an empty table stays empty.
 """
 
@@ -44,7 +45,7 @@ ROUNDS = 6
 
 KINDS = {
     "email": r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])"
+    "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|(?<![0-9A-Za-z])(?!(?:a+|b+|c+|d+|e+|f+)(?![0-9A-Za-z]))[0-9a-f]{32,}(?![0-9A-Za-z])"
               r"|(?i:(?<=token = \")|(?<=token=)|(?<=password=)|(?<=password: )|(?<=api_key=)|(?<=secret=))[^\s\"']{8,})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
@@ -55,8 +56,13 @@ KINDS = {
     "name": "".join((r"(?<!\w)(?:", "|".join(TITLES.values()), r") (?:[A-ZÀ-ÖØ-Þ][\w'’\-]+)(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){0,2}")),
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()))
-#: A text without any of these has no entity.
-HINT = re.compile(r"\d{3}|@|\d\.\d|(?i:token|password|secret|api_key)|" + r"(?<!\w)(?:" + "|".join(TITLES.values()) + r") [A-ZÀ-ÖØ-Þ]")
+#: What every match of KINDS holds, so a text without any of these has no entity (the tests hold both together). One by one
+#: these are several times faster than as alternatives of one pattern.
+HINTS = [re.compile(p) for p in (
+    r"@", r"AKIA", r"gh[pousr]_", r"[0-9a-f]{32}", r"[nNdDyYtT](?:=| = |: )",  # email, secret
+    r"\d(?:\d\d|\.\d|(?:[ \-]?\d){12})", r"\+\d", r"[A-Z]{2}\d{2}",  # ssn and phone, ip, card; phone; iban
+    "(?:" + "|".join(TITLES.values()) + r") [A-ZÀ-ÖØ-Þ]",
+)]
 
 
 class Permutation:
@@ -213,9 +219,13 @@ def is_entity(kind: str, text: str) -> bool:
     return kind != "phone" or 7 <= len(re.sub(r"\D", "", text)) <= 15
 
 
+def may_hold(text: str) -> bool:
+    return any(p.search(text) for p in HINTS)
+
+
 def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, without overlaps."""
-    if not text or not HINT.search(text):
+    if not text or not may_hold(text):
         return
     found = ANY.search(text)
     while found:
