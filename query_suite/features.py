@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from query_suite import inputs as I
 from query_suite.registry import query, rounded
-from query_suite.sequences import descriptor_cte
+from query_suite.sequences import DESCRIPTOR_SQL, descriptor_cte
 from residua.functions.descriptors import with_descriptors
 from residua.operators import decomposition as PCA
 from residua.operators import neighbors as NN
@@ -229,6 +229,21 @@ def knn_join_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_neighbors(spark, sf_dir, broadcast_bytes=0).drop("y"))
 
 
+#: All descriptors that SQL can say.
+WIDE = list(DESCRIPTOR_SQL)
+
+
+@query(descriptor_cte(WIDE, PEP_SOURCE) + """, q AS (SELECT * FROM described WHERE pep_id % 5 = 0), t AS (SELECT * FROM described WHERE pep_id % 5 <> 0),
+  near AS (SELECT q.pep_id AS query_id, t.pep_id AS train_id, sqrt(""" + " + ".join(f'pow(q."{c}" - t."{c}", 2)' for c in WIDE) + """) AS d FROM q, t
+           QUALIFY row_number() OVER (PARTITION BY q.pep_id ORDER BY d, t.pep_id) <= 5)
+  SELECT query_id, train_id, round(d, 6) + 0.0 AS distance FROM near""")
+def knn_join_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the full width of descriptors, by the way for large reference tables."""
+    table = feature_table(spark, sf_dir, WIDE)
+    asked, known = table.filter(F.col("pep_id") % 5 == 0), table.filter(F.col("pep_id") % 5 != 0)
+    return rounded(NN.nearest_neighbors(asked, known, "pep_id", "pep_id", WIDE, "activity", broadcast_bytes=0).drop("y"))
+
+
 @query(f"{_NEAR_SQL} SELECT query_id, round(avg(y), 6) AS prediction FROM near GROUP BY query_id")
 def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(NN.neighbor_regression(_neighbors(spark, sf_dir)))

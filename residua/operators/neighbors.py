@@ -3,7 +3,8 @@
 A small reference table (size checked) is broadcast. A larger one is cut into cells around pivots
 and each query first visits the nearest, which bounds the distance of its k-th neighbour, then only
 the cells that the triangle inequality cannot rule out within that bound. Cells are cut into blocks of bounded size and a block that many
-queries visit is copied to several groups, so no group grows with the data.
+queries visit is copied to several groups, so no group grows with the data. Where the columns do not separate the rows (many columns),
+queries visit most blocks: then the blocks are gone through in rounds, and only the k nearest so far are kept between rounds.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from residua.operators.storage import materialize
 BROADCAST_BYTES = 64 * 2**20
 BLOCK_ROWS, GROUP_QUERIES = 20_000, 50_000
 MAX_PIVOTS = 1024
-#: Blocks a query may visit on average before the search is refused, and block counts that may be broadcast.
+#: Blocks a query may visit on average in one round, and block counts that may be broadcast.
 MOST_VISITS, BROADCAST_BLOCKS = 64, 400_000
 _TILE = 4_000_000  # distances held at once
 _FOUND = "query_id bigint, train_id bigint, distance double, y double"
@@ -121,8 +122,9 @@ def _cell_search(q: DataFrame, t: DataFrame, k: int, rows: int) -> DataFrame:
     blocks = np.ceil(counts / BLOCK_ROWS).astype(int)
     centres = pivots[cells]
     slack = 1e-6 * (1.0 + np.abs(pivots).max())
+    ends = np.cumsum(blocks)  # blocks are numbered through all cells
 
-    def visits(bounded: bool):
+    def visits(bounded: bool, start: int = 0, stop: int | None = None):
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for first in range(0, len(batch), 1000):
@@ -138,6 +140,9 @@ def _cell_search(q: DataFrame, t: DataFrame, k: int, rows: int) -> DataFrame:
                     copies = blocks[col]
                     row, col = np.repeat(row, copies), np.repeat(col, copies)
                     piece = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    number = (ends - blocks)[col] + piece
+                    here = (number >= start) & (number < (ends[-1] if stop is None else stop))
+                    row, col, piece = row[here], col[here], piece[here]
                     yield pd.DataFrame({
                         "query_id": part["query_id"].to_numpy()[row], "vector": part["vector"].to_numpy()[row],
                         "cell": cells[col], "piece": piece,
@@ -150,25 +155,38 @@ def _cell_search(q: DataFrame, t: DataFrame, k: int, rows: int) -> DataFrame:
     first = _search_blocks(materialize(q.mapInPandas(visits(False), schema), "visits"), *cut)
     bounds = materialize(first.groupBy("query_id").agg(F.max("distance").alias("within")), "bounds")
     asked = q.join(bounds, "query_id")
-    _limit_visits(asked, centres, radius, slack, blocks, rows)
-    return _search_blocks(materialize(asked.mapInPandas(visits(True), schema), "visits"), *cut)
-
-
-def _limit_visits(asked: DataFrame, centres: np.ndarray, radius: np.ndarray, slack: float, blocks: np.ndarray, rows: int) -> None:
-    """Stop with a clear message instead of copying queries to most of a large table."""
+    every = int(blocks.sum())
+    step = _blocks_at_once(asked, centres, radius, slack, blocks)
+    if step >= every:
+        return _search_blocks(materialize(asked.mapInPandas(visits(True), schema), "visits"), *cut)
+    asked, best = materialize(asked, "asked"), None
+    for start in range(0, every, step):
+        # A round's visits are made twice instead of being stored, so what is on disk does not grow with the rounds.
+        found = _search_blocks(asked.mapInPandas(visits(True, start, start + step), schema), *cut)
+        best = materialize(found if best is None else _first(best.unionByName(found), k), "best")
+    return best
+
+
+def _blocks_at_once(asked: DataFrame, centres: np.ndarray, radius: np.ndarray, slack: float, blocks: np.ndarray) -> int:
+    """How many blocks one round goes through: all, unless queries would be copied to more than MOST_VISITS on average."""
+    every = int(blocks.sum())
+    if every <= MOST_VISITS:
+        return every
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 distances = np.sqrt(_squares(_matrix(batch["vector"]), centres))
-                yield pd.DataFrame({"n": [(distances - radius <= batch["within"].to_numpy()[:, None] + slack) @ blocks]}).explode("n").astype("int64")
+                yield pd.DataFrame({"n": (distances - radius <= batch["within"].to_numpy()[:, None] + slack) @ blocks}).astype("int64")
 
     total, asking = asked.mapInPandas(count, "n bigint").agg(F.sum("n"), F.count("*")).first()
-    if asking and total > MOST_VISITS * asking and blocks.sum() > MOST_VISITS:
-        raise ValueError(
-            f"{asking} queries would visit {total / asking:.0f} of {blocks.sum()} blocks of {rows} rows each: the columns do not separate "
-            "the rows. Use fewer columns or principal components."
-        )
+    return every if not asking or total <= MOST_VISITS * asking else MOST_VISITS
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each query; the rows of a task are reduced to k of each query before they are shuffled."""
+    best = Window.partitionBy("query_id").orderBy("distance", "train_id")
+    return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
 
 
 def _search_blocks(visits: DataFrame, placed: DataFrame, pieces: list[tuple[int, int]], k: int) -> DataFrame:
@@ -198,8 +216,7 @@ def _search_blocks(visits: DataFrame, placed: DataFrame, pieces: list[tuple[int,
 
     keys = ["cell", "piece", "copy"]
     found = spread.groupBy(*keys).cogroup(reference.groupBy(*keys)).applyInPandas(search, _FOUND)
-    best = Window.partitionBy("query_id").orderBy("distance", "train_id")
-    return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
+    return _first(found, k)
 
 
 def neighbor_regression(found: DataFrame) -> DataFrame:

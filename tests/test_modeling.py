@@ -126,6 +126,21 @@ def test_neighbours_match_brute_force_with_hot_copies(spark, monkeypatch, limit)
         assert got[i] == sorted(range(500), key=lambda j: (d[j], j))[:5]
 
 
+def test_neighbours_over_columns_that_rule_out_nothing(spark, monkeypatch):
+    monkeypatch.setattr(NN, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(NN, "MOST_VISITS", 30)
+    rng = np.random.default_rng(9)
+    train, asked = rng.normal(size=(600, 40)), rng.normal(size=(30, 40))
+    t = spark.createDataFrame([(i, v.tolist(), float(i % 5)) for i, v in enumerate(train)], "id bigint, v array<double>, y double")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "id bigint, v array<double>")
+    got = {}
+    for r in sorted(NN.nearest_neighbors(q, t, "id", "id", "v", "y", 5, broadcast_bytes=0).collect(), key=lambda r: (r["query_id"], r["distance"], r["train_id"])):
+        got.setdefault(r["query_id"], []).append((r["train_id"], r["y"]))
+    for i, v in enumerate(asked):
+        d = np.sqrt(((train - v) ** 2).sum(1))
+        assert got[i] == [(j, float(j % 5)) for j in sorted(range(600), key=lambda j: (d[j], j))[:5]]
+
+
 def test_linear_folds_agree_with_fitted_models(spark, assay, monkeypatch):
     fast = T.train_and_compare(assay, "Potency", "regression", ["Ridge", "Lasso"], "row_id", CONFIG, refit=False, folds=3)
     monkeypatch.setattr(T, "PENALTIES", {})
