@@ -193,6 +193,20 @@ def test_toxicity_is_learned_from_rows_that_are_not_held_out(labelled):
     assert ((rows.score >= 0.5) == (rows.predicted == 1)).all()
 
 
+def test_words_are_read_whole():
+    rows = toxicity.rows_of([b"a" * 40 + b"b" * 9, b"a" * 40 + b"c" * 9, b"x" + b"a" * 39 + b"b" * 9])
+    assert (rows[0] != rows[1])[3:].all() and (rows[0] == rows[1])[:3].all()  # they differ behind their beginnings
+    assert (rows[0] != rows[2])[:4].all() and rows[0, 4] == rows[2, 4]
+    assert toxicity.words_of("日本語です Straßenbahn, ภาษา привет") == [w.encode() for w in "日 本 語 で す straßenbahn ภ า ษ า привет".split()]
+
+
+def test_ends_of_long_words_are_learned(spark):
+    texts = [(i, " ".join([prose(i, 20), "verylongbeginningofaword" + ("idiot" if i % 3 == 0 else "friend"), prose(i + 7, 20)])) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    rows = toxicity.classify(spark.createDataFrame(texts, "doc_id long, text string"), labels).where("held_out").toPandas()
+    assert ((rows.doc_id % 3 == 0) == (rows.predicted == 1)).mean() > 0.95
+
+
 def test_scores_use_texts_only(labelled, odd, none):
     network = toxicity.fit(labelled, labelled)
     a = {tuple(r) for r in toxicity.with_scores(odd, network).select("text", "score").collect()}
