@@ -1,7 +1,8 @@
 """Surrogates for personal data, by keyed permutations of each entity's own format.
 
-Detected entities are e-mail and IP addresses, phone, card, social security and bank numbers, secrets, and
-names after a title. An entity is read as a number in the mixed radix of its characters (digits, letters of
+Detected entities are e-mail and IP addresses, phone, card, social security and bank numbers, secrets,
+names after a title, listed first names before a capitalised word, and every other mention of a found name's
+words in the same text. An entity is read as a number in the mixed radix of its characters (digits, letters of
 one alphabet), which a keyed permutation without fixed points maps to another number of the same format. So a
 surrogate keeps type, length, script, case, separators and check digits; equal entities get equal surrogates
 in every document, in whatever notation they are written (coreference), and different ones get different ones.
@@ -37,6 +38,12 @@ FIRST_NAMES = {
     "m": "James John Robert Michael William David Thomas Peter Paul Daniel Hans Karl Jean Pierre Louis José Juan Carlos Luis Miguel",
     "f": "Mary Anna Linda Sarah Laura Emma Julia Maria Sophie Claire Marie Jeanne Ingrid Heike Ursula Carmen Isabel Lucía Elena Ana",
 }
+FIRST = [name for names in FIRST_NAMES.values() for name in names.split()]
+#: Capitalised words that say nothing of a name, so they are no mention of one.
+COMMON = set((
+    "The A An And But Or If In On At To Of For From By With He She It They We You His Her Their Its This That These Those When Where Who What Why How "
+    "As Is Was Are Were Not No Yes After Before Then There Here Der Die Das Und Ein Eine Er Sie Es Le La Les Un Une Et Il Elle El Los Las"
+).split())
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Alphabets a character is exchanged within; other letters are exchanged within their block of 16 letters of one case.
@@ -53,7 +60,8 @@ KINDS = {
     "phone": r"(?<![\w.])(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1\D)\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}"
              r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w|\.\d)",
     "card": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w])",
-    "name": "".join((r"(?<!\w)(?:", "|".join(TITLES.values()), r") (?:[A-ZÀ-ÖØ-Þ][\w'’\-]+)(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){0,2}")),
+    "name": "".join((r"(?<!\w)(?:(?:", "|".join(TITLES.values()), r") (?:[A-ZÀ-ÖØ-Þ][\w'’\-]+)(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){0,2}"
+                     r"|(?:", "|".join(FIRST), r")(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){1,2})")),
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()))
 #: What every match of KINDS holds, so a text without any of these has no entity (the tests hold both together). One by one
@@ -61,7 +69,7 @@ ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.it
 HINTS = [re.compile(p) for p in (
     r"@", r"AKIA", r"gh[pousr]_", r"[0-9a-f]{32}", r"[nNdDyYtT](?:=| = |: )",  # email, secret
     r"\d(?:\d\d|\.\d|(?:[ \-]?\d){12})", r"\+\d", r"[A-Z]{2}\d{2}",  # ssn and phone, ip, card; phone; iban
-    "(?:" + "|".join(TITLES.values()) + r") [A-ZÀ-ÖØ-Þ]",
+    "(?:" + "|".join([*TITLES.values(), *FIRST]) + r") [A-ZÀ-ÖØ-Þ]",
 )]
 
 
@@ -157,22 +165,31 @@ def _ip(text: str, keyed: Permutation) -> str:
     return ".".join(map(str, out.to_bytes(4, "big")))
 
 
-def _name(text: str, keyed: Permutation) -> str:
+def _name_word(word: str, keyed: Permutation) -> str:
+    """A name's word, permuted within its list or, of no list, among the words of its sound that no list holds."""
+    names = next((names for names in map(str.split, FIRST_NAMES.values()) if word in names), None)
+    if names:
+        return names[keyed.next(names.index(word), len(names), "first" + names[0])]
+    by_sound = lambda n, c: (
+        None if n == len(word) - 1 else VOWELS if c in VOWELS else CONSONANTS if c in CONSONANTS else alphabet_of(c)
+    )
+    out = exchanged(word, keyed, "name", by_sound)
+    while out in FIRST:
+        out = exchanged(out, keyed, "name", by_sound)
+    return out
+
+
+def _name_words(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """(title with its blank or nothing, (word, possessive ending or nothing) of each word) of a name."""
     title, _, rest = text.partition(" ")
-    gender = next((g for g, titles in TITLES.items() if re.fullmatch(titles, title)), "n")
-    words = rest.split(" ")
-    out = []
-    for i, word in enumerate(words):
-        lists = [g for g, names in FIRST_NAMES.items() if word in names.split() and (gender in (g, "n"))]
-        if lists:
-            names = FIRST_NAMES[lists[0]].split()
-            out.append(names[keyed.next(names.index(word), len(names), "first" + lists[0])])
-            continue
-        by_sound = lambda n, c, w=word: (
-            None if n == len(w) - 1 else VOWELS if c in VOWELS else CONSONANTS if c in CONSONANTS else alphabet_of(c)
-        )
-        out.append(exchanged(word, keyed, "name", by_sound))
-    return " ".join([title, *out])
+    titled = rest and any(re.fullmatch(titles, title) for titles in TITLES.values())
+    words = (rest if titled else text).split(" ")
+    return title + " " if titled else "", [(w[:-2], w[-2:]) if len(w) > 3 and w[-2:] in ("'s", "’s") else (w, "") for w in words]
+
+
+def _name(text: str, keyed: Permutation) -> str:
+    title, words = _name_words(text)
+    return title + " ".join(_name_word(word, keyed) + ending for word, ending in words)
 
 
 def surrogate(kind: str, text: str, keyed: Permutation) -> tuple[str, str]:
@@ -236,10 +253,24 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
         found = ANY.search(text, found.end() if good else found.start() + 1)
 
 
+def with_mentions(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The entities of a text along with other mentions of its names' words."""
+    words = {w for kind, start, end in found if kind == "name" for w, _ in _name_words(text[start:end])[1]} - COMMON
+    if not words:
+        return found
+    out, at = [], 0
+    mention = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + r")(?!\w)")
+    for kind, start, end in [*found, ("", len(text), len(text))]:
+        out += [("name", m.start(), m.end()) for m in mention.finditer(text, at, min(start + 1, len(text))) if m.end() <= start]
+        out += [(kind, start, end)] if kind else []
+        at = end
+    return out
+
+
 def replaced(text: str | None, keyed: Permutation) -> tuple[str | None, list[tuple[str, str, str]]]:
     """The text with surrogates, and (kind, canonical form, surrogate's canonical form) of each entity."""
     parts, found, at = [], [], 0
-    for kind, start, end in entities(text):
+    for kind, start, end in with_mentions(text or "", list(entities(text))):
         original, new = surrogate(kind, text[start:end], keyed)
         parts += [text[at:start], new]
         found.append((kind, original, surrogate(kind, new, keyed)[0]))

@@ -110,6 +110,7 @@ ALONE = [
     "+1 743 555 3824", "+1(743)5553824", "+33 6 12 34 56 78", "+33.6.12.34.56.78", "+49 (30) 12 34 56", "+4 1 22 33 44", "(743) 555-3824", "743.555.3824",
     "4111 1111 1111 1111", "4111111111111111", "41-11-11-11-11-11-11-11", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1",
     *[f"{t} Smith" for t in "Mr Mr. Herr M. Monsieur Sr. Señor Don Mrs Mrs. Ms Ms. Miss Frau Mme Mme. Madame Mlle Sra. Señora Doña Dr Dr. Prof Prof.".split()],
+    *[f"{first} Smith" for first in pii.FIRST],
 ]
 
 
@@ -127,6 +128,24 @@ def test_texts_are_skipped_only_without_a_match():
         assert pii.may_hold(text) or not pii.ANY.search(text), text
 
 
+def test_names_are_replaced_wherever_their_words_stand():
+    keyed = pii.Permutation(b"k")
+    new, found = pii.replaced("Smith left. Mr. John Smith wrote. Smith said John's, and Dr. Smith's friend. Smithers, The smith. a.Smith@b.co", keyed)
+    first, last = re.match(r"(\w+) left\. Mr\. ", new)[1], pii._name_word("John", keyed)
+    assert first == pii._name_word("Smith", keyed) != "Smith" and last != "John"
+    assert new.startswith(f"{first} left. Mr. {last} {first} wrote. {first} said {last}'s, and Dr. {first}'s friend. Smithers, The smith. ")
+    assert [k for k, _, _ in found] == ["name"] * 5 + ["email"] and not re.search(r"\b(Smith|John)\b", new)
+    new, found = pii.replaced("Mary Anna Linda met Julia Weber; Weber left Rome.", keyed)
+    assert len(found) == 3 and not re.search("Mary|Anna|Linda|Julia|Weber", new) and new.endswith(" left Rome.")
+    assert pii.replaced("Mr. Smith The first. The end", keyed)[0].endswith(". The end") and pii.replaced("Mary had a lamb", keyed)[1] == []
+
+
+def test_name_words_never_meet():
+    keyed, words = pii.Permutation(b"k"), [a + b + c + "n" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"]
+    images = [pii._name_word(w, keyed) for w in [*words, *pii.FIRST] if w not in pii.FIRST] + [pii._name_word(w, keyed) for w in pii.FIRST]
+    assert len(set(images)) == len(images)
+
+
 def test_collisions_raise_the_version(spark, monkeypatch):
     df = spark.createDataFrame([(f"mail a{i}@mail.example.com",) for i in range(50)], "text string")
     assert pii.collisions(pii.entity_table(df, "key")).isEmpty() and pii.sound_version(df, "key") == 0
