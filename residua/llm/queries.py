@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, suffixes, toxicity, warc
+from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, suffixes, toxicity, vector_codes, warc
 from residua.llm.registry import query, table
 from residua.operators.storage import scratch_directory
 
@@ -209,3 +209,34 @@ def op9_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op10_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _codes_sql() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    distance = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        f"""k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM k, range({parts}) AS t(part))",
+        f"c0 AS (SELECT part, r - 1 AS entry, v FROM p WHERE r <= {entries})",
+    ]
+    for n in range(vector_codes.ROUNDS + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT r, part, min((d, entry)) AS best FROM (SELECT r, part, entry, {distance} AS d FROM p JOIN c{n} AS c USING (part)) GROUP BY r, part)"
+        )
+        if n < vector_codes.ROUNDS:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN (
+  SELECT part, entry, list((s - ((s % n + n) % n)) // n ORDER BY i) AS v FROM (
+    SELECT part, best[2] AS entry, i, sum(p.v[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN p USING (r, part), range(1, (SELECT max(len(v)) FROM p) + 1) AS t(i) GROUP BY 1, 2, 3)
+  GROUP BY part, entry) AS m USING (part, entry))""")
+    last = vector_codes.ROUNDS
+    return f"""WITH {', '.join(steps)},
+e AS (SELECT r, string_agg(printf('%02x', best[2]::INT), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a{last} GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM c{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM e JOIN k USING (r), b
+"""
+
+
+@query(_codes_sql())
+def op13_drake_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(vector_codes.compress(table(spark, sf_dir, "embeddings")))
