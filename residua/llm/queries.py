@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, suffixes, toxicity, vector_codes, warc
+from residua.llm import alignment, bpe, fingerprints, lines, minhash, packing, pii, quality, subwords, suffixes, toxicity, vector_codes, warc
 from residua.llm.registry import query, table
 from residua.operators.storage import scratch_directory
 
@@ -211,6 +211,17 @@ def op10_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query()
+def op11_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), path_a, path_b)
+
+
+@query()
+def op12_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _codes_sql() -> str:
     parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
     distance = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
