@@ -13,6 +13,7 @@ gives no pieces. Which sequence a document meets depends on the partitions; its
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -24,13 +25,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from tiktoken import Encoding
 from tokenizers import Tokenizer
 
+from residua.llm.bpe import byte_letters
 from residua.operators.storage import materialize
 
 SIZE, WINDOWS, MOST_GAP, SEPARATOR = 4096, 64, 64, 2
 #: Words remembered by a worker, at about 270 bytes each; more save time where workers have the memory.
 REMEMBERED_WORDS, CHUNK_CHARS = 300_000, 1_000_000
+#: The byte that stands for a word's end.
+END = b"\x00"
 _TOKENIZERS: dict[tuple[str, int], "WordIds"] = {}
 
 
@@ -70,37 +75,77 @@ class Remembered:
         return list(wanted - found)
 
 
+class WordMerges:
+    """The vocabulary's merges for whole words, many words in one call.
+
+    A word's last letter is a symbol of its own in such vocabularies. Here it is the letter and the end mark after it, joined
+    before all other merges; the other merges follow in the file's order, so the ids are the library's.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters, suffix = byte_letters(), model["end_of_word_suffix"]
+
+        def as_bytes(entry: str) -> bytes:
+            ends = entry.endswith(suffix)
+            body = entry[:-len(suffix)] if ends else entry
+            return bytes(letters[c] for c in body) + END * ends
+
+        ranks = {bytes([b]): b for b in range(256)}
+        ids = {letters[entry]: i for entry, i in model["vocab"].items() if entry in letters}
+        merged = [letter + suffix for letter in letters] + [
+            "".join(merge.split(" ") if isinstance(merge, str) else merge) for merge in model["merges"]
+        ]
+        for entry in merged:
+            if (content := as_bytes(entry)) not in ranks:
+                ids[len(ranks)] = model["vocab"][entry]
+                ranks[content] = len(ranks)
+        self.ids = np.array([ids[n] for n in range(len(ranks))], "<u4")
+        self.is_last = np.array([content.endswith(END) for content in ranks])
+        self.encoding = Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each word; words hold no end mark."""
+        if not words:
+            return
+        mark = END.decode()
+        found = self.encoding.encode_to_numpy(mark.join(words) + mark, disallowed_special=())
+        ids, ends = self.ids[found].tobytes(), 4 * (np.flatnonzero(self.is_last[found]) + 1)
+        start = 0
+        for end in ends.tolist():
+            yield ids[start:end]
+            start = end
+
+
 class WordIds:
-    """Ids of texts by the public library, asked once for each distinct word while it is remembered.
+    """Ids of texts as the public library gives them; each distinct word is merged once while it is remembered.
 
     The vocabulary's normalizer and word pattern never look across words of Latin-1 texts, so a text's ids
-    are those of its words; other texts, and texts with special tokens, go to the library whole.
+    are those of its words; other texts, and texts with special tokens or the end mark, go to the library whole.
     """
 
     def __init__(self, path: str, remembered: int) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = [END.decode(), *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.merges = WordMerges(path)
         self.parts = Remembered(remembered)
 
-    def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def _whole(self, text: str) -> bool:
         """Whether a text must be encoded in one piece."""
-        return not is_latin(text) or any(s in text for s in self.special)
+        return not is_latin(text) or any(s in text for s in self.apart)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if self._whole(t) else LATIN_WORDS(t.lower()) for t in texts]
         new = self.parts.missing(set().union(*(parts for parts in split if parts is not None)))
         known = self.parts.young
-        for part, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[part] = self._packed(encoding.ids)
+        known.update(zip(new, self.merges.encode(new)))
         return [
             b"".join(map(known.__getitem__, parts)) if parts is not None
-            else self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             for parts, text in zip(split, texts)
         ]
 

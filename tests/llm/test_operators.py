@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from residua.llm import bpe, fingerprints, lines, minhash, packing, pii, quality, suffixes, toxicity, warc
 from residua.llm.components import connected_components
+from residua.llm.row_keys import NUMBER, ids_are_unique, text_numbers, with_numbers
 from tests.llm.conftest import odd_rows, prose
 
 IDS_TEXTS = [(r[0], r[1]) for r in odd_rows()]
@@ -184,7 +185,8 @@ def test_word_ids_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, ids = Tokenizer.from_file(path), packing.word_ids(path)
     rng = np.random.default_rng(1)
-    texts = ["".join(chr(c) for c in rng.integers(0, 256, 120)) for _ in range(200)] + [t or "" for _, t in IDS_TEXTS]
+    texts = ["".join(chr(c) for c in rng.integers(low, 256, 120)) for low in (0, 1, 33, 160) for _ in range(200)] + [t or "" for _, t in IDS_TEXTS]
+    texts += ["".join(chr(c) for c in rng.integers(97, 123, rng.integers(1, 40))) for _ in range(2000)] + ["x" * 3000, "'s't're don't 12345 ½²"]
     for text, packed in zip(texts, ids.encode(texts)):
         assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -304,6 +306,37 @@ def test_components_equal_all_pairs(spark, odd, none, k):
     assert minhash.near_duplicates(none, k=k).count() == 0 and minhash.near_duplicates(odd, k=k).count() == len(IDS_TEXTS)
 
 
+def numbered(df):
+    """(number, id, text) of the distinct rows."""
+    found = with_numbers(df, text_numbers(df, "doc_id", "text"), "doc_id", "text").distinct().collect()
+    rows = sorted((r[NUMBER], r.doc_id, r.text) for r in found)
+    ids = [(r[1] is not None, r[1] or 0) for r in rows]
+    assert ids == sorted(ids) and len({r[0] for r in rows}) == len(rows) == len({r[1:] for r in rows})
+    return rows
+
+
+def test_repeated_and_null_ids_lose_no_link(spark):
+    one, other = prose(80, 90), prose(81, 90)
+    probe = spark.createDataFrame([(1, one), (1, other), (2, one + " end"), (3, other + " end"), (4, prose(82, 90))], "doc_id long, text string")
+    assert not ids_are_unique(probe, "doc_id") and {r.component_id for r in minhash.near_duplicates(probe).collect()} == {1, 4}
+    rows = [(500 + i % 12, t) for i, (_, t) in enumerate(near_rows())] + [(None, t) for _, t in near_rows()[:4]] + IDS_TEXTS * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    distinct = numbered(df)
+    id_of = {n: i for n, i, _ in distinct}
+    plain = {r[0]: r for r in plain_components([(n, t) for n, i, t in distinct if i is not None], 5)}
+    number_of = {(i, t): n for n, i, t in distinct}
+    expected = []
+    for i, t in rows:
+        n = number_of[i, t]
+        component = id_of[plain[n][2]] if n in plain else None
+        expected.append((i, len(minhash.shingle_set(t, 5)), component, i is None or component == i))
+    assert order(minhash.near_duplicates(df).collect()) == order(expected)
+    stays = {n for n, i, _ in distinct if i is None or plain[n][2] == n}
+    kept = minhash.without_near_duplicates(df.withColumn("__extra", df.doc_id))
+    assert kept.columns == ["doc_id", "text", "__extra"]
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order(r for r in rows if number_of[r] in stays)
+
+
 def test_bit_counts_estimate_similarity(spark):
     a, b = prose(70, 600), " ".join(prose(70, 540).split() + prose(71, 60).split())
     df = spark.createDataFrame([(1, a), (2, b), (3, prose(72, 500))], "doc_id long, text string")
@@ -374,6 +407,26 @@ def test_duplicate_lines_equal_all_pairs(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(IDS_TEXTS)
 
 
+def test_repeated_and_null_ids_lose_no_line(spark):
+    unique = [prose(90 + i, 12) for i in range(6)]
+    rows = [(None, unique[0] + "\n" + unique[1]), (None, unique[2] + "\n" + unique[0]), (None, unique[3] + "\nx\n" + unique[4])]
+    rows += [(7, unique[5] + "\n" + t) for _, t in line_rows()[:12]] + [(8 + i % 2, t) for i, t in line_rows()[10:]] + rows[:2] + [(9, None), (9, "")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    distinct = numbered(df)
+    id_of = {n: i for n, i, _ in distinct}
+    number_of = {(i, t): n for n, i, t in distinct}
+    plain = plain_lines([(n, t) for n, _, t in distinct])
+    gone = {p[:2] for p in plain}
+    copies = collections.Counter(number_of[r] for r in rows)
+    expected = [(id_of[a], n, id_of[b], m) for a, n, b, m in plain for _ in range(copies[a])]
+    assert order(r[:4] for r in lines.duplicate_lines(df).collect()) == order(expected)
+    cut = [(i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (number_of[i, t], n) not in gone)) for i, t in rows]
+    got = lines.without_duplicate_lines(df.withColumn("number", df.doc_id).withColumn("words", df.text))
+    assert got.columns == ["doc_id", "text", "number", "words"] and order((r.doc_id, r.text) for r in got.collect()) == order(cut)
+    left = " ".join(t for _, t in cut if t)
+    assert all(u.lower() in left.lower() for u in unique)
+
+
 def test_line_joins_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(lines, "BLOCK", 3)
