@@ -12,7 +12,8 @@ first or the last q words equal, for a q that follows from their lengths. Groups
 ever reduced to their earliest line, so no pairs are made within a group, however large.
 
 Defined results: null and empty texts have no lines; lines of fewer than `least_words` words are left alone;
-null ids come first; rows that repeat an id count as one document. An empty table gives no duplicates.
+null ids come first. Rows that share an id, or have none, are documents of their own as long as their texts differ, in the order
+of their texts' hashes; rows equal in id and text count as one document. An empty table gives no duplicates.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from residua.llm.row_keys import NUMBER, ids_are_unique, text_numbers, with_numbers
 from residua.operators.storage import materialize
 
 LEAST_WORDS = 5
@@ -103,6 +105,19 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """`doc_id`, `line_no`, `keeper_doc_id`, `keeper_line_no`, `edits` (0 or 1) of every line that goes."""
+    df = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    if ids_are_unique(df, "doc_id"):
+        return _duplicates(df, "doc_id", "text", least_words)
+    numbers = text_numbers(df, "doc_id", "text")
+    found = _duplicates(with_numbers(df, numbers, "doc_id", "text"), NUMBER, "text", least_words)
+    ids = numbers.select(F.col("__id").alias("doc_id"), NUMBER)
+    keepers = ids.select(F.col("doc_id").alias("keeper"), F.col(NUMBER).alias("keeper_doc_id"))
+    named = found.withColumnRenamed("doc_id", NUMBER).join(ids, NUMBER).join(keepers, "keeper_doc_id")
+    return named.select("doc_id", "line_no", F.col("keeper").alias("keeper_doc_id"), "keeper_line_no", "edits")
+
+
+def _duplicates(df: DataFrame, id_col: str, text: str, least_words: int) -> DataFrame:
+    """`duplicate_lines` of documents that an id or number tells apart."""
     lines = lines_of(df, id_col, text, least_words)
     stored = materialize(lines.select("doc_id", "line_no", "k1", "k2", sieve_keys(F.col("words")).alias("sieve")), "lines")
     classes = stored.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
@@ -164,8 +179,11 @@ def _candidates(docs: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def without_duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """`df` with the duplicate lines cut from its texts; all columns stay."""
-    gone = materialize(duplicate_lines(df, id_col, text, least_words), "gone").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = df.join(gone, df[id_col].eqNullSafe(gone["__doc"]), "left")
+    columns, key = df.columns, id_col
+    if not ids_are_unique(df, id_col):
+        df, key = with_numbers(df, text_numbers(df, id_col, text), id_col, text), NUMBER
+    gone = materialize(_duplicates(df, key, text, least_words), "gone").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = df.join(gone, df[key].eqNullSafe(gone["__doc"]), "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("__gone", i.cast("bigint")))
     cut = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text, cut).select(*df.columns)
+    return joined.withColumn(text, cut).select(*columns)

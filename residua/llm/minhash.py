@@ -13,7 +13,8 @@ members of other components by longer signatures, so that no link between compon
 
 Defined results: a null or wordless text has an empty set and links with nothing; a text of fewer than `k`
 words has its whole sequence as its only shingle. Rows with a null id take no part: their component is null
-and they are kept. Rows that repeat an id share its component. An empty table gives an empty result.
+and they are kept. Rows that repeat an id with different texts are documents of their own; a component is named by the smallest id in
+it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from residua.llm.components import connected_components
+from residua.llm.row_keys import NUMBER, ids_are_unique, text_numbers, with_numbers
 from residua.operators.storage import materialize
 
 ROWS, BANDS, LOW_BITS = 4, 32, 2
@@ -220,6 +222,50 @@ def best_neighbours(rows: DataFrame, seed: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` (smallest id reachable over links), `kept`, one row per input row."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if ids_are_unique(rows, "doc_id"):
+        return _components(rows, "doc_id", "text", k, percent)
+    numbers = text_numbers(rows, "doc_id", "text")
+    found = _numbered_components(rows, numbers, k, percent)
+    return with_numbers(rows, numbers, "doc_id", "text").select("doc_id", NUMBER).join(found, NUMBER).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
+
+
+def _numbered_components(rows: DataFrame, numbers: DataFrame, k: int, percent: int) -> DataFrame:
+    """`__number_of_row`, `n_shingles`, `component` (the smallest number reachable), `component_id` (its id) of each distinct (id, text)."""
+    numbered = with_numbers(rows, numbers, "doc_id", "text").select(
+        F.when(F.col("doc_id").isNotNull(), F.col(NUMBER)).alias("__taken"), NUMBER, "text"
+    )
+    once = materialize(numbered.dropDuplicates([NUMBER]), "numbered")
+    found = _components(once.where("__taken is not null"), NUMBER, "text", k, percent).select(
+        F.col("doc_id").alias(NUMBER), "n_shingles", F.col("component_id").alias("component")
+    )
+    # rows without an id link to nothing
+    alone = signatures(once.where("__taken is null"), NUMBER, "text", k).select(
+        F.col("doc_id").alias(NUMBER), "n_shingles", F.lit(None).cast("long").alias("component")
+    )
+    ids = numbers.select(F.col("__id").alias("component_id"), F.col(NUMBER).alias("component"))
+    return found.unionByName(alone).join(ids, "component", "left")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of `df` that stay when one document of each component does, that with the smallest id; all columns stay.
+
+    Rows equal in id and text are one document.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if ids_are_unique(rows, "doc_id"):
+        gone = _components(rows, "doc_id", "text", k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+        return df.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    numbers = text_numbers(rows, "doc_id", "text")
+    gone = _numbered_components(rows, numbers, k, percent).where(F.col(NUMBER) != F.col("component")).select(F.col(NUMBER).alias("__gone"))
+    keyed = with_numbers(df, numbers, id_col, text)
+    return keyed.join(gone, F.col(NUMBER) == F.col("__gone"), "left_anti").select(*df.columns)
+
+
+def _components(df: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """`near_duplicates` of documents that an id or number tells apart."""
     signed = materialize(signatures(df, id_col, text, k), "signatures")
     taking_part = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(taking_part.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
@@ -228,9 +274,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")),
         "members",
     )
-    # One row per class: a repeated id with several texts counts once.
+    # One row per class.
     first = classes.withColumnRenamed("rep", "doc_id")
-    lead = taking_part.join(first, ["set1", "set2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    lead = taking_part.join(first, ["set1", "set2", "n_shingles", "doc_id"], "left_semi")
     lead = materialize(lead.select("doc_id", "bands", *PLANES), "leads")
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     planes = lead.select("doc_id", *PLANES)
