@@ -2,7 +2,8 @@
 
 Detected entities are e-mail and IP addresses, phone, card, social security and bank numbers, secrets,
 names after a title, listed first names before a capitalised word, and every other mention of a found name's
-words in the same text. An entity is read as a number in the mixed radix of its characters (digits, letters of
+words in the same text, unless an article stands before it ("the White House"). A card number has 13 to 19 digits in a row or in
+a card's groups, a first digit and a check digit of cards: number lists, dates and order numbers are none. An entity is read as a number in the mixed radix of its characters (digits, letters of
 one alphabet), which a keyed permutation without fixed points maps to another number of the same format. So a
 surrogate keeps type, length, script, case, separators and check digits; equal entities get equal surrogates
 in every document, in whatever notation they are written (coreference), and different ones get different ones.
@@ -32,7 +33,7 @@ from residua.operators.storage import materialize
 
 # Titles by gender, and first names by gender.
 TITLES = {
-    "m": r"Mr\.?|Herr|M\.|Monsieur|Sr\.|Señor|Don", "f": r"Mrs\.?|Ms\.?|Miss|Frau|Mme\.?|Madame|Mlle|Sra\.|Señora|Doña", "n": r"Dr\.?|Prof\.?",
+    "m": r"Mr\.?|Herr|M\.|Monsieur|Sr\.|Señor", "f": r"Mrs\.?|Ms\.?|Miss|Frau|Mme\.?|Madame|Mlle|Sra\.|Señora|Doña", "n": r"Dr\.?|Prof\.?",
 }
 FIRST_NAMES = {
     "m": "James John Robert Michael William David Thomas Peter Paul Daniel Hans Karl Jean Pierre Louis José Juan Carlos Luis Miguel",
@@ -49,26 +50,36 @@ VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Alphabets a character is exchanged within; other letters are exchanged within their block of 16 letters of one case.
 ALPHABETS = [DIGITS, LOWER, "áéíóúàèìòùâêîôûäëïöü"]
 ROUNDS = 6
-
+#: Letters that are exchanged as one number; longer entities go block by block.
+BLOCK = 64
+#: Words before a capitalised word that make it no mention of a person.
+ARTICLES = "the The der Der die Die das Das le Le la La les Les el El los Los las Las".split()
+
+EMAIL = r"[\w.%+\-]+@(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,}"
+_GROUPS = ["".join(group.replace("|", sep) for group in form) for sep in (" ", "-") for form in (
+    [r"\d{4}", r"|\d{4}" * 3, r"(?:|\d{1,3})?"], [r"\d{4}|\d{6}|\d{4,5}"],
+)]
 KINDS = {
-    "email": r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+\-])" + EMAIL,
     "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|(?<![0-9A-Za-z])(?!(?:a+|b+|c+|d+|e+|f+)(?![0-9A-Za-z]))[0-9a-f]{32,}(?![0-9A-Za-z])"
               r"|(?i:(?<=token = \")|(?<=token=)|(?<=password=)|(?<=password: )|(?<=api_key=)|(?<=secret=))[^\s\"']{8,})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w.])(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1\D)\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}"
-             r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w|\.\d)",
-    "card": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w])",
+             r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}"
+             r"|0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})|(?:\(0\d{2,4}\) ?|0[1-9]\d{1,3}[ /\-])\d{5,8})(?!\w|[.\-]\d)",
+    "card": r"(?<![\w.])(?<!\d[ \-])(?:\d{13,19}|" + "|".join(_GROUPS) + r")(?![\w]|[ \-]\d)",
     "name": "".join((r"(?<!\w)(?:(?:", "|".join(TITLES.values()), r") (?:[A-ZÀ-ÖØ-Þ][\w'’\-]+)(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){0,2}"
                      r"|(?:", "|".join(FIRST), r")(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){1,2})")),
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()))
+_EMAIL_HERE = re.compile(EMAIL).match
 #: What every match of KINDS holds, so a text without any of these has no entity (the tests hold both together). One by one
 #: these are several times faster than as alternatives of one pattern.
 HINTS = [re.compile(p) for p in (
     r"@", r"AKIA", r"gh[pousr]_", r"[0-9a-f]{32}", r"[nNdDyYtT](?:=| = |: )",  # email, secret
-    r"\d(?:\d\d|\.\d|(?:[ \-]?\d){12})", r"\+\d", r"[A-Z]{2}\d{2}",  # ssn and phone, ip, card; phone; iban
+    r"\d(?:\d\d|\.\d)", r"\+\d", r"0\d[ .\-]\d\d[ .\-]\d", r"[A-Z]{2}\d{2}",  # ssn, phone and card, ip; phones; iban
     "(?:" + "|".join([*TITLES.values(), *FIRST]) + r") [A-ZÀ-ÖØ-Þ]",
 )]
 
@@ -121,9 +132,25 @@ def alphabet_of(letter: str) -> str | None:
 
 
 def exchanged(text: str, keyed: Permutation, tweak: str, alphabets: Callable[[int, str], str | None] | None = None) -> str:
-    """Exchange all characters of a text within their alphabets, as one number; upper case stays in place."""
+    """Exchange all characters of a text within their alphabets; upper case stays in place.
+
+    Up to `BLOCK` letters are one number. What follows is exchanged block by block, each under a tweak made of the
+    letters before it, so the whole stays a permutation and its time is linear.
+    """
     low = [c.lower() if len(c.lower()) == 1 else c for c in text]
     sets = [(alphabets(i, c) if alphabets else alphabet_of(c)) for i, c in enumerate(low)]
+    out, start, letters, before = [], 0, 0, hashlib.blake2b(digest_size=16)
+    for end in range(1, len(text) + 1):
+        letters += sets[end - 1] is not None
+        if letters == BLOCK or end == len(text):
+            here = f"{tweak}|{start}|{before.hexdigest()}" if start else tweak
+            out.append(_exchanged_block(text[start:end], low[start:end], sets[start:end], keyed, here))
+            before.update("".join(low[start:end]).encode())
+            start, letters = end, 0
+    return "".join(out)
+
+
+def _exchanged_block(text: str, low: list[str], sets: list[str | None], keyed: Permutation, tweak: str) -> str:
     value, size, form = 0, 1, []
     for c, letters in zip(low, sets):
         if letters:
@@ -204,7 +231,7 @@ def surrogate(kind: str, text: str, keyed: Permutation) -> tuple[str, str]:
     if kind == "phone":
         digits = re.sub(r"\D", "", text)
         code = re.match(r"\+(\d{1,3})[ .\-(]", text)
-        start = len(code[1]) if code else 0
+        start = len(code[1]) if code else int(digits[0] == "0")  # the 0 that stands for the own country stays
         national = exchanged(digits[start:], keyed, "phone")
         return digits[start:], _refill(text, digits[:start] + national)
     if kind == "card":
@@ -227,8 +254,16 @@ def surrogate(kind: str, text: str, keyed: Permutation) -> tuple[str, str]:
     return text, exchanged(text, keyed, "secret", (lambda i, c: HEX) if hexadecimal else None)
 
 
+def is_card(text: str) -> bool:
+    """First digit and check digit of payment cards, and no row of years."""
+    groups = re.split("[ -]", text)
+    return text[0] in "23456" and luhn("".join(groups)) == 0 and not all(re.fullmatch("19[0-9]{2}|20[0-9]{2}", g) for g in groups)
+
+
 def is_entity(kind: str, text: str) -> bool:
     """Rules beyond the pattern."""
+    if kind == "card":
+        return is_card(text)
     if kind == "ip":
         return all(int(p) < 256 for p in text.split("."))
     if kind == "iban":
@@ -249,8 +284,12 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
         good = is_entity(found.lastgroup, found[0])
         if good:
             yield found.lastgroup, found.start(), found.end()
+            at = found.end()
+            if rest := _EMAIL_HERE(text, at):  # directly behind an entity
+                yield "email", at, rest.end()
+                at = rest.end()
         # what was no entity may hold one
-        found = ANY.search(text, found.end() if good else found.start() + 1)
+        found = ANY.search(text, at if good else found.start() + 1)
 
 
 def with_mentions(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -259,7 +298,7 @@ def with_mentions(text: str, found: list[tuple[str, int, int]]) -> list[tuple[st
     if not words:
         return found
     out, at = [], 0
-    mention = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + r")(?!\w)")
+    mention = re.compile("".join(rf"(?<!\b{a} )" for a in ARTICLES) + r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + r")(?!\w)")
     for kind, start, end in [*found, ("", len(text), len(text))]:
         out += [("name", m.start(), m.end()) for m in mention.finditer(text, at, min(start + 1, len(text))) if m.end() <= start]
         out += [(kind, start, end)] if kind else []

@@ -109,8 +109,9 @@ ALONE = [
     'token = "abcdefgh', "TOKEN=abcdefgh", "password=abcdefgh", "Password: abcdefgh", "api_key=abcdefgh", "secret=abcdefgh", "password=" + "a" * 40, "0" * 40,
     "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "1.2.3.4", "10.20.30.40", "078-05-1120",
     "+1 743 555 3824", "+1(743)5553824", "+33 6 12 34 56 78", "+33.6.12.34.56.78", "+49 (30) 12 34 56", "+4 1 22 33 44", "(743) 555-3824", "743.555.3824",
-    "4111 1111 1111 1111", "4111111111111111", "41-11-11-11-11-11-11-11", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1",
-    *[f"{t} Smith" for t in "Mr Mr. Herr M. Monsieur Sr. Señor Don Mrs Mrs. Ms Ms. Miss Frau Mme Mme. Madame Mlle Sra. Señora Doña Dr Dr. Prof Prof.".split()],
+    "4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "3056 930902 5904", "6304 0000 0000 0000 00",
+    "06 12 34 56 78", "01.23.45.67.89", "030 1234567", "(030) 1234567", "0171/2345678", "jörg@müller.de", "иван.петров@почта.рф", "a@почта.рф", "山田@例え.jp",
+    "user_name@a-b.co", *[f"{t} Smith" for t in "Mr Mr. Herr M. Monsieur Sr. Señor Mrs Mrs. Ms Ms. Miss Frau Mme Mme. Madame Mlle Sra. Señora Doña Dr Dr. Prof Prof.".split()],
     *[f"{first} Smith" for first in pii.FIRST],
 ]
 
@@ -120,9 +121,46 @@ def test_every_alternative_is_found_alone(text):
     assert pii.ANY.search(text) and list(pii.entities(text)) and pii.replaced(text, pii.Permutation(b"k"))[0] != text
 
 
+@pytest.mark.parametrize("text", [
+    "scores 1 2 3 4 5 6 7 8 9 10 11 12", "1999 2000 2001 2002", "2001 2002 2003 2005", "2020-01-02 10 30 45 100", "ISBN 9780306406157", "978-0-306-40615-7", "1700000000003",
+    "41-11-11-11-11-11-11-11", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4111 1111-1111 1111", "4111 1111 1111 1112", "9807915762804490", "order 4111111111111112", "4111 1111 1111 1111 1111 1111",
+    "Don Quixote", "the White House", "version 10.12.2", "0 12 34", "07.08.2020", "1 000 000 000",
+])
+def test_numbers_and_names_of_other_kinds_stay(text):
+    assert list(pii.entities(text)) == [] and pii.replaced(f"See {text}, then.", pii.Permutation(b"k"))[1] == []
+
+
+def test_surrogates_of_very_long_entities(spark):
+    keyed, n = pii.Permutation(b"k"), 100_000
+    hexadecimal, name = "0123456789abcdef" * (n // 16), "Q" + "uotidian" * (n // 8)
+    texts = [hexadecimal, "x" * n + "@mail.example.com", "password=" + "aB3$" * (n // 4), f"Mr. {name} and {name}", "1" * n, "+1" * n, "a@" * n, "é" * n + "@b.co", "AB12" * n]
+    for text in texts:
+        new, found = pii.replaced(text, keyed)
+        assert len(new) == len(text) and (new != text) == bool(found)
+    other = hexadecimal[:-1] + "0"
+    one, two = (pii.surrogate("secret", t, keyed)[1] for t in (hexadecimal, other))
+    assert one != two and one[:99_900] == two[:99_900] and one[-1] != two[-1] and re.fullmatch("[0-9a-f]+", one)
+    blocks = {one[i:i + pii.BLOCK] for i in range(0, n - pii.BLOCK, pii.BLOCK)}
+    assert len(blocks) > 1000  # equal blocks at other places differ
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert pii.replace_pii(df, "key").where("n_entities > 0").count() >= 4
+
+
+def test_numbers_with_and_without_country_code_meet():
+    keyed = pii.Permutation(b"k")
+    new, found = pii.replaced("+33 6 12 34 56 78 or 06 12 34 56 78", keyed)
+    assert [k for k, _, _ in found] == ["phone"] * 2 and len({o for _, o, _ in found}) == 1
+    assert new.startswith("+33 ") and " or 0" in new and re.sub(r"\D", "", new[4:17]) == re.sub(r"\D", "", new[-13:])
+
+
+def test_articles_make_no_mention():
+    new, found = pii.replaced("Mr. White saw the White House. White left.", pii.Permutation(b"k"))
+    assert "the White House" in new and [k for k, _, _ in found] == ["name"] * 2 and new.count("White") == 1
+
+
 def test_texts_are_skipped_only_without_a_match():
     rng = np.random.default_rng(3)
-    pieces = ["+", "1", "33", "6", "12", "345", " ", " ", "-", ".", "(", ")", "@", "AB", "GB82", "abcdef", "deadbeef" * 4, "AKIA", "ABCD" * 4, "ghp_", "xY" * 10,
+    pieces = ["+", "0", "1", "33", "6", "12", "345", " ", " ", "-", ".", "(", ")", "@", "AB", "GB82", "abcdef", "deadbeef" * 4, "AKIA", "ABCD" * 4, "ghp_", "xY" * 10,
               "token=", "password: ", "Mr.", "Frau", "Smith", "É", "x"]
     for _ in range(20_000):
         text = "".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, 14)))
