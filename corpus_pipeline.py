@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from residua.llm import lines, minhash, packing, pii, toxicity
 from residua.llm.registry import small_batches
-from residua.operators.storage import scratch_directory
+from residua.operators.storage import drop_stored, scratch_directory, stored_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Production keys come from the caller; this one only makes the run repeatable.
@@ -37,8 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
     small_batches(spark)
-    gone = minhash.near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return minhash.without_near_duplicates(docs, k=5).select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{scratch_directory(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{folder}/{name}"
+        path, before = f"{folder}/{name}", stored_tables(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_stored(spark, keep=before)  # the stage's own tables
         docs = spark.read.parquet(path)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +32,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables stored so far, once their results have been written; returns how many."""
-    paths = [path for path, owner in _STORED.items() if owner is spark]
+def stored_tables(spark: SparkSession) -> list[str]:
+    """Where the tables stored so far are."""
+    return [path for path, owner in _STORED.items() if owner is spark]
+
+
+def drop_stored(spark: SparkSession, keep: Iterable[str] = ()) -> int:
+    """Delete the tables stored so far but for `keep`, once their results have been written; returns how many."""
+    paths = [path for path in stored_tables(spark) if path not in set(keep)]
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
