@@ -17,6 +17,7 @@ empty table gives no rows. Special tokens inside texts are plain text.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +31,26 @@ from tokenizers import Tokenizer
 from residua.llm.bpe import byte_letters
 from residua.operators.storage import materialize
 
-#: Characters of a block, and of the texts that are encoded at a time.
-BLOCK_CHARS, ENCODED_CHARS = 3_000_000, 200_000
+#: Characters of a block, and of the words that are encoded at a time.
+BLOCK_CHARS, ENCODED_CHARS = 2_000_000, 100_000
+REMEMBERED_WORDS, LONGEST_REMEMBERED = 300_000, 40
+#: How pieces write a blank.
+BLANK = "\u2581"
+ODD_BLANKS, WORD_BORDERS = re.compile(r"\s ").search, re.compile(r"(?<=\S)(?= )").split
 _SHIFT = 32
 _PAIRS: dict[tuple[str, str], "Vocabularies"] = {}
 _IDS = pa.large_list(pa.int32())
 
 
 class Vocabularies:
-    """Both tokenizers, with the bytes and the decimal text of each id."""
+    """Both tokenizers, with the bytes and the decimal text of each id, and the ids of the words met lately.
 
-    def __init__(self, path_a: str, path_b: str) -> None:
+    A word is what follows, blank included, a blank behind a character that is no white space. Neither the byte-level word
+    pattern nor a piece vocabulary without blanks inside pieces ever looks across such a border, so a text's ids are
+    those of its words. With other pieces, texts go to the libraries whole.
+    """
+
+    def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED_WORDS) -> None:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -53,20 +63,57 @@ class Vocabularies:
             bytes_a[i] = entry.encode() if entry in special else bytes(letters[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
+            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)
         ]
         self.bytes = [pa.array(x, pa.large_binary()) for x in (bytes_a, bytes_b)]
         self.lengths = [pc.binary_length(x) for x in self.bytes]
         self.names = [pa.array(map(str, range(len(x))), pa.large_string()) for x in (bytes_a, bytes_b)]
+        self.by_words = not any(BLANK in p.lstrip(BLANK) for p in pieces)
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.passing: list[str] = []
+        self.words = [pa.array([], _IDS), pa.array([], _IDS)]
+
+    def split(self, text: str) -> list[str]:
+        """The words of a blank and a text; the blank before each is left out."""
+        if not text:
+            return []
+        if not self.by_words:
+            return [text]
+        if ODD_BLANKS(" " + text):
+            return [word[1:] for word in WORD_BORDERS(" " + text)]
+        return text.split(" ")
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode the words not known yet, a few at a time; very long ones are known for one call only."""
+        while self.passing:
+            del self.known[self.passing.pop()]
+        if len(self.words[0]) > self.remembered:
+            self._forget()
+        for part in parts_of([w for w in words if w not in self.known], ENCODED_CHARS):
+            self.known.update(zip(part, range(len(self.words[0]), len(self.words[0]) + len(part))))
+            self.passing += [w for w in part if len(w) > LONGEST_REMEMBERED]
+            found = self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
+            pieces = self.b.encode(part, num_threads=1)
+            if "" in part:  # a blank at the end of a text; the library adds none to an empty one
+                pieces[part.index("")] = [self.b.piece_to_id(BLANK)]
+            new = pa.array([e.ids for e in found], _IDS), pa.array(pieces, _IDS)
+            self.words = [pa.concat_arrays(pair) for pair in zip(self.words, new)]
 
     def encode(self, texts: list[str]) -> list[pa.Array]:
-        """The ids of both tokenizers, a list per text; no more than a few texts are with a tokenizer at a time."""
-        out: list[list[pa.Array]] = [[], []]
-        for part in parts_of(texts, ENCODED_CHARS):
-            found = self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)
-            out[0].append(pa.array([e.ids for e in found], _IDS))
-            out[1].append(pa.array(self.b.encode(part, num_threads=1), _IDS))
-        return [pa.concat_arrays(x) if x else pa.array([], _IDS) for x in out]
+        """The ids of both tokenizers, a list per text."""
+        split = [self.split(t) for t in texts]
+        self._learn(set().union(*split))
+        places = pa.array(np.fromiter((i for words in split for i in map(self.known.__getitem__, words)), np.int64))
+        ends = np.cumsum([0, *map(len, split)])
+        out = []
+        for side in self.words:
+            lists = side.take(places)
+            out.append(pa.LargeListArray.from_arrays(lists.offsets.take(pa.array(ends)), lists.values))
+        return out
 
 
 def vocabularies(path_a: str, path_b: str) -> Vocabularies:
@@ -80,7 +127,7 @@ def parts_of(texts: list[str], most: int) -> Iterator[list[str]]:
     part, held = [], 0
     for text in texts:
         part.append(text)
-        held += len(text)
+        held += len(text) + 1
         if held >= most:
             yield part
             part, held = [], 0

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import random
 
 import public_tokenizers
 from sentencepiece import SentencePieceProcessor
@@ -19,6 +20,18 @@ MORE = [
 ]
 
 
+def test_words_have_the_ids_of_their_texts(monkeypatch):
+    chance = random.Random(5)
+    monkeypatch.setattr(alignment, "LONGEST_REMEMBERED", 20)
+    tables = alignment.Vocabularies(*PATHS, remembered=30)
+    pieces = ["a", "b c", "  ", " ", "\n", "\t ", "\u3000", "\xa0", "é", "1", "22", "...", "'s", "<|endoftext|>", "日本", "\r\n", "x" * 30, "\x1c", "\x85"]
+    for n in range(300):
+        texts = ["".join(chance.choice(pieces) for _ in range(chance.randrange(1, 12))) for _ in range(20)]
+        for text, a, b in zip(texts, *tables.encode(texts)):
+            assert a.as_py() == tables.a.encode(" " + text, add_special_tokens=False).ids and b.as_py() == tables.b.encode(text)
+    assert tables.by_words and len(tables.known) < 600
+
+
 def plain(texts):
     """Rows of (n_a, n_b, n_groups, n_links, n_best, count_sum, digest)."""
     a, b = Tokenizer.from_file(PATHS[0]), SentencePieceProcessor(model_file=PATHS[1])
