@@ -20,8 +20,14 @@ FEATURES = ["Length", "MolecularWeight", "Gravy", "Hydrophobicity_KD", "NetCharg
 PEP_SOURCE = I.PEP_SQL + ", valid AS (SELECT pep_id, activity, sequence FROM pep)"
 FEATURE_SQL = descriptor_cte(FEATURES, PEP_SOURCE) + ", f AS (SELECT pep_id, activity, sequence, " + ", ".join(
     f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in FEATURES) + " FROM described)"
-GAPS_SQL = FEATURE_SQL + ", g AS (SELECT pep_id, " + ", ".join(
-    f'CASE WHEN (pep_id + {i}) % 7 = 0 THEN NULL ELSE "{c}" END AS "{c}"' for i, c in enumerate(FEATURES)) + " FROM f)"
+
+
+def _gaps_sql(names: list[str]) -> str:
+    return ", g AS (SELECT pep_id, " + ", ".join(
+        f'CASE WHEN (pep_id + {i}) % 7 = 0 THEN NULL ELSE CAST("{c}" AS DOUBLE) END AS "{c}"' for i, c in enumerate(names)) + " FROM f)"
+
+
+GAPS_SQL = FEATURE_SQL + _gaps_sql(FEATURES)
 
 
 def feature_table(spark: SparkSession, sf_dir: str, names: list[str] = FEATURES) -> DataFrame:
@@ -32,9 +38,9 @@ def feature_table(spark: SparkSession, sf_dir: str, names: list[str] = FEATURES)
     )
 
 
-def _with_gaps(table: DataFrame) -> DataFrame:
+def _with_gaps(table: DataFrame, names: list[str] = FEATURES) -> DataFrame:
     return table.select(
-        "pep_id", *[F.when((F.col("pep_id") + i) % 7 != 0, F.col(c)).alias(c) for i, c in enumerate(FEATURES)]
+        "pep_id", *[F.when((F.col("pep_id") + i) % 7 != 0, F.col(c)).alias(c) for i, c in enumerate(names)]
     )
 
 
@@ -111,12 +117,28 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(DP.correlation_matrix(feature_table(spark, sf_dir), FEATURES))
 
 
-@query(GAPS_SQL + ", long AS (" + " UNION ALL ".join(f"""SELECT pep_id, '{c}' AS name, "{c}" AS v FROM g""" for c in FEATURES) + """)
-       SELECT a.name AS feature_i, b.name AS feature_j, round(corr(a.v, b.v), 6) + 0.0 AS corr FROM long a JOIN long b USING (pep_id) GROUP BY a.name, b.name""")
+def _gap_pairs_sql(names: list[str]) -> str:
+    """Every pair over the rows where both are present; null, as a whole, where one does not vary over them."""
+    long = " UNION ALL ".join(f"""SELECT pep_id, '{c}' AS name, "{c}" AS v FROM g""" for c in names)
+    return f"""{_gaps_sql(names)}, long AS ({long}), met AS (SELECT a.name AS feature_i, b.name AS feature_j, a.v AS x, b.v AS y
+         FROM long a JOIN long b USING (pep_id) WHERE a.v IS NOT NULL AND b.v IS NOT NULL)
+       SELECT feature_i, feature_j, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN round(corr(x, y), 6) + 0.0 END AS corr FROM met GROUP BY ALL"""
+
+
+@query(FEATURE_SQL + _gap_pairs_sql(FEATURES))
 def corr_matrix_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(DP.correlation_matrix(_with_gaps(feature_table(spark, sf_dir)), FEATURES))
 
 
+WIDE = list(DESCRIPTOR_SQL)
+
+
+@query(descriptor_cte(WIDE, PEP_SOURCE) + ", f AS (SELECT * FROM described)" + _gap_pairs_sql(WIDE))
+def corr_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descriptors, each with gaps of its own, in one scan of the stored table."""
+    return rounded(DP.correlation_matrix(_with_gaps(feature_table(spark, sf_dir, WIDE), WIDE), WIDE))
+
+
 @query(f"""{_PAIRS_SQL} SELECT DISTINCT name AS "Feature" FROM long WHERE name NOT IN (SELECT feature_j FROM pairs WHERE i < j AND abs(r) > 0.9)""")
 def corr_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = P.uncorrelated_columns(feature_table(spark, sf_dir), FEATURES, 0.9)

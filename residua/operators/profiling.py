@@ -5,15 +5,12 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
-from residua.operators.columns import correlation, long_values, numbers
+from residua.operators.columns import long_values
+from residua.operators.gram import pairwise_correlations
 from residua.operators.quantiles import exact_quantiles
 
-_PAIRS_PER_PASS = 150
-
 
 def column_variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sample variance of every column, in one pass."""
@@ -43,43 +40,18 @@ def distribution_summary(df: DataFrame, columns: Sequence[str], max_features: in
 
 
 def correlation_values(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every unordered pair, null where a column is constant.
-
-    Complete columns go through one distributed covariance; pairs with gaps use the rows where both
-    values are present, a bounded number of pairs per pass.
-    """
-    plain, rows = numbers(df, columns), df.count()
-    stats = long_values(df, columns).groupBy("place").agg(
-        F.count("*").alias("n"), (F.min("v") == F.max("v")).alias("flat")
-    )
-    known = {columns[r["place"]]: r for r in stats.collect()}
-    flat = {c for c in columns if c not in known or known[c]["flat"]}
-    whole = [c for c in columns if c not in flat and known[c]["n"] == rows]
-    values: dict[tuple[str, str], float | None] = {}
-    if len(whole) > 1:
-        vectors = plain.select(array_to_vector(F.array(*[F.col(f"`{c}`") for c in whole])).alias("v"))
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        for (i, a), (j, b) in itertools.combinations(enumerate(whole), 2):
-            values[(a, b)] = float(matrix[i, j])
-    pairs = [p for p in itertools.combinations(columns, 2) if p not in values]
-    varying = [p for p in pairs if not flat & set(p)]
-    for first in range(0, len(varying), _PAIRS_PER_PASS):
-        part = varying[first : first + _PAIRS_PER_PASS]
-        found = plain.agg(*[correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
-        values |= {p: found[f"c{i}"] for i, p in enumerate(part)}
-    values |= {p: None for p in pairs if flat & set(p)}
-    return {p: (None if v is None or v != v else v) for p, v in values.items()}
+    """Pearson correlation of every unordered pair over the rows where both are present, null where one does not vary; one scan."""
+    values: dict[tuple[str, str], float | None] = dict.fromkeys(itertools.combinations(columns, 2))
+    for row in pairwise_correlations(df, columns).collect():  # as many numbers as pairs of columns
+        i = row["place"]
+        values |= {(columns[i], columns[j]): row["corr"][j] for j in range(i + 1, len(columns))}
+    return values
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], max_features: int | None = None) -> DataFrame:
-    """Long form of the correlation matrix of the first columns, both triangles and the diagonal."""
+    """Long form of the correlation matrix of the first columns, both triangles and the diagonal; one scan."""
     used = list(columns)[:max_features]
-    values = correlation_values(df, used)
-    rows = []
-    for a, b in itertools.product(used, repeat=2):
-        if a == b:
-            others = [v for p, v in values.items() if a in p]
-            rows.append((a, b, 1.0 if any(v is not None for v in others) or not others else None))
-        else:
-            rows.append((a, b, values.get((a, b), values.get((b, a)))))
-    return df.sparkSession.createDataFrame(rows, "feature_i string, feature_j string, corr double")
+    names = df.sparkSession.createDataFrame(list(enumerate(used)), "place int, feature_i string")
+    cells = names.join(pairwise_correlations(df, used), "place", "left")
+    cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(used) - 1))))
+    return cells.select("feature_i", F.get(F.array(*map(F.lit, used)), "j").alias("feature_j"), F.get("corr", "j").alias("corr"))
