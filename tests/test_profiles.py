@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from residua.operators import gram
 from residua.operators import profiling as DP
+from residua.operators import quantiles
 
 
 def gappy(n=3000, seed=4):
@@ -60,7 +62,7 @@ def test_sums_are_the_same_about_any_offset():
             part.add(x[at:min(at + 30, 100 * k + 100)])
     rows = sorted((r for p in [whole] for r in p.rows().to_pylist()), key=lambda r: r["place"])
     stacked = sorted((r for p in parts for r in p.rows().to_pylist()), key=lambda r: r["place"])
-    import pyarrow as pa
+
     schema = whole.rows().schema
     one, many = (next(iter([list(gram._added(iter([pa.RecordBatch.from_pylist(rs, schema=schema)])))])) for rs in (rows, stacked))
     for a, b in zip(one, many):
@@ -76,3 +78,39 @@ def test_a_wide_table_takes_one_scan(spark):
     plan = DP.correlation_matrix(df, df.columns)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (") == 1
     assert DP.correlation_matrix(df, df.columns).where("corr is null").count() == 0
+
+
+def test_sketch_brackets_hold_every_rank():
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=60_000), np.arange(50_000.0), np.repeat(rng.integers(0, 40, 300), 200).astype(float), np.sort(rng.lognormal(0, 5, 40_000))[::-1]):
+        parts = [quantiles.Sketch() for _ in range(7)]
+        for i in range(0, len(values), 900):
+            parts[i // 900 % 7].add(values[i:i + 900])
+        whole = quantiles.Sketch()
+        for part in parts:
+            whole.merge(part)
+        order = np.sort(values)
+        assert whole.count == len(values) and all(len(run) <= quantiles.RUN for run in whole.runs)
+        for rank in range(0, len(values), 997):
+            low, high = whole.bracket(rank)
+            assert low <= order[rank] <= high
+            assert np.searchsorted(order, high, "left") - np.searchsorted(order, low, "right") < 0.03 * len(values)
+
+
+def test_quantiles_take_two_scans_at_any_number_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "LEAF_VALUES", 3)  # the brackets are narrowed, the table is not read again
+    monkeypatch.setattr(quantiles, "BINS", 4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    columns = [f"c{i}" for i in range(30)]
+    rows = spark.range(20_000, numPartitions=5).select(*[(F.col("id") * (i + 1) % 9973 / (i + 1.0)).alias(c) for i, c in enumerate(columns)])
+    found = quantiles.exact_quantiles(rows.mapInArrow(counted, rows.schema), columns, [0.1, 0.5, 0.9])
+    assert read.value == 40_000
+    for i, c in enumerate(columns):
+        values = np.arange(20_000) * (i + 1) % 9973 / (i + 1.0)
+        assert [found[c].values[p] for p in (0.1, 0.5, 0.9)] == pytest.approx(np.quantile(values, [0.1, 0.5, 0.9]), rel=1e-12)
