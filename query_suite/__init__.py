@@ -1,6 +1,6 @@
 """The registered queries, by area."""
 
-from query_suite import analysis, closed_forms, features, files, long_sequences, modeling, sequences
+from query_suite import analysis, closed_forms, features, files, long_sequences, modeling, sequences, user_tables
 from query_suite.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analysis", "closed_forms", "features", "files", "long_sequences", "modeling", "sequences"]
+__all__ = ["QUERIES", "SQL", "analysis", "closed_forms", "features", "files", "long_sequences", "modeling", "sequences", "user_tables"]

@@ -10,6 +10,7 @@ from residua.operators import design as D
 from residua.operators import metrics as M
 from residua.operators import scoring as R
 from residua.operators import screening as C
+from residua.operators import user_scales as U
 from residua.operators import validation as V
 from residua.operators.ordering import with_row_number, with_running_total
 from residua.operators.quantiles import exact_quantiles
@@ -230,3 +231,26 @@ def test_alignment_uses_the_first_best_peptide(spark):
     out = D.sort_alignment(D.alignment_to_reference(df, "Sequence", "Activity", ["row_id"]), ["row_id"]).collect()
     assert [r["Name"] for r in out] == ["a", "b", "c"] and {r["ReferenceName"] for r in out} == {"a"}
     assert out[1]["EditSimilarityToReference"] == 0.75 and out[2]["Target"] is None
+
+
+def test_scales_and_screens_from_tables(spark, monkeypatch):
+    scales = spark.createDataFrame(
+        [("a", "A", 1.0), ("a", "k", 2.0), ("a", "K", 3.0), ("b", "A", -1.0), (None, "A", 1.0), ("c", None, 2.0), ("b", "K", None)], "scale string, residue string, value double"
+    )
+    df = spark.createDataFrame([(1, "AK A", "x"), (2, None, "y"), (3, "aaa", "z"), (3, "W", "z")], "id int, Sequence string, scale string").drop("scale")
+    expected = {(1, "a", 5.0, 5 / 3), (1, "b", None, None), (2, "a", 0.0, None), (2, "b", 0.0, None), (3, "a", 3.0, 1.0), (3, "b", -3.0, -1.0), (3, "a", None, None), (3, "b", None, None)}
+    assert {tuple(r) for r in U.scale_sums(df, ["id"], scales).collect()} == expected
+    monkeypatch.setattr(U, "BROADCAST_ROWS", 1)  # more scales than are broadcast at once
+    assert {tuple(r) for r in U.scale_sums(df, ["id"], scales).collect()} == expected and U.scale_sums(df, ["id"], scales).count() == 8
+    U.register_sql(spark, scales, "my_scales")
+    got = spark.sql("SELECT scale, scale_sum('AKA', residue_values) AS t, scale_mean('', residue_values) AS m FROM my_scales").collect()
+    assert {tuple(r) for r in got} == {("a", 5.0, None), ("b", None, None)}
+
+    criteria = spark.createDataFrame(
+        [("one", "x", 0.0, 1.0), ("one", "x", 2.0, None), ("one", "y", None, 5.0), ("one", "absent", 0.0, 1.0), ("two", "absent", 0.0, 1.0), ("one", None, 0.0, 1.0)],
+        "screen string, criterion string, low double, high double",
+    )
+    table = spark.createDataFrame([(1, "0.5", 4.0, "s"), (2, "9", None, "s"), (3, "bad", 6.0, "s")], "id int, x string, y double, screen string").drop("screen")
+    got = {r["id"]: tuple(r)[1:] for r in U.screen_by_table(table, ["id"], criteria).collect()}
+    assert got == {1: ("one", 2, 3, pytest.approx(200 / 3), "Moderate"), 2: ("one", 1, 3, pytest.approx(100 / 3), "Needs Optimization"), 3: ("one", 0, 3, 0.0, "Needs Optimization")}
+    assert U.screen_by_table(table, ["id"], criteria.where("screen = 'two'")).count() == 0 and U.scale_sums(df.where("id > 9"), ["id"], scales).count() == 0
