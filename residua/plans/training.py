@@ -20,6 +20,7 @@ from residua.operators import selection as SEL
 from residua.operators.preprocessing import FittedPreprocessor, PreprocessingConfig, fit_preprocessor
 from residua.operators.splitting import REPEATS, SplitConfig, cv_folds, fold_count, with_split
 from residua.operators.storage import materialize
+from residua.plans import class_folds
 from residua.plans.bundle import ModelBundle
 from residua.plans.linear_folds import PENALTIES, linear_fold_metrics
 from residua.plans.models import catalogue, fit_model
@@ -225,6 +226,9 @@ def train_and_compare(
         if k:
             if name in linear:
                 fold_metrics = linear_folds.filter(F.col("Model") == name).drop("Model")
+            elif task != REGRESSION and not options.get(name) and class_folds.takes(name, data.width, data.classes):
+                found = class_folds.class_fold_metrics(train, name, k, repeats, data.classes, data.selected, data.width)
+                fold_metrics = materialize(found, "folds")
             else:
                 fold_metrics = cross_validate(name, data, k, repeats, options.get(name), parallelism)
             cv = M.fold_summary(fold_metrics, _FOLD_METRICS[task == REGRESSION], []).first().asDict()
