@@ -95,7 +95,7 @@ def _kernel(ctx: FitContext, regression: bool, cost: float) -> list:
 
 
 def _logistic(ctx: FitContext) -> list:
-    defaults = {"regParam": 1.0 / ctx.rows, "standardization": False, "maxIter": 4000}
+    defaults = {"regParam": 1.0 / ctx.rows, "standardization": False, "maxIter": 4000, "tol": 1e-10}
     return [MC.LogisticRegression(featuresCol=ctx.column, **(defaults | dict(ctx.options)))]
 
 

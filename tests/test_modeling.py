@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from residua.functions.descriptors import DescriptorConfig, with_descriptors
@@ -11,6 +11,7 @@ from residua.operators import splitting as SP
 from residua.operators.decomposition import pca_analysis, top_loadings
 from residua.operators.storage import materialize
 from residua.plans import explanation as E
+from residua.plans import class_folds
 from residua.plans import training as T
 from residua.plans.bundle import ModelBundle
 from residua.plans.prediction import predict_table
@@ -231,3 +232,28 @@ def test_targets_that_cannot_be_used(spark, assay):
     df = spark.createDataFrame([(" b ",), ("a",), ("nan",), ("",), (None,), ("None",)], "t string")
     rows, labels = T.prepare_target(df, "t", "multiclass_classification")
     assert labels == ["a", "b"] and sorted(r["y"] for r in rows.collect()) == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_folds_at_once_equal_folds_one_by_one(spark, classes):
+    rng = np.random.default_rng(classes)
+    rows = [(i, float((i + rng.integers(0, 2)) % classes), (rng.normal(size=4) + 0.9 * (i % classes)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y double, v array<double>").select("id", "y", array_to_vector("v").alias("features"))
+    train = T.with_folds(df, 4, 1, "y")
+    for selected in (None, [0, 2]):
+        width = 4
+        data = T._Data("multiclass", [str(i) for i in range(classes)], train, 400, width, list("abcd"), selected)
+        for name in class_folds.NAMES:
+            assert class_folds.takes(name, width, classes)
+            at_once = class_folds.class_fold_metrics(train, name, 4, 1, classes, selected, width)
+            one_by_one = T.cross_validate(name, data, 4, 1)
+            assert np.allclose(sorted(tuple(r) for r in at_once.collect()), sorted(tuple(r) for r in one_by_one.collect()))
+    assert not class_folds.takes("Logistic Regression", 2000, 3) and not class_folds.takes("Random Forest", 2, 2)
+
+
+def test_separated_classes_and_absent_classes_end(spark):
+    rows = [(i, float(i % 2), [10.0 * (i % 2) + (i % 5) / 10, 1.0]) for i in range(60)] + [(100, 2.0, [5.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, y double, v array<double>").select("id", "y", array_to_vector("v").alias("features"), (F.col("id") % 3).alias("fold_0"))
+    for name in class_folds.NAMES:
+        got = class_folds.class_fold_metrics(df, name, 3, 1, 3, None, 2).collect()
+        assert len(got) == 3 and all(r.accuracy > 0.9 for r in got)
