@@ -71,6 +71,31 @@ def sdf_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table.select("Name", "Sequence", "AA Sequence", "remark", "Activity", "note"))
 
 
+_MANY = 8
+
+
+@query(f"""WITH {I.PEP_SQL}, named AS (SELECT 'mol ' || pep_id AS "Name", pep_id, activity FROM pep),
+  long AS (SELECT "Name", 'own ' || (pep_id * {_MANY} + i) AS key, CAST(i AS VARCHAR) AS value, NULL AS number FROM named, range({_MANY}) t(i)
+    UNION ALL SELECT "Name", 'Activity', CAST(activity AS VARCHAR), activity FROM named
+    UNION ALL SELECT "Name", 'again', 'last', NULL FROM named WHERE pep_id % 5 = 0)
+  SELECT "Name", key, CASE WHEN key <> 'Activity' THEN value END AS value, round(CAST(number AS DOUBLE), 6) AS number FROM long""")
+def sdf_many_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every molecule has property names of its own, far more than columns; one name is common, one is given twice."""
+    path = _folder(spark, "many")
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_MANY - 1)), lambda i: F.concat(
+        F.lit("> <own "), (F.col("pep_id") * _MANY + i).cast("string"), F.lit(">\n"), i.cast("string"), F.lit("\n\n"))), "")
+    again = F.when(F.col("pep_id") % 5 == 0, F.lit("> <again>\nfirst\n\n> <again>\nlast\n\n")).otherwise("")
+    block = F.concat(
+        F.lit("mol "), F.col("pep_id").cast("string"), F.lit("\n  generated\n\n  0  0\nM  END\n"), own,
+        F.lit("> <Activity>\n"), F.col("activity").cast("string"), F.lit("\n\n"), again, F.lit("$$$$"),
+    )
+    _named(spark, sf_dir).repartition(4).select(block.alias("value")).write.text(path)
+    table = RD.read_sdf_maps(spark, path)
+    rows = table.select("Name", "numbers", F.explode("properties").alias("key", "value"))
+    value = F.when(F.col("key") != "Activity", F.col("value"))  # its digits are compared as a number
+    return rounded(rows.select("Name", "key", value.alias("value"), F.try_element_at("numbers", F.col("key")).alias("number")))
+
+
 @query("""WITH t AS (SELECT p_partkey, p_name || ' , ' || p_type AS txt FROM part), pieces AS (SELECT p_partkey, list_filter(regexp_split_to_array(trim(txt), '[\\n,;\\t ]+'), lambda x: x <> '') AS l FROM t)
        SELECT p_partkey, i AS record, 'Manual_' || i AS "Name", upper(l[i]) AS "Sequence" FROM (SELECT p_partkey, l, unnest(range(1, len(l) + 1)) AS i FROM pieces)""")
 def text_block_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

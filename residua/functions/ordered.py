@@ -90,18 +90,41 @@ def _instability(chunk: _Chunk) -> np.ndarray:
     return 10.0 / np.maximum(chunk.lengths, 1) * chunk.sum_by_row(weights, chunk.row[at])
 
 
+def _signatures(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the first occurrence, place of each row) of the distinct rows of whole-number columns."""
+    sizes = [int(part.max(initial=0)) + 1 for part in parts]
+    if math.prod(sizes) < 2**62:
+        key = np.zeros(len(parts[0]), np.int64)
+        for part, size in zip(parts, sizes):
+            key = key * size + part
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+    else:
+        _, first, place = np.unique(np.column_stack(parts), axis=0, return_index=True, return_inverse=True)
+    return first, place.ravel()
+
+
 def _isoelectric(chunk: _Chunk) -> np.ndarray:
-    """Bisection of the charge curve for all rows at once, in a fixed number of halvings."""
+    """The charge curve depends on the counts of the charged residues and on the two ends: each distinct signature is solved once."""
     groups = {**K.POSITIVE_PK, **K.NEGATIVE_PK}
-    counts = {aa: chunk.sum_by_row((chunk.codes == ord(aa)).astype(float)) for aa in groups}
+    counts = [chunk.sum_by_row((chunk.codes == ord(aa)).astype(float)) for aa in groups]
     filled = chunk.lengths > 0
     ends = np.zeros((2, chunk.rows), dtype=np.uint8)
     ends[0, filled] = chunk.codes[chunk.starts[:-1][filled]]
     ends[1, filled] = chunk.codes[chunk.starts[1:][filled] - 1]
-    n_term = 10.0 ** _lookup(K.N_TERMINUS_PK_BY_RESIDUE, K.N_TERMINUS_PK)[ends[0]]
-    c_term = 10.0 ** _lookup(K.C_TERMINUS_PK_BY_RESIDUE, K.C_TERMINUS_PK)[ends[1]]
-    ph = np.full(chunk.rows, K.PI_START)
-    low, high = np.full(chunk.rows, K.PI_LOW), np.full(chunk.rows, K.PI_HIGH)
+    if not chunk.rows:
+        return np.zeros(0)
+    tables = K.N_TERMINUS_PK_BY_RESIDUE, K.C_TERMINUS_PK_BY_RESIDUE
+    ends = [np.where(np.isin(codes, [ord(aa) for aa in table]), codes, 0) for codes, table in zip(ends, tables)]  # others have the common value
+    first, place = _signatures([c.astype(np.int64) for c in (*counts, *ends)])
+    n_term = 10.0 ** _lookup(K.N_TERMINUS_PK_BY_RESIDUE, K.N_TERMINUS_PK)[ends[0][first]]
+    c_term = 10.0 ** _lookup(K.C_TERMINUS_PK_BY_RESIDUE, K.C_TERMINUS_PK)[ends[1][first]]
+    return solve_points(dict(zip(groups, (c[first] for c in counts))), n_term, c_term)[place]
+
+
+def solve_points(counts: dict[str, np.ndarray], n_term: np.ndarray, c_term: np.ndarray) -> np.ndarray:
+    """Bisection of the charge curve for all signatures at once, in a fixed number of halvings."""
+    ph = np.full(len(n_term), K.PI_START)
+    low, high = np.full(len(n_term), K.PI_LOW), np.full(len(n_term), K.PI_HIGH)
     for _ in range(K.PI_STEPS):
         proton = 10.0**ph
         charge = n_term / (n_term + proton) - proton / (proton + c_term)

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from residua.functions.naming import normalize_header_column, sequence_keys
 from residua.functions.sequences import clean_sequence, is_peptide_like, to_number
 from residua.operators.ordering import with_row_number
-from residua.operators.validation import parsed_ratio
+from residua.operators.storage import materialize
 
 # Texts that mean a missing value in a delimited file.
 MISSING_TEXTS = (
@@ -27,7 +27,8 @@ MISSING_TEXTS = (
 )
 DELIMITERS = ("\t", ",", ";", "|")
 NUMERIC_SHARE = 0.8
-MOST_PROPERTIES = 10_000
+#: Names that become columns of a table; names of numeric properties that are broadcast.
+MOST_COLUMNS, BROADCAST_KEYS = 2_000, 100_000
 
 MEASUREMENT_SCHEMA = StructType(
     [StructField("Name", StringType()), StructField("Sequence", StringType())]
@@ -224,30 +225,78 @@ def clean_sequence_or_null(value: Column) -> Column:
     return F.when(value.isNotNull(), clean_sequence(value))
 
 
+def sdf_values(records: DataFrame) -> DataFrame:
+    """(file, record, at, key, value): a row per property of a molecule, its last value where it is named more than once."""
+    keys = F.transform("properties", lambda p: p["key"])
+    last = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), property_value(F.col("properties"), k).alias("value")))
+    single = F.when(F.size(F.array_distinct(keys)) == F.size("properties"), F.col("properties")).otherwise(last)
+    rows = records.select("file", "record", F.posexplode(single).alias("at", "p"))
+    return rows.select("file", "record", "at", F.col("p.key").alias("key"), F.col("p.value").alias("value"))
+
+
+def sdf_keys(records: DataFrame) -> DataFrame:
+    """`key`, `present`, `is_numeric`, `first` of every property name, in one aggregate.
+
+    Numeric is a property that parses as a number in at least 80 % of all molecules.
+    """
+    parsed = F.count_if(to_number(F.col("value")).isNotNull())
+    found = sdf_values(records).groupBy("key").agg(F.count("value").alias("present"), parsed.alias("parsed"), F.min(F.struct("file", "record", "at")).alias("first"))
+    total = records.select(F.count("*").alias("total"))
+    return found.join(F.broadcast(total)).select("key", "present", (F.col("parsed") >= NUMERIC_SHARE * F.col("total")).alias("is_numeric"), "first")
+
+
+def read_sdf_long(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, key, value, number): a row per molecule and property, at any number of names.
+
+    `number` is set for properties that are numeric as a whole.
+    """
+    return _with_numbers(materialize(read_sdf_records(spark, path), "molecules"))
+
+
+def _with_numbers(records: DataFrame) -> DataFrame:
+    numeric = materialize(sdf_keys(records).where("is_numeric").select(F.col("key").alias("__key")), "keys")
+    if numeric.count() <= BROADCAST_KEYS:
+        numeric = F.broadcast(numeric)
+    rows = sdf_values(records).join(numeric, F.col("key") == F.col("__key"), "left")
+    return rows.select("file", "record", "key", "value", F.when(F.col("__key").isNotNull(), to_number(F.col("value"))).alias("number"))
+
+
+def read_sdf_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, Name, Sequence, properties, numbers): properties as a map, and the numeric ones as a map of numbers."""
+    return _as_maps(materialize(read_sdf_records(spark, path), "molecules"))
+
+
+def _as_maps(records: DataFrame) -> DataFrame:
+    entries = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("key", "number")))
+    maps = _with_numbers(records).groupBy(F.col("file").alias("__file"), F.col("record").alias("__record")).agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("properties"), F.map_from_entries(entries).alias("numbers")
+    )
+    same = (F.col("file") == F.col("__file")) & (F.col("record") == F.col("__record"))
+    empty = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,double>")
+    return records.drop("properties").join(maps, same, "left").select(
+        "file", "record", "Name", "Sequence", F.coalesce("properties", empty[0]).alias("properties"), F.coalesce("numbers", empty[1]).alias("numbers")
+    )
+
+
 def read_sdf(spark: SparkSession, path: str, properties: Sequence[str] | None = None) -> DataFrame:
-    """Wide molecule table. Without a list the columns are all property names found, in file order; more than
-    `MOST_PROPERTIES` names are an error, since each becomes a column.
+    """Wide molecule table of the wanted properties, or of all names found, in file order.
 
-    A property that parses as a number in at least 80 % of all rows becomes numeric.
+    A property that parses as a number in at least 80 % of all rows becomes numeric. Without a list and with more than
+    `MOST_COLUMNS` names the table has the properties as maps instead, as `read_sdf_maps` gives them.
     """
-    records = read_sdf_records(spark, path)
+    records = materialize(read_sdf_records(spark, path), "molecules")
+    keys = sdf_keys(records).where("key not in ('Name', 'Sequence')")
     if properties is None:
-        found = records.select("file", "record", F.posexplode("properties").alias("at", "p")).groupBy("p.key").agg(
-            F.min(F.struct("file", "record", "at")).alias("first")
-        )
-        names = [r["key"] for r in found.orderBy("first").limit(MOST_PROPERTIES + 1).collect()]
-        if len(names) > MOST_PROPERTIES:
-            raise ValueError(f"More than {MOST_PROPERTIES} property names in {path}: name those wanted.")
-        properties = [n for n in names if n not in ("Name", "Sequence")]
-    wide = records.select(
-        "file", "record", "Name", "Sequence",
-        *[property_value(F.col("properties"), p).alias(p) for p in properties],
-    )
-    if not properties:
-        return wide
-    ratios = {r["column"]: r["parsed_ratio"] for r in parsed_ratio(wide, properties).collect()}
-    return wide.withColumns(
-        {p: to_number(F.col(f"`{p}`")) for p in properties if (ratios[p] or 0.0) >= NUMERIC_SHARE}
+        found = keys.orderBy("first").limit(MOST_COLUMNS + 1).select("key", "is_numeric").collect()
+        if len(found) > MOST_COLUMNS:
+            return _as_maps(records)
+        properties = [r["key"] for r in found]
+    else:
+        found = keys.where(F.col("key").isin(*properties)).select("key", "is_numeric").collect() if properties else []
+    numeric = {r["key"] for r in found if r["is_numeric"]}
+    values = {p: property_value(F.col("properties"), p) for p in properties}
+    return records.select(
+        "file", "record", "Name", "Sequence", *[(to_number(v) if p in numeric else v).alias(p) for p, v in values.items()]
     )
 
 

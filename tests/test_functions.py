@@ -1,12 +1,14 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from residua.functions import constants as K
 from residua.functions import naming as N
+from residua.functions import ordered
 from residua.functions.descriptors import (
     DescriptorConfig, descriptor_columns, descriptor_names, dipeptides_long, with_descriptors,
 )
@@ -119,3 +121,15 @@ def test_name_rules():
 def test_target_columns(spark):
     df = spark.createDataFrame([(1, 2.0, "x", 3.0, "low")], "id int, mass double, note string, IC50 double, ToxicityClass string")
     assert N.target_columns(df) == ["IC50", "ToxicityClass", "mass"]
+
+
+def test_points_are_solved_once_for_each_signature(spark, monkeypatch):
+    solved = []
+    solve = ordered.solve_points
+    monkeypatch.setattr(ordered, "solve_points", lambda counts, n, c: (solved.append(len(n)), solve(counts, n, c))[1])
+    sequences = ["AKDA", "ADKA", "AGKGDGA", "KDAA", "", "A" * 60 + "C" * 3000, "CAKA", None, "AKDA"]
+    got = ordered._by_chunk(pa.array(sequences), ordered._isoelectric).to_pylist()
+    assert got[0] == got[1] == got[2] == got[8] != got[3] and got[4] is None and got[7] is None
+    assert sum(solved) == 5  # one for AKDA and its like, KDAA, no residue at all, the long one, CAKA
+    one_by_one = [ordered._by_chunk(pa.array([s]), ordered._isoelectric).to_pylist()[0] for s in sequences]
+    assert got == one_by_one

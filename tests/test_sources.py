@@ -95,7 +95,20 @@ def test_sdf_rules(spark, tmp_path):
     assert [(r["Name"], r["Sequence"], r["Mass"]) for r in rows] == [("mol-1", "AKLV", 12.5), ("AKLVFF", "AKLVFF", 13.0), ("third", "GIGAV", 14.0)]
     assert rows[0]["note"] == "first line second line"
     assert dict(table.dtypes)["Mass"] == "double" and dict(table.dtypes)["odd"] == "string"
-    assert RD.read_sdf(spark, _write(tmp_path, "n.sdf", SDF), ["Mass"]).columns[-1] == "Mass"
+    wanted = RD.read_sdf(spark, _write(tmp_path, "n.sdf", SDF), ["Mass", "absent"])
+    assert wanted.columns[-2:] == ["Mass", "absent"] and dict(wanted.dtypes)["Mass"] == "double" and wanted.where("absent is null").count() == 3
+
+
+def test_sdf_names_beyond_columns_become_maps(spark, tmp_path, monkeypatch):
+    path = _write(tmp_path, "many.sdf", SDF + "again\nM  END\n> <Mass>\nheavy\n\n> <Mass>\n15\n\n$$$$\nbare\nM  END\n$$$$\n")
+    long = {(r.record, r.key): (r.value, r.number) for r in RD.read_sdf_long(spark, path).collect()}
+    assert len(long) == 9 and long[1, "Mass"] == ("12.5", 12.5) and long[4, "Mass"] == ("15", 15.0) and long[3, "remark"] == ("12", None)
+    monkeypatch.setattr(RD, "MOST_COLUMNS", 3)
+    rows = {r.record: r for r in RD.read_sdf(spark, path).collect()}
+    assert rows[1].properties == {"Peptide Sequence": "akl v", "Mass": "12.5", "note": "first line second line"} and rows[1].numbers == {"Mass": 12.5}
+    assert rows[4].properties == {"Mass": "15"} and rows[5].properties == {} == rows[5].numbers and rows[5].Name == "bare"
+    monkeypatch.setattr(RD, "BROADCAST_KEYS", 0)
+    assert {(r.record, r.key): (r.value, r.number) for r in RD.read_sdf_long(spark, path).collect()} == long
 
 
 def test_text_files(spark, tmp_path):
