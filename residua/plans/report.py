@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from residua.functions.numbers import format_significant
 from residua.plans.bundle import ModelBundle
+from residua.plans.training import TrainingResult
 
 TOP_ROWS = 25
 
@@ -60,6 +61,15 @@ def model_summary(spark: SparkSession, bundle: ModelBundle, metrics: Sequence[st
     return key_values(spark, "model", about).unionByName(key_values(spark, "metrics", found))
 
 
+def training_summary(result: TrainingResult, target: str) -> DataFrame:
+    """Counters of a comparison of models."""
+    values = {
+        "Model Trained": "True", "Best Model": result.best_model, "Models Compared": len(result.outputs),
+        "Training Dataset Size": result.rows, "Target Column": target,
+    }
+    return key_values(result.comparison.sparkSession, "training", values)
+
+
 def best_predictions(ranked: DataFrame, rows: int = TOP_ROWS) -> DataFrame:
     """The best rows of a ranked table for the report."""
     return ranked.filter(F.col("Rank") <= rows).orderBy("Rank")
