@@ -6,7 +6,7 @@ by counting bits, corrected for chance collisions. A pair whose estimate could s
 confirmed on the whole sets.
 
 No bucket emits all its pairs. First every member is compared with the smallest member of its buckets, then, in
-a few rounds, with the most similar one of another component among its neighbours in a hashed order. Links
+a few rounds over shares of the buckets, with the most similar one of another component among its neighbours in the bucket's hashed order. Links
 confirmed so far make components, and links inside a component cannot change the result. Only buckets that
 still hold several components go on: there members outside the component of the smallest are compared with
 members of other components by longer signatures, so that no link between components is lost.
@@ -190,9 +190,9 @@ def long_signatures(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(sign, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def best_neighbours(rows: DataFrame, seed: int) -> DataFrame:
+def best_neighbours(rows: DataFrame) -> DataFrame:
     """For each member of an undecided bucket the most similar member of another component among the next
-    `NEIGHBOURS` in a hashed order; one row (a, b, similarity) per member and bucket at most."""
+    `NEIGHBOURS` in the bucket's own hashed order; one row (a, b, similarity) per member and bucket at most."""
     words = MINIMA // 64
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def best_neighbours(rows: DataFrame, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(partner[found]), pa.array(best[found])], ["a", "b", "equal"])
             held = [c[-NEIGHBOURS:] for c in columns]
 
-    ordered = rows.select("band", "a", "component", *[f"a_{p}" for p in PLANES], F.xxhash64("a", F.lit(seed)).alias("place"))
+    ordered = rows.select("band", "a", "component", *[f"a_{p}" for p in PLANES], F.xxhash64("a", "band").alias("place"))
     ordered = ordered.repartitionByRange("band", "place").sortWithinPartitions("band", "place").drop("place")
     return ordered.mapInArrow(scan, "a long, b long, equal long")
 
@@ -293,20 +293,19 @@ def _components(df: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     stars = stars.join(prefixed("a"), "a").join(prefixed("b"), "b").where(could_reach).select("a", "b")
     links = confirmed(stars, texts, k, percent)
     labels = connected_components(links)
-    undecided = _undecided(shared, labels, prefixed("a"))
-    for seed in range(ROUNDS):
-        if undecided.isEmpty():
-            break
-        near = best_neighbours(undecided, seed).groupBy("a").agg(F.max_by("b", "equal").alias("b"), F.max("equal").alias("equal"))
-        likely = (F.col("equal") / MINIMA - 2.0**-LOW_BITS) / (1 - 2.0**-LOW_BITS) >= percent / 100 - slack(MINIMA)
-        more = confirmed(near.where(likely).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, k, percent)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        labels = connected_components(links)
-        undecided = _undecided(shared, labels, prefixed("a"))
+    undecided = _of_several(_placed(shared.drop("hub"), labels)).join(prefixed("a"), "a")
+    undecided = materialize(undecided, "undecided")
     if not undecided.isEmpty():
-        more = confirmed(_crossing(undecided, texts, k, percent), texts, k, percent)
+        for part in range(ROUNDS):  # a share of the buckets each; members meet others in each of their buckets
+            here = _of_several(_placed(undecided.where(F.pmod("band", F.lit(ROUNDS)) == part), labels))
+            near = best_neighbours(here).groupBy("a").agg(F.max_by("b", "equal").alias("b"), F.max("equal").alias("equal"))
+            likely = (F.col("equal") / MINIMA - 2.0**-LOW_BITS) / (1 - 2.0**-LOW_BITS) >= percent / 100 - slack(MINIMA)
+            more = confirmed(near.where(likely).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, k, percent)
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = connected_components(links)
+        left = materialize(_of_several(_placed(undecided, labels)).select("band", "a", "component", "outside"), "left")
+        more = links.limit(0) if left.isEmpty() else confirmed(_crossing(left, texts, k, percent), texts, k, percent)
         if not more.isEmpty():
             labels = connected_components(links.union(more))
 
@@ -315,12 +314,16 @@ def _components(df: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), kept.alias("kept"))
 
 
-def _undecided(shared: DataFrame, labels: DataFrame, planes: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component and whether it is not the bucket's smallest."""
-    placed = shared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with their component as known now."""
+    known = labels.withColumnRenamed("node", "a")
+    return rows.drop("component", "outside").join(known, "a", "left").withColumn("component", F.coalesce("component", "a"))
+
+
+def _of_several(placed: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, and whether theirs is not the bucket's smallest."""
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = placed.join(mixed.select("band", "low"), "band").join(planes, "a")
-    return materialize(rows.select("band", "a", "component", (F.col("component") != F.col("low")).alias("outside"), *[f"a_{p}" for p in PLANES]), "undecided")
+    return placed.join(mixed.select("band", "low"), "band").withColumn("outside", F.col("component") != F.col("low")).drop("low")
 
 
 def _crossing(undecided: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
