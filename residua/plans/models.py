@@ -3,8 +3,7 @@
 All models share one shape: fit on (`id`, `features`, `label`), predict `prediction` and, for
 classes, `probability`. Regression labels are standardised before they get here.
 
-Approximations: kernel machines use random Fourier features with a linear model on top; extra trees
-are forests without bootstrap on coarse bins (there are no random thresholds in MLlib).
+Approximations: kernel machines use random Fourier features with a linear model on top, for numbers under an ε-insensitive loss.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from residua.functions.kernel import RandomFourierFeatures
 from residua.functions.naming import REGRESSION, task_type
 from residua.operators.neighbors import nearest_neighbors, neighbor_classes, neighbor_regression
+from residua.plans.epsilon import EpsilonInsensitiveRegression
+from residua.plans.extra_trees import ExtraTrees
 
 SEED = 42
 KERNEL_DIMENSIONS = 256
@@ -57,16 +58,17 @@ def _linear(ctx: FitContext, reg: float, ratio: float) -> list:
     return [MR.LinearRegression(featuresCol=ctx.column, **(defaults | dict(ctx.options)))]
 
 
-def _forest(ctx: FitContext, trees: int, extra: bool, regression: bool) -> list:
+def _forest(ctx: FitContext, trees: int, regression: bool) -> list:
     estimator = MR.RandomForestRegressor if regression else MC.RandomForestClassifier
-    subset = ("onethird" if extra else "all") if regression else "sqrt"
-    defaults = {
-        "numTrees": trees, "maxDepth": TREE_DEPTH, "featureSubsetStrategy": subset, "seed": SEED,
-        "bootstrap": not extra, "maxBins": 16 if extra else 32,
-    }
+    defaults = {"numTrees": trees, "maxDepth": TREE_DEPTH, "featureSubsetStrategy": "all" if regression else "sqrt", "seed": SEED}
     return [estimator(featuresCol=ctx.column, **(defaults | dict(ctx.options)))]
 
 
+def _extra_trees(ctx: FitContext, regression: bool) -> list:
+    defaults = {"numTrees": 500, "maxDepth": TREE_DEPTH, "seed": SEED, "classes": 0 if regression else ctx.classes}
+    return [ExtraTrees(featuresCol=ctx.column, **(defaults | dict(ctx.options)))]
+
+
 def _boosting(ctx: FitContext, regression: bool) -> list:
     settings = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": SEED} | dict(ctx.options)
     if regression:
@@ -84,7 +86,7 @@ def _kernel(ctx: FitContext, regression: bool, cost: float) -> list:
     )
     reg = 1.0 / (cost * ctx.rows)
     if regression:
-        return [mapped, MR.LinearRegression(featuresCol="kernel", regParam=reg, standardization=False)]
+        return [mapped, EpsilonInsensitiveRegression(featuresCol="kernel", regParam=reg)]
     machine = MC.LinearSVC(featuresCol="kernel", regParam=reg, standardization=False)
     if ctx.classes > 2:
         machine = MC.OneVsRest(classifier=machine, featuresCol="kernel", predictionCol="side")
@@ -116,18 +118,18 @@ def catalogue(task: str) -> dict[str, Builder | None]:
             "Ridge": lambda c: _linear(c, 1.0 / c.rows, 0.0),
             "Lasso": lambda c: _linear(c, 0.001, 1.0),
             "Elastic Net": lambda c: _linear(c, 0.001, 0.5),
-            "Random Forest": lambda c: _forest(c, 400, False, True),
+            "Random Forest": lambda c: _forest(c, 400, True),
             "SVR (RBF)": lambda c: _kernel(c, True, 10.0),
             "Gradient Boosting": lambda c: _boosting(c, True),
-            "Extra Trees": lambda c: _forest(c, 500, True, True),
+            "Extra Trees": lambda c: _extra_trees(c, True),
             NEIGHBORS: None,
         }
     return {
         "Logistic Regression": _logistic,
-        "Random Forest": lambda c: _forest(c, 500, False, False),
+        "Random Forest": lambda c: _forest(c, 500, False),
         "SVM (RBF)": lambda c: _kernel(c, False, 5.0),
         "Gradient Boosting": lambda c: _boosting(c, False),
-        "Extra Trees": lambda c: _forest(c, 500, True, False),
+        "Extra Trees": lambda c: _extra_trees(c, False),
         NEIGHBORS: None,
         "Naive Bayes": lambda c: [MC.NaiveBayes(featuresCol=c.column, modelType="gaussian", **c.options)],
         "MLP Classifier": _perceptron,
