@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from query_suite.closed_forms import _ROWS, CONFIG, PAIR
 from query_suite.features import feature_table
 from query_suite.registry import query, rounded
 from residua.operators.scoring import with_class_scores
+from residua.plans.boosting import SoftmaxBoosting
+from residua.plans.stages import DescriptorPreprocessor
 from residua.plans.training import TrainingResult, train_and_compare
 
 NEWTON_STEPS = 9
@@ -79,3 +83,21 @@ def logistic_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _trained(spark, sf_dir, "Logistic Regression", "binary", folds=None)
     scored = with_class_scores(result.outputs["Logistic Regression"].test, ["c0", "c1"])
     return rounded(scored.select("id", "y", "Prob_c0", "Prob_c1", "RankingScore"), 4)
+
+
+LEVELS = 3
+
+
+@query(f"""{_ROWS} SELECT pep_id, true AS sums_to_one, true AS known_class, true AS loss_falls, CAST(100 AS BIGINT) AS rounds FROM d""")
+def softmax_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's rounds on three levels of a noisy sum: the log loss falls in every round, the shares of every row sum to one."""
+    place = F.col("Gravy") * 2.0 + F.col("NetCharge_pH7") * 0.5 + F.col("pep_id") % 7
+    table = feature_table(spark, sf_dir, PAIR).withColumn("Level", F.when(place > 4.0, 2.0).when(place > 1.0, 1.0).otherwise(0.0))
+    stages = [DescriptorPreprocessor(inputCols=PAIR), SoftmaxBoosting(labelCol="Level", classes=LEVELS)]
+    fitted = Pipeline(stages=stages).fit(table)
+    losses = fitted.stages[1].losses
+    shares = vector_to_array("probability")
+    return rounded(fitted.transform(table).select(
+        "pep_id", (F.abs(F.aggregate(shares, F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9).alias("sums_to_one"), F.col("prediction").isin(0.0, 1.0, 2.0).alias("known_class"),
+        F.lit(all(b < a for a, b in zip(losses, losses[1:]))).alias("loss_falls"), F.lit(len(losses)).alias("rounds"),
+    ))

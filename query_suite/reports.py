@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from query_suite import inputs as I
 from query_suite.analysis import _LABEL_SQL, FEATURES, PASS, _PASS_SQL, _COUNT_SQL, _predicted, _PREDICTED_SQL, _RANK_ORDER_SQL
-from query_suite.closed_forms import _FOLDS, _MODELS, _ROWS, _SCORES, _SPLIT, _WHOLE, CONFIG, LINEAR, _fit_sql, _linear, _ridge, _table
+from query_suite.closed_forms import _FOLDS, _ROWS, _SCORES, _SPLIT, _WHOLE, CONFIG, LINEAR, PAIR, _fit_sql, _linear, _ridge, _table
 from query_suite.features import PEP_SOURCE
 from query_suite.files import _folder
 from query_suite.registry import query, rounded
@@ -16,6 +18,7 @@ from residua.operators.preprocessing import PreprocessingConfig
 from residua.plans import report as REP
 from residua.plans.bundle import ModelBundle
 from residua.plans.prediction import predict_table
+from residua.plans.stages import DescriptorPreprocessor
 from residua.plans.training import train_and_compare
 from residua.sources import readers as RD
 from residua.sources import writers as WR
@@ -80,6 +83,16 @@ def score_and_screen_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.withColumn("Prediction", F.round("Prediction", 2) + F.lit(0.0)))
 
 
+@query(f"""{_WHOLE} SELECT pep_id, round(ay + wg * (g - ag) + wc * (c - ac), 3) + 0.0 AS prediction FROM z, fit WHERE model = 'Linear Regression'""")
+def score_saved_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored pipeline of preprocessing and model, loaded by Spark's own reader, scores all peptides."""
+    table, path = _table(spark, sf_dir), _folder(spark, "pipeline")
+    stages = [DescriptorPreprocessor(inputCols=PAIR), LinearRegression(labelCol="Outcome", tol=1e-10)]
+    Pipeline(stages=stages).fit(table).write().save(path)
+    scored = PipelineModel.load(path).transform(table.select("pep_id", *PAIR))
+    return scored.select("pep_id", (F.round("prediction", 3) + F.lit(0.0)).alias("prediction"))
+
+
 _MEASURED = """SELECT concat('Pep_', lpad(cast(pep_id AS STRING), 6, '0')) AS Name, sequence AS Sequence, activity AS Activity, pep_id % 89 / 8.0 AS IC50,
   CASE WHEN pep_id % 3 = 0 THEN 'Low' WHEN pep_id % 3 = 1 THEN 'Medium' ELSE 'High' END AS ToxicityClass, CASE WHEN pep_id % 11 <> 0 THEN pep_id % 17 / 16.0 END AS Solubility,
   pep_id % 41 / 4.0 AS BindingScore, CASE WHEN pep_id % 2 = 0 THEN 'Active' ELSE 'Inactive' END AS ClassLabel, -(pep_id % 64) / 16.0 AS DockingScore FROM {pep}"""

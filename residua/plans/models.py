@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from residua.functions.kernel import RandomFourierFeatures
 from residua.functions.naming import REGRESSION, task_type
 from residua.operators.neighbors import nearest_neighbors, neighbor_classes, neighbor_regression
+from residua.plans.boosting import SoftmaxBoosting
 from residua.plans.epsilon import EpsilonInsensitiveRegression
 from residua.plans.extra_trees import ExtraTrees
 
@@ -75,7 +76,8 @@ def _boosting(ctx: FitContext, regression: bool) -> list:
         return [MR.GBTRegressor(featuresCol=ctx.column, **settings)]
     if ctx.classes <= 2:
         return [MC.GBTClassifier(featuresCol=ctx.column, **settings)]
-    return [MC.OneVsRest(classifier=MC.GBTClassifier(featuresCol=ctx.column, **settings), featuresCol=ctx.column)]
+    settings.pop("seed")
+    return [SoftmaxBoosting(featuresCol=ctx.column, classes=ctx.classes, **settings)]
 
 
 def _kernel(ctx: FitContext, regression: bool, cost: float) -> list:

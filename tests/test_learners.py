@@ -2,9 +2,13 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 
+from residua.operators.preprocessing import PreprocessingConfig, fit_preprocessor
+from residua.plans import boosting as BO
 from residua.plans import epsilon as EPS
 from residua.plans import extra_trees as XT
+from residua.plans.stages import DescriptorPreprocessor, DescriptorPreprocessorModel
 
 
 def vectors(spark, rows):
@@ -98,3 +102,61 @@ def test_extra_trees_of_odd_tables(spark):
     flat = vectors(spark, [([float(i)], 7.0) for i in range(10)])
     assert {r.prediction for r in XT.ExtraTrees(numTrees=3).fit(flat).transform(flat).collect()} == {7.0}
     assert XT.ExtraTrees(numTrees=3).fit(flat.limit(0)).trees == []
+
+
+@pytest.mark.parametrize("components", [0, 2])
+def test_one_pipeline_holds_preprocessing_and_model(spark, tmp_path, components):
+    rng = np.random.default_rng(2)
+    rows = [(i, *(None if rng.random() < 0.1 else float(v) for v in rng.normal(size=3)), 1.0, float(rng.normal()), "keep") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, `b c` double, d double, flat double, y double, features string")
+    stages = [DescriptorPreprocessor(inputCols=["a", "b c", "d", "flat"], components=components, scaler="robust"), LinearRegression(labelCol="y")]
+    fitted = Pipeline(stages=stages).fit(df)
+    assert fitted.stages[0].featureNames == (["PC1", "PC2"] if components else ["a", "b c", "d"])
+    fitted.write().overwrite().save(str(tmp_path / "p"))
+    loaded = PipelineModel.load(str(tmp_path / "p"))
+    assert isinstance(loaded.stages[0], DescriptorPreprocessorModel)
+    new = df.drop("d", "flat", "y")  # columns that are not there count as filled
+    before, after = ({r.id: r.prediction for r in m.transform(new).collect()} for m in (fitted, loaded))
+    assert before == pytest.approx(after) and len(after) == 200 and loaded.transform(new).columns[:3] == ["id", "a", "b c"]
+    plain = fit_preprocessor(df, ["a", "b c", "d", "flat"], PreprocessingConfig(scaler="robust", use_pca=components > 0, pca_components=components or 20))
+    got = {r.id: tuple(r.features) for r in loaded.stages[0].transform(df).collect()}
+    assert all(np.allclose(got[r.id], r.features) for r in plain.transform(df, ["id"]).collect())
+
+
+def test_splits_of_a_histogram_equal_a_plain_search():
+    rng = np.random.default_rng(9)
+    binned, node, r = rng.integers(0, 5, (200, 3)), rng.integers(-1, 2, 200), rng.normal(size=200)
+    stats = np.column_stack([np.ones(200), r, np.abs(r)])
+    found = BO.best_splits(BO.histogram(binned, node, 2, stats, 5))
+    for k in range(2):
+        best = (-1.0, None)
+        for f in range(3):
+            for b in range(4):
+                left, right = (node == k) & (binned[:, f] <= b), (node == k) & (binned[:, f] > b)
+                if left.any() and right.any():
+                    gain = (r[left].mean() - r[right].mean()) ** 2 * left.sum() * right.sum() / (left.sum() + right.sum())
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (f, b, stats[left].sum(0), stats[right].sum(0)))
+        assert found[k, 2] == pytest.approx(best[0]) and tuple(found[k, :2]) == best[1][:2]
+        assert np.allclose(found[k, 3:6], best[1][2]) and np.allclose(found[k, 6:], best[1][3])
+
+
+def test_softmax_boosting_lowers_the_loss_every_round(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(BO, "STORED_EVERY", 3)
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-1, 1, size=(300, 3))
+    y = (x[:, 0] > 0.3).astype(float) + (x[:, 1] > 0)
+    df = vectors(spark, zip(x, y))
+    pipeline = Pipeline(stages=[BO.SoftmaxBoosting(classes=3, maxIter=8, stepSize=0.3)]).fit(df)
+    model = pipeline.stages[0]
+    assert len(model.losses) == 8 and all(b < a for a, b in zip(model.losses, model.losses[1:]))
+    counts = np.bincount(y.astype(int), minlength=3) / 300
+    assert model.losses[0] == pytest.approx(-(counts * np.log(counts)).sum())
+    rows = pipeline.transform(df).collect()
+    shares = np.array([r.probability.toArray() for r in rows])
+    assert np.allclose(shares.sum(axis=1), 1) and np.mean([r.prediction == r.label for r in rows]) > 0.95
+    assert -np.mean(np.log(shares[np.arange(300), [int(r.label) for r in rows]])) < model.losses[-1]
+    pipeline.write().overwrite().save(str(tmp_path / "b"))
+    again = PipelineModel.load(str(tmp_path / "b"))
+    assert np.allclose(shares, [r.probability.toArray() for r in again.transform(df).collect()]) and again.stages[0].losses == model.losses
+    assert BO.SoftmaxBoosting(classes=3).fit(df.limit(0)).rounds == []
