@@ -80,7 +80,7 @@ def cv_folds_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT pep_id AS id, 'c' || y AS y, round(1 - p, 4) + 0.0 AS "Prob_c0", round(p, 4) + 0.0 AS "Prob_c1", round(p, 4) + 0.0 AS "RankingScore" FROM p""")
 def logistic_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class scores of the rows held out, by logistic regression."""
-    result = _trained(spark, sf_dir, "Logistic Regression", "binary", folds=None)
+    result = _trained(spark, sf_dir, "Logistic Regression", "binary", folds=None, options={"Logistic Regression": {"tol": 1e-10}})
     scored = with_class_scores(result.outputs["Logistic Regression"].test, ["c0", "c1"])
     return rounded(scored.select("id", "y", "Prob_c0", "Prob_c1", "RankingScore"), 4)
 

@@ -169,7 +169,7 @@ def naive_bayes_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SMALL = {
     "Random Forest": {"numTrees": 10, "maxDepth": 5}, "Extra Trees": {"numTrees": 10, "maxDepth": 5}, "Gradient Boosting": {"maxIter": 8},
-    "SVR (RBF)": {"dimensions": 64}, "SVM (RBF)": {"dimensions": 64}, "MLP Classifier": {"maxIter": 40},
+    "SVR (RBF)": {"dimensions": 64, "maxIter": 30}, "SVM (RBF)": {"dimensions": 64}, "MLP Classifier": {"maxIter": 40},
 }
 TREES = ["Random Forest", "Gradient Boosting", "Extra Trees", "SVR (RBF)"]
 CLASSIFIERS = ["Random Forest", "Gradient Boosting", "Extra Trees", "SVM (RBF)", "MLP Classifier"]

@@ -81,14 +81,14 @@ def _boosting(ctx: FitContext, regression: bool) -> list:
 
 
 def _kernel(ctx: FitContext, regression: bool, cost: float) -> list:
-    options = {"dimensions": KERNEL_DIMENSIONS} | dict(ctx.options)
+    options = {"dimensions": KERNEL_DIMENSIONS, "maxIter": 80} | dict(ctx.options)
     gamma = 1.0 / (ctx.features * ctx.feature_variance)
     mapped = RandomFourierFeatures(
         inputCol=ctx.column, outputCol="kernel", gamma=gamma, inputSize=ctx.features, dimensions=options["dimensions"], seed=SEED
     )
     reg = 1.0 / (cost * ctx.rows)
     if regression:
-        return [mapped, EpsilonInsensitiveRegression(featuresCol="kernel", regParam=reg)]
+        return [mapped, EpsilonInsensitiveRegression(featuresCol="kernel", regParam=reg, maxIter=options["maxIter"], tol=1e-5)]
     machine = MC.LinearSVC(featuresCol="kernel", regParam=reg, standardization=False)
     if ctx.classes > 2:
         machine = MC.OneVsRest(classifier=machine, featuresCol="kernel", predictionCol="side")
@@ -99,7 +99,7 @@ def _kernel(ctx: FitContext, regression: bool, cost: float) -> list:
 
 
 def _logistic(ctx: FitContext) -> list:
-    defaults = {"regParam": 1.0 / ctx.rows, "standardization": False, "maxIter": 4000, "tol": 1e-10}
+    defaults = {"regParam": 1.0 / ctx.rows, "standardization": False, "maxIter": 4000}
     return [MC.LogisticRegression(featuresCol=ctx.column, **(defaults | dict(ctx.options)))]
 
 

@@ -153,7 +153,7 @@ def test_linear_folds_agree_with_fitted_models(spark, assay, monkeypatch):
 
 
 FAST = {"Random Forest": {"numTrees": 5, "maxDepth": 5}, "Extra Trees": {"numTrees": 5, "maxDepth": 5},
-        "Gradient Boosting": {"maxIter": 3}, "MLP Classifier": {"maxIter": 5}, "SVM (RBF)": {"dimensions": 16}}
+        "Gradient Boosting": {"maxIter": 3}, "MLP Classifier": {"maxIter": 5}, "SVM (RBF)": {"dimensions": 16}, "SVR (RBF)": {"dimensions": 16, "maxIter": 8}}
 
 
 def test_every_regression_model_trains_saves_and_scores(spark, assay, tmp_path):
