@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all cores by their key: a small file, or one of few row groups, is read by few tasks, and all that follows would stay there."""
+    return df.repartition(3 * max(df.sparkSession.sparkContext.defaultParallelism, 1), *keys)
+
+
 def _core(seed: str, size: str) -> str:
     return (
         f"concat(translate(substr(md5(cast({seed} AS STRING)), 1, cast(4 + {size} % 9 AS INT)), "
@@ -60,17 +65,18 @@ FROM {documents}
 
 def long_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of up to many thousand residues: the letters of the alphabet in every text."""
-    return spark.sql(_LONG.format(documents="{src}", flag=""), src=table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    return spark.sql(_LONG.format(documents="{src}", flag=""), src=rows)
 
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean distinct peptides with a measured value, one per part."""
-    return spark.sql(_PEP.format(part="{src}"), src=table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"))
+    return spark.sql(_PEP.format(part="{src}"), src=spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_partkey"))
 
 
 def raw_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty peptides, one per line item: blanks, gaps, lower case, foreign letters, repeats."""
-    return spark.sql(_RAW.format(lineitem="{src}"), src=table(spark, sf_dir, "lineitem").select(*_RAW_COLUMNS))
+    return spark.sql(_RAW.format(lineitem="{src}"), src=spread(table(spark, sf_dir, "lineitem").select(*_RAW_COLUMNS), "l_orderkey"))
 
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,8 +48,8 @@ def scales_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     U.register_sql(spark, scales(spark, sf_dir))
     I.peptides(spark, sf_dir).createOrReplaceTempView("__peptides")
     return rounded(spark.sql(
-        "SELECT s.scale, count(scale_sum(p.sequence, s.residue_values)) AS covered, avg(scale_mean(p.sequence, s.residue_values)) AS mean, "
-        "max(scale_sum(p.sequence, s.residue_values)) AS most FROM __peptides p CROSS JOIN scale_maps s GROUP BY s.scale"
+        "SELECT scale, count(total) AS covered, avg(mean) AS mean, max(total) AS most FROM (SELECT s.scale, scale_sum(p.sequence, s.residue_values) AS total, "
+        "scale_mean(p.sequence, s.residue_values) AS mean FROM __peptides p CROSS JOIN scale_maps s) GROUP BY scale"
     ))
 
 

@@ -24,12 +24,18 @@ from residua.operators.storage import materialize
 #: Scales, or windows, that are broadcast at once: at 20 residues a few MB. More go block by block.
 BROADCAST_ROWS = 10_000
 
-_COUNT = "length({s}) - length(replace({s}, e.key, ''))"
+#: Longer sequences are summed letter by distinct letter.
+SHORT = 64
+_COUNT = "length({s}) - length(replace({s}, c, ''))"
 _SUM = (
-    "CASE WHEN aggregate(map_entries({m}), 0, (t, e) -> t + " + _COUNT + ") = length({s}) "
-    "THEN aggregate(map_entries({m}), CAST(0 AS DOUBLE), (t, e) -> t + (" + _COUNT + ") * e.value) END"
+    "CASE WHEN {s} = '' THEN CAST(0 AS DOUBLE) "
+    f"WHEN length({{s}}) <= {SHORT} THEN aggregate(split({{s}}, ''), CAST(0 AS DOUBLE), (t, c) -> t + try_element_at({{m}}, c)) "
+    "ELSE aggregate(array_distinct(split({s}, '')), CAST(0 AS DOUBLE), (t, c) -> t + (" + _COUNT + ") * try_element_at({m}, c)) END"
 )
 _MEAN = "try_divide(" + _SUM + ", length({s}))"
+#: The distinct letters of a sequence and how often each occurs, and their sum under a scale.
+_LETTERS = "CASE WHEN {s} = '' THEN array() ELSE transform(array_distinct(split({s}, '')), c -> struct(c AS letter, " + _COUNT + " AS n)) END"
+_SUM_OF_LETTERS = "aggregate({c}, CAST(0 AS DOUBLE), (t, e) -> t + e.n * try_element_at({m}, e.letter))"
 _MET = "coalesce(CAST(({v} >= {low} OR {low} IS NULL) AND ({v} <= {high} OR {high} IS NULL) AND {v} IS NOT NULL AS INT), 0)"
 FUNCTIONS = {
     "scale_sum": ("s STRING, m MAP<STRING, DOUBLE>", "DOUBLE", _SUM.format(s="s", m="m")),
@@ -64,13 +70,13 @@ def _blocks(table: DataFrame) -> list[DataFrame]:
 
 
 def scale_sums(df: DataFrame, id_cols: Sequence[str], scales: DataFrame, sequence_col: str = "Sequence") -> DataFrame:
-    """`id_cols`, `scale`, `total` and `mean` of every sequence under every scale: one projection, nothing is shuffled."""
+    """`id_cols`, `scale`, `total` and `mean` of every sequence under every scale. The letters of a sequence are counted once for all scales."""
     cleaned = df.select(*id_cols, clean_sequence(F.col(f"`{sequence_col}`")).alias("__s"))
+    counted = cleaned.select(*id_cols, F.length("__s").alias("__length"), F.expr(_LETTERS.format(s="__s")).alias("__letters"))
     out = None
     for block in _blocks(scale_maps(scales)):
-        scored = cleaned.join(block).select(
-            *id_cols, "scale", F.expr(_SUM.format(s="__s", m="residue_values")).alias("total"), F.expr(_MEAN.format(s="__s", m="residue_values")).alias("mean")
-        )
+        scored = counted.join(block).select(*id_cols, "scale", "__length", F.expr(_SUM_OF_LETTERS.format(c="__letters", m="residue_values")).alias("total"))
+        scored = scored.select(*id_cols, "scale", "total", F.expr("try_divide(total, __length)").alias("mean"))
         out = scored if out is None else out.unionByName(scored)
     return out
 
