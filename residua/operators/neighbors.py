@@ -1,6 +1,6 @@
 """Exact k-nearest-neighbour join.
 
-A small reference table (size checked) is broadcast. A larger one is cut into cells around pivots
+A small reference table (bytes and rows checked: every query is held against every row of it) is broadcast. A larger one is cut into cells around pivots
 and each query first visits the nearest, which bounds the distance of its k-th neighbour, then only
 the cells that the triangle inequality cannot rule out within that bound. Cells are cut into blocks of bounded size and a block that many
 queries visit is copied to several groups, so no group grows with the data. Where the columns do not separate the rows (many columns),
@@ -19,7 +19,11 @@ from residua.operators.storage import materialize
 
 BROADCAST_BYTES = 64 * 2**20
 BLOCK_ROWS, GROUP_QUERIES = 20_000, 50_000
+#: Rows that a query is held against where the reference table is broadcast.
+BROADCAST_ROWS = 50_000
 MAX_PIVOTS = 1024
+#: Up to this many columns cells separate the rows well: with about as many cells as rows in a few cells, a query costs the root of the rows.
+FEW_COLUMNS, MAX_SMALL_PIVOTS = 4, 8192
 #: Blocks a query may visit on average in one round, and block counts that may be broadcast.
 MOST_VISITS, BROADCAST_BLOCKS = 64, 400_000
 _TILE = 4_000_000  # distances held at once
@@ -77,9 +81,9 @@ def nearest_neighbors(
     t = train.select(F.col(train_id).cast("bigint").alias("train_id"), _vector(features).alias("vector"), F.col(y).cast("double").alias("y"))
     t = materialize(_k_per_vector(t, k), "reference")
     rows, width = t.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    if rows * (width + 2) * 8 <= broadcast_bytes:
+    if rows <= BROADCAST_ROWS and rows * (width + 2) * 8 <= broadcast_bytes:
         return _broadcast_search(q, t, k)
-    return _cell_search(q, t, k, rows)
+    return _cell_search(q, t, k, rows, width)
 
 
 def _vector(features: Sequence[str] | str) -> Column:
@@ -103,9 +107,11 @@ def _broadcast_search(q: DataFrame, t: DataFrame, k: int) -> DataFrame:
     return q.mapInPandas(search, _FOUND)
 
 
-def _cell_search(q: DataFrame, t: DataFrame, k: int, rows: int) -> DataFrame:
+def _cell_search(q: DataFrame, t: DataFrame, k: int, rows: int, width: int) -> DataFrame:
     """Two rounds: the nearest cell of a query bounds its k-th distance, then only cells within that bound are visited."""
     wanted = min(MAX_PIVOTS, max(2, 4 * rows // BLOCK_ROWS))
+    if width <= FEW_COLUMNS:
+        wanted = max(wanted, min(MAX_SMALL_PIVOTS, int(2 * rows**0.5)))
     order = F.md5(F.col("train_id").cast("string"))
     pivots = _matrix(t.orderBy(order, "train_id").limit(wanted).select("vector").toPandas()["vector"])
 

@@ -1,8 +1,10 @@
 """Steps that have to spread over all cores and grow no faster than their input."""
 
+import numpy as np
 import pytest
 
 from query_suite import inputs as I
+from residua.operators import neighbors as NN
 from residua.operators import user_scales as U
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,3 +39,19 @@ def test_letters_are_counted_once_per_sequence_not_per_scale(spark):
     scales = spark.createDataFrame([("s", "A", 1.0)], "scale string, residue string, value double")
     plan = U.scale_sums(spark.range(3).selectExpr("id", "'AA' || id AS s"), ["id"], scales, "s")._jdf.queryExecution().optimizedPlan().toString()
     assert "replace(" not in plan.split("Join")[0]
+
+
+def test_large_reference_table_is_never_held_against_every_query(spark, monkeypatch):
+    rows = spark.range(4_000).selectExpr("id", "sin(id * 1.7) AS a", "cos(id * 0.3) AS b", "id % 7 AS y")
+    monkeypatch.setattr(NN, "BROADCAST_ROWS", 1_000)
+    monkeypatch.setattr(NN, "_broadcast_search", None)
+    asked = rows.where("id % 40 = 0")
+    found = {}
+    for r in NN.nearest_neighbors(asked, rows, "id", "id", ["a", "b"], "y", 3).collect():
+        found.setdefault(r["query_id"], []).append((r["distance"], r["train_id"]))
+    ids = np.arange(4_000)
+    points = np.column_stack([np.sin(ids * 1.7), np.cos(ids * 0.3)])
+    assert len(found) == 100
+    for q, near in found.items():
+        distances = np.sqrt(((points - points[q]) ** 2).sum(1))
+        assert [t for _, t in sorted(near)] == list(np.lexsort((ids, distances))[:3])
