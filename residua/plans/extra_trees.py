@@ -88,6 +88,12 @@ class _Growing:
     features: np.ndarray | None = None  # (open, drawn)
     points: np.ndarray | None = None
 
+    def sent(self) -> "_Growing":
+        """What a scan needs, as arrays: neither boxes nor leaf values."""
+        t = self.tree
+        plain = Tree(np.array(t.feature), np.array(t.threshold), np.array(t.left), np.array(t.right), [], [])
+        return _Growing(plain, np.array(self.open), {}, {}, self.features, self.points)
+
     def draw(self, rng: np.random.Generator, drawn: int) -> None:
         boxes = np.stack([self.boxes[node] for node in self.open])
         width = boxes.shape[2]
@@ -183,12 +189,12 @@ def _level(rows: DataFrame, growing: list[_Growing], rng: np.random.Generator, d
     live = [g for g in growing if g.open]
     for g in live:
         g.draw(rng, drawn)
-    statistics = classes or 3
+    statistics, asked = classes or 3, [g.sent() for g in live]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros((len(g.open), drawn + 1, statistics)) for g in live]
+        totals = [np.zeros((len(g.open), drawn + 1, statistics)) for g in asked]
         slots = []
-        for g in live:
+        for g in asked:
             slot = np.full(len(g.tree.feature), -1)
             slot[g.open] = np.arange(len(g.open))
             slots.append(slot)
@@ -199,11 +205,11 @@ def _level(rows: DataFrame, growing: list[_Growing], rng: np.random.Generator, d
             met = True
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
             stats = _statistics(batch.column(1).to_numpy(zero_copy_only=False), classes)
-            for total, g, slot in zip(totals, live, slots):
+            for total, g, slot in zip(totals, asked, slots):
                 total += side_sums(x, stats, slot[g.tree.place(x)], g)
         if met:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(live))), pa.array([t.ravel() for t in totals], pa.list_(pa.float64()))], ["tree", "value"]
+                [pa.array(np.arange(len(asked))), pa.array([t.ravel() for t in totals], pa.list_(pa.float64()))], ["tree", "value"]
             )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +224,10 @@ def _level(rows: DataFrame, growing: list[_Growing], rng: np.random.Generator, d
 
 def _split(g: _Growing, chosen: np.ndarray, classes: int, statistics: int, depth: int) -> None:
     tree, still = g.tree, []
+    sides = chosen[:, 2:].reshape(-1, 2, statistics)
+    values = sides / np.maximum(sides.sum(axis=2, keepdims=True), 1) if classes else sides[:, :, 1:2] / np.maximum(sides[:, :, :1], 1)
+    counts = rows_of(sides, classes)
+    parted = ((counts > 1.5) & (impurity(sides, classes) > PURE * np.maximum(1.0, counts))).tolist()
     for k, node in enumerate(g.open):
         best, gain = int(chosen[k, 0]), chosen[k, 1]
         box, tries = g.boxes.pop(node), g.tries.pop(node)
@@ -229,12 +239,12 @@ def _split(g: _Growing, chosen: np.ndarray, classes: int, statistics: int, depth
             continue
         feature, point = int(g.features[k, best]), float(g.points[k, best])
         tree.feature[node], tree.threshold[node], tree.gain[node] = feature, point, float(gain)
-        for side, stats in ((0, chosen[k, 2:2 + statistics]), (1, chosen[k, 2 + statistics:])):
+        for side in (0, 1):
             child = len(tree.feature)
             (tree.left if side == 0 else tree.right)[node] = child
-            for part, value in zip((tree.feature, tree.threshold, tree.left, tree.right, tree.value, tree.gain), (-1, 0.0, -1, -1, leaf_value(stats, classes), 0.0)):
+            for part, value in zip((tree.feature, tree.threshold, tree.left, tree.right, tree.value, tree.gain), (-1, 0.0, -1, -1, values[k, side], 0.0)):
                 part.append(value)
-            if level + 1 < depth and rows_of(stats, classes) > 1.5 and impurity(stats, classes) > PURE * max(1.0, rows_of(stats, classes)):
+            if level + 1 < depth and parted[k][side]:
                 inner = box.copy()
                 inner[1 - side, feature] = point  # the left side ends at the point, the right one starts there
                 still.append(child)
@@ -252,7 +262,7 @@ class ExtraTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasPr
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", probabilityCol="probability", seed=42, numTrees=500, maxDepth=12, classes=0):
         super().__init__()
-        self._setDefault(numTrees=500, maxDepth=12, classes=0)
+        self._setDefault(seed=42, numTrees=500, maxDepth=12, classes=0)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ExtraTreesModel:
@@ -280,14 +290,16 @@ class ExtraTreesModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol
         return DenseVector(total / (total.sum() or 1))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        sent = dataset.sparkSession.sparkContext.broadcast(self.trees)  # numTrees times at most 2^(maxDepth + 1) nodes
+        # numTrees times at most 2^(maxDepth + 1) nodes, as arrays
+        arrays = [Tree(*map(np.array, (t.feature, t.threshold, t.left, t.right)), np.array(t.value), []) for t in self.trees]
+        sent = dataset.sparkSession.sparkContext.broadcast(arrays)
         width, classes = self.width, self.classes
 
         def predict(vectors: pa.Array) -> pa.Array:
             x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width)
             out = np.zeros((len(x), classes or 1))
             for tree in sent.value:
-                out += np.stack(tree.value)[tree.place(x)]
+                out += tree.value[tree.place(x)]
             out /= max(len(sent.value), 1)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
 

@@ -6,6 +6,7 @@ import pytest
 from query_suite import inputs as I
 from residua.operators import neighbors as NN
 from residua.operators import user_scales as U
+from residua.plans.extra_trees import ExtraTrees, Tree, _Growing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -55,3 +56,16 @@ def test_large_reference_table_is_never_held_against_every_query(spark, monkeypa
     for q, near in found.items():
         distances = np.sqrt(((points - points[q]) ** 2).sum(1))
         assert [t for _, t in sorted(near)] == list(np.lexsort((ids, distances))[:3])
+
+
+def test_trees_have_a_seed_that_does_not_hang_on_the_interpreter(spark):
+    assert ExtraTrees().getSeed() == 42
+
+
+def test_scans_of_growing_trees_get_arrays_without_boxes_and_values():
+    tree = Tree([0, -1, -1], [0.5, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [np.zeros(1)] * 3, [1.0, 0.0, 0.0])
+    growing = _Growing(tree, [1, 2], {1: np.zeros((2, 1)), 2: np.zeros((2, 1))}, {1: 4, 2: 4})
+    growing.draw(np.random.default_rng(0), 1)
+    sent = growing.sent()
+    assert not sent.boxes and not sent.tree.value
+    assert sent.tree.place(np.array([[0.2], [0.9]])).tolist() == tree.place(np.array([[0.2], [0.9]])).tolist() == [1, 2]
