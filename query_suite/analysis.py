@@ -179,9 +179,9 @@ _ALIGN_SQL = _BEST_SQL + """, pairs AS (SELECT *, levenshtein("ReferenceSequence
        diff AS "LengthDifference", CASE WHEN len(changes) = 0 THEN 'Reference' ELSE array_to_string(changes[1:12], ', ') || CASE WHEN len(changes) > 12 THEN ' ...' ELSE '' END END AS "MutationSummaryVsReference" FROM noted)"""
 
 
-def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _aligned(spark: SparkSession, sf_dir: str, top_n: int | None = None) -> DataFrame:
     rows = valid_rows(spark, sf_dir).withColumnRenamed("name", "Name")
-    return D.alignment_to_reference(rows, "sequence", "activity", KEYS, most_changes=12)
+    return D.alignment_to_reference(rows, "sequence", "activity", KEYS, most_changes=12, top_n=top_n)
 
 
 @query(f"{_ALIGN_SQL} SELECT * FROM aligned")
@@ -191,7 +191,7 @@ def alignment_to_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_ALIGN_SQL} SELECT * FROM aligned ORDER BY "EditSimilarityToReference" DESC, "SequenceIdentityToReference" DESC, row_id, l_partkey, l_suppkey LIMIT 50""")
 def alignment_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.sort_alignment(_aligned(spark, sf_dir), KEYS, 50))
+    return rounded(D.sort_alignment(_aligned(spark, sf_dir, 50), KEYS, 50))
 
 
 PROFILE = list(K.PROFILE_DESCRIPTORS)

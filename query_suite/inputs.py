@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from residua.operators.storage import spread
@@ -54,16 +58,29 @@ FROM {labels}
 
 
 _LONG = """
-SELECT doc_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', ''{flag})) AS sequence,
+SELECT doc_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '', 'g')) AS sequence,
        -abs(cast(n_chars AS DOUBLE) - 1000.0) AS activity
 FROM {documents}
 """
 
 
+_UPPER = bytes(c - 32 if 97 <= c <= 122 else c for c in range(256))
+_NO_RESIDUE = bytes(c for c in range(256) if c not in b"ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy")
+
+
+def _residues(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_LONG` in one pass over the bytes: those of other characters are never letters of the alphabet."""
+    for batch in rows:
+        texts = (t.as_py() for t in batch.column(1))
+        sequences = [None if t is None else t.encode().translate(_UPPER, _NO_RESIDUE).decode() for t in texts]
+        activity = pc.negate(pc.abs(pc.subtract(pc.cast(batch.column(2), pa.float64()), 1000.0)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequences, pa.string()), activity], ["doc_id", "sequence", "activity"])
+
+
 def long_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of up to many thousand residues: the letters of the alphabet in every text."""
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
-    return spark.sql(_LONG.format(documents="{src}", flag=""), src=rows)
+    return rows.mapInArrow(_residues, f"doc_id {dict(rows.dtypes)['doc_id']}, sequence string, activity double")
 
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +107,5 @@ CLEAN_SQL = RAW_SQL + """, cleaned AS (
     SELECT * REPLACE (upper(regexp_replace(coalesce(sequence, ''), '\\s+', '', 'g')) AS sequence) FROM raw_pep),
   filled AS (SELECT *, translate(sequence, 'ACDEFGHIKLMNPQRSTVWY', '') AS foreign_part FROM cleaned WHERE sequence <> ''),
   valid AS (SELECT row_id, l_partkey, l_suppkey, activity, name, sequence FROM filled WHERE foreign_part = '')"""
-LONG_SQL = f"valid AS (SELECT * FROM ({_LONG.format(documents='documents', flag=", 'g'")}) WHERE sequence <> '')"
+LONG_SQL = f"valid AS (SELECT * FROM ({_LONG.format(documents='documents')}) WHERE sequence <> '')"
 LABELED_SQL = f"labeled AS ({_duck(_LABELED.format(labels='labels'))})"

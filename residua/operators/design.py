@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua.functions import constants as K
+from residua.functions.alignment import comparison, mutation_summary
 from residua.functions.naming import resolve_direction
 from residua.functions.numbers import format_significant, round_half_even
 from residua.functions.sequences import clean_sequence, has_residues, residues, to_number
@@ -199,41 +200,14 @@ def best_reference(
     )
 
 
-def positional_matches(a: Column, b: Column) -> Column:
-    """Number of places at which two sequences hold the same residue."""
-    equal = F.zip_with(residues(a), residues(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.size(F.filter(equal, lambda e: e))
-
-
-def mutation_summary(reference: Column, sequence: Column, limit: int | None = 12) -> Column:
-    """Substitutions as `A3K`, then the length change; ` ...` when there are more than a given limit.
-
-    Both sequences are taken apart once, so the work is linear in their length.
-    """
-    both = F.zip_with(residues(reference), residues(sequence), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def change(pair: Column, index: Column) -> Column:
-        return F.when(pair["a"] != pair["b"], F.concat(pair["a"], (index + 1).cast("string"), pair["b"]))
-
-    substitutions = F.filter(F.transform(both, change), lambda c: c.isNotNull())
-    difference = F.length(sequence) - F.length(reference)
-    size = F.concat(
-        F.when(difference > 0, "+").otherwise("-"), F.abs(difference).cast("string"), F.lit(" residue(s)")
-    )
-    changes = F.when(difference != 0, F.array_append(substitutions, size)).otherwise(substitutions)
-    if limit is None:
-        return F.coalesce(F.nullif(F.array_join(changes, ", "), F.lit("")), F.lit("Reference"))
-    shown = F.array_join(F.slice(F.transform(changes, lambda c, i: F.when(i < limit, c).otherwise("...")), 1, limit + 1), ", ")
-    return F.coalesce(F.nullif(F.regexp_replace(shown, ", [.]{3}$", " ..."), F.lit("")), F.lit("Reference"))
-
-
 def alignment_to_reference(
     df: DataFrame, sequence_col: str, target_col: str, order: Sequence[str], direction: str = "auto",
-    most_changes: int | None = None,
+    most_changes: int | None = None, top_n: int | None = None,
 ) -> DataFrame:
     """Every peptide against the best observed one, row-local; no pair of peptides is formed.
 
-    The rows are unsorted; `sort_alignment` puts them in report order.
+    The rows are unsorted; `sort_alignment` puts them in report order. With `top_n` only the rows that it would keep are
+    returned, and only they get a summary of their changes.
     """
     reference = best_reference(df, sequence_col, target_col, order, direction)
     chosen = reference.select(F.struct("*")).scalar()
@@ -245,20 +219,21 @@ def alignment_to_reference(
     )
     best, seq = F.col("__r.ReferenceSequence"), F.col("Sequence")
     longest = F.greatest(F.length(best), F.length(seq), F.lit(1))
-    measured_rows = rows.select(
-        *order, "Name", "Sequence", "Target", "__r",
-        F.levenshtein(best, seq).alias("EditDistanceToReference"),
-        positional_matches(best, seq).alias("__shared"),
-        longest.alias("__longest"),
-    )
-    edit_share = F.lit(1.0) - F.col("EditDistanceToReference") / F.col("__longest")
+    compared = rows.select("*", comparison(best, seq).alias("__found"))
+    edit_share = F.lit(1.0) - F.col("EditDistanceToReference") / longest
+    measured_rows = compared.withColumn("EditDistanceToReference", F.col("__found.distance")).withColumns({
+        "SequenceIdentityToReference": round_half_even(F.col("__found.shared") / longest, 3),
+        "EditSimilarityToReference": round_half_even(edit_share, 3),
+    })
+    if top_n is not None:
+        measured_rows = materialize(sort_alignment(measured_rows, order, top_n), "first")  # few rows; a summary for every row would cost most
     return measured_rows.select(
         *order, "Name", "Sequence", "Target",
         F.col("__r.ReferenceName").alias("ReferenceName"),
         best.alias("ReferenceSequence"),
         F.col("__r.ReferenceTarget").alias("ReferenceTarget"),
-        round_half_even(F.col("__shared") / F.col("__longest"), 3).alias("SequenceIdentityToReference"),
-        round_half_even(edit_share, 3).alias("EditSimilarityToReference"),
+        "SequenceIdentityToReference",
+        "EditSimilarityToReference",
         "EditDistanceToReference",
         (F.length(seq) - F.length(best)).alias("LengthDifference"),
         mutation_summary(best, seq, most_changes).alias("MutationSummaryVsReference"),
