@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 from residua.llm.bpe import byte_letters
 from residua.operators.storage import materialize
 
-#: Characters of a block, and of the words that are encoded at a time.
-BLOCK_CHARS, ENCODED_CHARS = 2_000_000, 100_000
+#: Characters of a block, of its documents that are aligned at a time, and of the words that are encoded at a time.
+BLOCK_CHARS, ALIGNED_CHARS, ENCODED_CHARS = 2_000_000, 250_000, 100_000
 REMEMBERED_WORDS, LONGEST_REMEMBERED = 300_000, 40
 #: How pieces write a blank.
 BLANK = "\u2581"
@@ -200,33 +200,48 @@ _STORED = (
 )
 
 
-def align_block(block: int, doc_ids: list, texts: list[str], tables: Vocabularies) -> Iterator[pa.RecordBatch]:
-    """A row per document with its links as places in the block's pairs, and a row with the pairs and their counts."""
-    ids = tables.encode(texts)
-    bytes_of = [joined(content.take(pc.list_flatten(side)), side.offsets, b"") for content, side in zip(tables.bytes, ids)]
+def spelled(texts: list[str], ids: list[pa.Array], tables: Vocabularies) -> np.ndarray:
+    """Which texts have tokens: both sides' ids give a blank and the text back byte by byte."""
     wanted = pa.array([(" " + t).encode() for t in texts], pa.large_binary())
-    same = pc.and_(pc.equal(bytes_of[0], wanted), pc.equal(bytes_of[1], wanted))
-    good = np.flatnonzero(same.to_numpy(zero_copy_only=False) & np.array([bool(t) for t in texts]))
-    ids = [side.take(pa.array(good)) for side in ids]
-    found = align(ids, tables)
+    same = np.array([bool(t) for t in texts])
+    for content, side in zip(tables.bytes, ids):
+        same &= pc.equal(joined(content.take(pc.list_flatten(side)), side.offsets, b""), wanted).to_numpy(zero_copy_only=False)
+    return same
+
 
-    def every(values: pa.Array) -> pa.Array:
+def align_block(block: int, doc_ids: list, texts: list[str], tables: Vocabularies) -> Iterator[pa.RecordBatch]:
+    """A row per document with its links as places in the block's pairs, and a row with the pairs and their counts."""
+    ids, good, digests, links, seen = tables.encode(texts), [], [""] * len(texts), [], 0
+    sizes = {"n_a": [], "n_b": [], "n_groups": [], "n_links": []}
+    for part in parts_of(texts, ALIGNED_CHARS):
+        rows = np.arange(seen, seen + len(part))
+        seen += len(part)
+        mine = [side.take(pa.array(rows)) for side in ids]
+        kept = np.flatnonzero(spelled(part, mine, tables))
+        mine = [side.take(pa.array(kept)) for side in mine]
+        found = align(mine, tables)
+        for n, text in zip(rows[kept], found["groups"]):
+            digests[n] = hashlib.sha256(text.as_buffer()).hexdigest()
+        good.append(rows[kept])
+        links.append(found["links"])
+        for name, values in zip(sizes, (pc.list_value_length(mine[0]), pc.list_value_length(mine[1]), found["n_groups"], found["n_links"])):
+            sizes[name].append(values.to_numpy())
+        del found, mine
+    good, links = np.concatenate([np.zeros(0, np.int64), *good]), pa.concat_arrays([pa.array([], pa.int64()), *links])
+
+    def every(name: str) -> pa.Array:
         out = np.zeros(len(texts), np.int64)
-        out[good] = values.to_numpy()
+        out[good] = np.concatenate([np.zeros(0, np.int64), *sizes[name]])
         return pa.array(out)
 
-    digests = [""] * len(texts)
-    for n, text in zip(good, found["groups"]):
-        digests[n] = hashlib.sha256(text.as_buffer()).hexdigest()
-    counts = pa.table({"pair": found["links"]}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+    counts = pa.table({"pair": links}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
     pairs = counts["pair"].combine_chunks()
-    links = pc.cast(pc.index_in(found["links"], value_set=pairs), pa.int32())
-    n_links = every(found["n_links"])
+    links = pc.cast(pc.index_in(links, value_set=pairs), pa.int32())
+    n_links = every("n_links")
     lists = pa.ListArray.from_arrays(pc.cast(_offsets(n_links), pa.int32()), links)
     n = len(texts)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, block)), pa.array(doc_ids, pa.int64()), every(pc.cast(pc.list_value_length(ids[0]), pa.int64())),
-        every(pc.cast(pc.list_value_length(ids[1]), pa.int64())), every(found["n_groups"]), n_links, pa.array(digests), lists,
+        pa.array(np.full(n, block)), pa.array(doc_ids, pa.int64()), every("n_a"), every("n_b"), every("n_groups"), n_links, pa.array(digests), lists,
         pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
     ], schema=_ROWS)
     if len(pairs):

@@ -106,3 +106,14 @@ def test_alignment_of_long_and_no_texts(spark, odd, none):
     assert all(r.n_links == r.n_a + r.n_b - r.n_groups and r.n_best <= r.n_links <= r.count_sum for r in got)
     empty = spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string")
     assert {tuple(r)[1:] for r in alignment.align_tokenizers(empty, *PATHS).collect()} == {(0, 0, 0, 0, 0, 0, "")}
+
+
+def test_documents_of_a_block_are_aligned_a_few_at_a_time(monkeypatch):
+    tables = alignment.vocabularies(*PATHS)
+    texts = ["some words and more words", "", "a�é", "x " * 40, "one", "two three", "  odd"] * 5
+    whole = [b.to_pylist() for b in alignment.align_block(3, list(range(len(texts))), texts, tables)]
+    taken, plain = [], alignment.align
+    monkeypatch.setattr(alignment, "ALIGNED_CHARS", 60)
+    monkeypatch.setattr(alignment, "align", lambda ids, tables: taken.append(len(ids[0])) or plain(ids, tables))
+    assert [b.to_pylist() for b in alignment.align_block(3, list(range(len(texts))), texts, tables)] == whole
+    assert len(taken) > 5 and max(taken) < 8 and sum(r["n_links"] for r in whole[0]) == sum(whole[1][0]["counts"])
