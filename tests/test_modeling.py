@@ -257,3 +257,32 @@ def test_separated_classes_and_absent_classes_end(spark):
     for name in class_folds.NAMES:
         got = class_folds.class_fold_metrics(df, name, 3, 1, 3, None, 2).collect()
         assert len(got) == 3 and all(r.accuracy > 0.9 for r in got)
+
+
+def test_nearest_rows_in_single_precision_stay_exact():
+    rng = np.random.default_rng(11)
+    for offset, scale in ((0.0, 1.0), (1e6, 1e-3), (0.0, 1e25), (0.0, 1e-25)):
+        train, asked = (np.round(rng.normal(size=(n, 6)), 1) * scale + offset for n in (9000, 300))
+        ids, ys = rng.permutation(9000), rng.normal(size=9000)
+        d = np.sqrt(((asked[:, None] - train[None]) ** 2).sum(2))
+        want = [ids[np.lexsort((ids, row))[:5]].tolist() for row in d]
+        kth = np.sort(d, axis=1)[:, 4]
+        for within in (None, kth, kth * 2):
+            found = NN._nearest(np.arange(300), asked, ids, train, ys, 5, within)
+            assert [g["train_id"].tolist() for _, g in found.groupby("query_id")] == want
+        assert NN._nearest(np.arange(300), asked, ids, train, ys, 5, np.sort(d, axis=1)[:, 0] * 0.5)["distance"].lt(d.min(axis=1).max()).all()
+
+
+def test_neighbour_pages_in_several_rounds(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 20), ("PAGE_ROWS", 7), ("PART_QUERIES", 10), ("PART_ROWS", 50), ("PARTS_AT_ONCE", 4)):
+        monkeypatch.setattr(NN, name, value)
+    rng = np.random.default_rng(9)
+    train, asked = rng.normal(size=(600, 40)), rng.normal(size=(30, 40))
+    t = spark.createDataFrame([(i, v.tolist(), float(i % 5)) for i, v in enumerate(train)], "id bigint, v array<double>, y double")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "id bigint, v array<double>")
+    got = {}
+    for r in sorted(NN.nearest_neighbors(q, t, "id", "id", "v", "y", 5, broadcast_bytes=0).collect(), key=lambda r: (r["query_id"], r["distance"], r["train_id"])):
+        got.setdefault(r["query_id"], []).append((r["train_id"], r["y"]))
+    for i, v in enumerate(asked):
+        d = np.sqrt(((train - v) ** 2).sum(1))
+        assert got[i] == [(j, float(j % 5)) for j in sorted(range(600), key=lambda j: (d[j], j))[:5]]
