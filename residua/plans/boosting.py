@@ -3,7 +3,8 @@
 A round's residuals are those of the softmax of the scores so far, so the classes' trees of a round are grown side by side: one scan
 per level sums, for every tree, node, feature and bin, the rows, residuals and curvatures; a tree's sums are added up in one task, which
 hands over the splits. The last level's sums give the leaves by one Newton step, so a round takes as many scans as trees
-have levels. Split points are quantiles of each feature, found once. The scores of the rows are stored every few rounds, and
+have levels. Split points are quantiles of each feature, found once, so rows of one class that lie in the same bins end in the same leaves of
+every tree: they are counted once and go on as one row with their number. The scores of the rows are stored every few rounds, and
 the log loss before each round comes with its first scan. Probabilities are the softmax of the scores, so they sum to one.
 """
 
@@ -102,7 +103,7 @@ class SoftmaxBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         columns = [f"f{i}" for i in range(width)]
         found = exact_quantiles(rows.select(*[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(columns)]), columns, [i / BINS for i in range(1, BINS)])
         edges = [np.unique(list(found[c].values.values())) for c in columns]
-        scored = materialize(rows.withColumn("f", F.array(*[F.lit(float(p)) for p in prior])), "scores")
+        scored = materialize(_counted(rows, edges, width).withColumn("f", F.array(*[F.lit(float(p)) for p in prior])), "scores")
         rounds: list[list[Tree]] = []
         losses: list[float] = []
         since = 0  # rounds that the stored scores hold
@@ -117,6 +118,19 @@ class SoftmaxBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         return self._copyValues(SoftmaxBoostingModel(rounds, prior, step, width, losses))
 
 
+def _counted(rows: DataFrame, edges: list[np.ndarray], width: int) -> DataFrame:
+    """Distinct (bins, class) with `w`, their number of rows; a bin is given by its upper edge, the last one by infinity."""
+    ends = [np.append(e, np.inf) for e in edges]
+
+    def upper(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width)
+        found = np.column_stack([end[np.searchsorted(e, x[:, j], side="left")] for j, (e, end) in enumerate(zip(edges, ends))])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(found.ravel()))
+
+    binned = rows.select(F.arrow_udf(upper, ArrayType(DoubleType()))("v").alias("v"), "y")
+    return binned.groupBy("v", "y").agg(F.count("*").cast("double").alias("w"))
+
+
 def _advanced(scored: DataFrame, rounds: list[list[Tree]], step: float, width: int) -> DataFrame:
     """Rows with the scores that the rounds add."""
 
@@ -126,7 +140,7 @@ def _advanced(scored: DataFrame, rounds: list[list[Tree]], step: float, width: i
         found = scores.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) + added_scores(x, rounds, step)
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
 
-    return scored.select("v", "y", F.arrow_udf(add, ArrayType(DoubleType()))("v", "f").alias("f"))
+    return scored.select("v", "y", "w", F.arrow_udf(add, ArrayType(DoubleType()))("v", "f").alias("f"))
 
 
 def _round(scored: DataFrame, rounds: list[list[Tree]], step: float, edges: list[np.ndarray], classes: int, depth: int, width: int) -> tuple[list[Tree], float]:
@@ -149,12 +163,13 @@ def _round(scored: DataFrame, rounds: list[list[Tree]], step: float, edges: list
                     continue
                 x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(n, width)
                 y = batch.column(1).to_numpy(zero_copy_only=False)
-                p = softmax(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, classes) + added_scores(x, rounds, step))
-                seen += n, -np.log(np.maximum(p[np.arange(n), y], 1e-300)).sum()
+                weight = batch.column(2).to_numpy(zero_copy_only=False)
+                p = softmax(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, classes) + added_scores(x, rounds, step))
+                seen += weight.sum(), -(weight * np.log(np.maximum(p[np.arange(n), y], 1e-300))).sum()
                 binned = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
                 for total, c in zip(totals, live):
                     residual = (y == c) - p[:, c]
-                    stats = np.column_stack([np.ones(n), residual, np.abs(residual) * (1 - np.abs(residual))])
+                    stats = np.column_stack([np.ones(n), residual, np.abs(residual) * (1 - np.abs(residual))]) * weight[:, None]
                     slot = np.full(len(trees[c].feature), -1)
                     slot[open_[c]] = np.arange(len(open_[c]))
                     total += histogram(binned, slot[trees[c].place(x)], len(open_[c]), stats, bins)

@@ -160,3 +160,20 @@ def test_softmax_boosting_lowers_the_loss_every_round(spark, tmp_path, monkeypat
     again = PipelineModel.load(str(tmp_path / "b"))
     assert np.allclose(shares, [r.probability.toArray() for r in again.transform(df).collect()]) and again.stages[0].losses == model.losses
     assert BO.SoftmaxBoosting(classes=3).fit(df.limit(0)).rounds == []
+
+
+def test_softmax_boosting_goes_on_with_counted_bins(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(900, 2)), 1)
+    rows = [(v, float(v[0] > 0.3) + float(v[1] > 0)) for v in x]
+    plain, many = vectors(spark, rows), vectors(spark, rows * 4)
+    boosting = BO.SoftmaxBoosting(classes=3, maxIter=6, stepSize=0.3)
+    once, again = boosting.fit(plain), boosting.fit(many)
+    assert once.losses == pytest.approx(again.losses)
+    for a, b in zip((t for r in once.rounds for t in r), (t for r in again.rounds for t in r)):
+        assert a.feature == b.feature and np.allclose(a.threshold, b.threshold) and np.allclose(np.ravel(a.value), np.ravel(b.value))
+    edges = [np.array([-0.5, 0.5]), np.array([0.0])]
+    table = many.select(BO.vector_to_array("features").alias("v"), many.label.cast("int").alias("y"))
+    counted = BO._counted(table, edges, 2).collect()
+    assert len(counted) <= 3 * 2 * 3 and sum(r.w for r in counted) == 3600
+    assert {tuple(r.v) for r in counted} <= {(a, b) for a in (-0.5, 0.5, np.inf) for b in (0.0, np.inf)}
