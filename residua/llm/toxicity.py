@@ -6,8 +6,11 @@ stretch of words and in the whole text are its two features, of which one linear
 text is read whole. Thresholds are calibrated by language, where the language is guessed from the text's own
 common words, and moved to 0.5.
 
-Training reads labelled rows only, at most `per_label` of each label, chosen by hash, with one text for each id (the smallest where an id
-repeats). Tasks turn these texts into embedding rows; one task fits on them, and only the weights come to the driver. Words are left out at random while training, so each toxic word counts by itself.
+Training reads all labelled rows, with one text for each id (the smallest where an id repeats). One task makes a first fit on at most
+`per_label` of each label, chosen by hash; where there are more rows, tasks then go on from it over all of them, each by its own steps, and
+their changes are averaged after each of a few rounds, an embedding row's over the tasks that met it. The class weights are those of all rows.
+The thresholds are set by a fifth of the rows, chosen by hash, that these steps leave out, all of them counted by logit. Only weights and
+counts come to the driver. Words are left out at random while training, so each toxic word counts by itself.
 
 Defined results: null, empty and wordless texts get the score of the bias alone; null labels are not used for
 training; without labels of both kinds every score is 0. Repeated rows are scored alike, one row each.
@@ -30,6 +33,8 @@ from residua.operators.storage import materialize
 
 WIDTHS, FILTERS, DIMENSIONS, ROW_BITS, STRETCH = (1, 2, 3), 12, 16, 16, 32
 PER_LABEL, EPOCHS, BATCH, SCORED_AT_ONCE = 2400, 10, 32, 1000
+#: Passes of the first fit where all rows follow; their rounds and their rates; logits that are counted as one, and where they end.
+FIRST_EPOCHS, ROUND_RATES, LOGIT_STEP, MOST_LOGIT = 4, (0.004, 0.002), 1 / 64, 64.0
 FEATURES, KEPT_WORDS = 5, 0.6
 _FIRST = {n: np.uint64((1 << 8 * n) - 1) for n in (4, 6)}
 _ODD = np.random.default_rng(5).integers(0, 2**63, FEATURES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,7 +144,7 @@ def _logit(places: np.ndarray, network: Network) -> float:
     return network.bias + float(np.concatenate(features) @ network.output)
 
 
-def train(rows: list[np.ndarray], languages: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
+def train(rows: list[np.ndarray], languages: np.ndarray, labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
     """Fit by Adam on the logistic loss, classes weighted evenly; then set each language's threshold.
 
     A text comes as the embedding rows of its words, a line each, and its place in LANGUAGES.
@@ -150,39 +155,55 @@ def train(rows: list[np.ndarray], languages: np.ndarray, labels: np.ndarray, see
         return network
     rng = np.random.default_rng(seed)
     held = rng.random(len(rows)) < 0.2
-    weights = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    parameters = [network.embedding, *network.filters, *network.biases, network.output, np.zeros(1, np.float32)]
-    first, second = ([np.zeros_like(p) for p in parameters] for _ in range(2))
-    gradients = [np.zeros_like(p) for p in parameters]
-    order, step = np.flatnonzero(~held), 0
-    for epoch in range(EPOCHS):
+    weights = class_weights(labels.mean())[labels]
+    steps, order = Steps(network, rng), np.flatnonzero(~held)
+    for epoch in range(epochs):
         rng.shuffle(order)
-        for at in range(0, len(order), BATCH):
-            touched = []
-            for n in order[at:at + BATCH]:
-                kept = rng.random(len(rows[n])) < KEPT_WORDS  # so that no single word carries a text alone
-                touched.append(_backward(parameters, rows[n][kept], labels[n], weights[n], gradients))
-            step += 1
-            rate = 0.01 * (1 - epoch / (EPOCHS + 1))
-            used = np.unique(np.concatenate(touched))
-            for i, (p, g) in enumerate(zip(parameters, gradients)):
-                part = used if i == 0 else slice(None)  # only the embedding rows that were met
-                g = g[part] / BATCH + 1e-6 * p[part]
-                first[i][part] = 0.9 * first[i][part] + 0.1 * g
-                second[i][part] = 0.99 * second[i][part] + 0.01 * g * g
-                p[part] -= rate * (first[i][part] / (1 - 0.9**step)) / (np.sqrt(second[i][part] / (1 - 0.99**step)) + 1e-7)
-                gradients[i][part] = 0
-    network.bias = float(parameters[-1][0])
+        steps.run(rows, labels, weights, order, 0.01 * (1 - epoch / (epochs + 1)))
+    network.bias = float(steps.parameters[-1][0])
     table, found = network.word_table(), np.full(len(rows), network.bias)
     for n in np.flatnonzero(held):
         if len(rows[n]):
             found[n] = _logit(sum(table[rows[n][:, i]] for i in range(FEATURES)), network)
-    every = _threshold(found[held], labels[held], 0.0)
+    every = _threshold(found[held], labels[held], np.ones(held.sum()), 0.0)
     for i in range(len(LANGUAGES)):
-        network.thresholds[i] = _threshold(found[(languages == i) & held], labels[(languages == i) & held], every)
+        here = (languages == i) & held
+        network.thresholds[i] = _threshold(found[here], labels[here], np.ones(here.sum()), every)
     return network
 
 
+def class_weights(share: float) -> np.ndarray:
+    """Weights of rows with label 0 and 1, given the share of label 1."""
+    return np.array([0.5 / (1 - share), 0.5 / share])
+
+
+class Steps:
+    """Adam steps that change a network's arrays in place; its bias is the last parameter."""
+
+    def __init__(self, network: Network, rng: np.random.Generator) -> None:
+        self.parameters = [network.embedding, *network.filters, *network.biases, network.output, np.full(1, network.bias, np.float32)]
+        self.first, self.second, self.gradients = ([np.zeros_like(p) for p in self.parameters] for _ in range(3))
+        self.rng, self.step = rng, 0
+        self.met = np.zeros(len(network.embedding), bool)
+
+    def run(self, rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, order: np.ndarray, rate: float) -> None:
+        for at in range(0, len(order), BATCH):
+            touched = []
+            for n in order[at:at + BATCH]:
+                kept = self.rng.random(len(rows[n])) < KEPT_WORDS  # so that no single word carries a text alone
+                touched.append(_backward(self.parameters, rows[n][kept], labels[n], weights[n], self.gradients))
+            self.step += 1
+            used = np.unique(np.concatenate(touched))
+            self.met[used] = True
+            for i, (p, g, first, second) in enumerate(zip(self.parameters, self.gradients, self.first, self.second)):
+                part = used if i == 0 else slice(None)  # only the embedding rows that were met
+                g = g[part] / BATCH + 1e-6 * p[part]
+                first[part] = 0.9 * first[part] + 0.1 * g
+                second[part] = 0.99 * second[part] + 0.01 * g * g
+                p[part] -= rate * (first[part] / (1 - 0.9**self.step)) / (np.sqrt(second[part] / (1 - 0.99**self.step)) + 1e-7)
+                self.gradients[i][part] = 0
+
+
 def _backward(parameters: list[np.ndarray], rows: np.ndarray, label: int, weight: float, gradients: list[np.ndarray]) -> np.ndarray:
     """Add one text's gradients; returns the embedding rows it met."""
     embedding, output = parameters[0], parameters[-2]
@@ -218,13 +239,15 @@ def _backward(parameters: list[np.ndarray], rows: np.ndarray, label: int, weight
     return rows[met].ravel()
 
 
-def _threshold(found: np.ndarray, labels: np.ndarray, otherwise: float) -> float:
-    """The middle of the logits with the fewest errors on rows kept from training; `otherwise` with too few of them."""
-    if labels.sum() < 5 or (1 - labels).sum() < 5:
+def _threshold(found: np.ndarray, labels: np.ndarray, rows: np.ndarray, otherwise: float) -> float:
+    """The middle of the logits with the fewest errors on rows kept from training; `otherwise` with too few of them. `rows` counts equal ones."""
+    ones, zeros = rows * (labels == 1), rows * (labels == 0)
+    if ones.sum() < 5 or zeros.sum() < 5:
         return otherwise
-    order = np.sort(found)
+    order, at = np.unique(found, return_inverse=True)
     cuts = np.concatenate([order[:1] - 1, (order[1:] + order[:-1]) / 2, order[-1:] + 1])
-    errors = ((found[None] >= cuts[:, None]) != labels[None]).sum(axis=1)
+    missed = np.concatenate([[0], np.cumsum(np.bincount(at, ones))])
+    errors = missed + zeros.sum() - np.concatenate([[0], np.cumsum(np.bincount(at, zeros))])
     best = np.flatnonzero(errors == errors.min())
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
@@ -235,13 +258,25 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL) -> Network:
-    """Train on at most `per_label` rows of each label, the first by hash among rows that are not held out."""
-    named = labels.select(F.col(id_col).cast("bigint").alias("__id"), F.col(label).cast("int").alias("__label"))
-    named = named.where("__label in (0, 1) and __id is not null").where(~held_out(F.col("__id")))
-    first = [named.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(per_label) for value in (0, 1)]
-    texts = df.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text).cast("string").alias("__text"))
-    chosen = texts.join(F.broadcast(first[0].union(first[1])), "__id")  # at most 2 * per_label ids are sent
-    chosen = chosen.groupBy("__id", "__label").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
+    """Train on all labelled rows that are not held out; the first fit has at most `per_label` of each label, the first by hash."""
+    named = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"))
+    named = named.where("label in (0, 1) and id is not null").where(~held_out(F.col("id"))).distinct()
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    taught = texts.join(named, "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    taught = materialize(taught.withColumn("kept", F.pmod(F.xxhash64("id", F.lit("threshold")), F.lit(5)) == 0), "taught")
+    counts = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    few = max(counts.values(), default=0) <= per_label or len(counts) < 2
+    network = _first_fit(taught if few else taught.where("not kept"), per_label, EPOCHS if few else FIRST_EPOCHS)
+    if few or not np.isfinite(network.bias):  # one label only among the rows to learn from
+        return network
+    return _calibrated(taught.where("kept"), _refined(taught.where("not kept"), network, counts[1] / (counts[0] + counts[1])))
+
+
+def _first_fit(taught: DataFrame, per_label: int, epochs: int) -> Network:
+    """Fit in one task on a bounded number of rows."""
+    ids = taught.select("id", "label")
+    first = [ids.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_label) for value in (0, 1)]
+    chosen = taught.join(F.broadcast(first[0].union(first[1])), ["id", "label"]).select("id", "label", "text")  # at most 2 * per_label ids are sent
 
     def hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -259,7 +294,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
             rows = [r.values.to_numpy().reshape(-1, FEATURES) for r in batch.column(3)]
             found += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), rows)
         found.sort(key=lambda r: r[:2])
-        network = train([r[3] for r in found], np.array([r[2] for r in found], np.int64), np.array([r[1] for r in found], np.int64))
+        network = train([r[3] for r in found], np.array([r[2] for r in found], np.int64), np.array([r[1] for r in found], np.int64), epochs=epochs)
         yield pa.RecordBatch.from_pydict({"network": [pickle.dumps(network)]})
 
     sample = materialize(chosen.mapInArrow(hashed, "id long, label int, language int, rows array<int>"), "training")
@@ -267,17 +302,87 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
     return pickle.loads(fitted["network"]) if fitted else train([], np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _refined(taught: DataFrame, network: Network, share: float) -> Network:
+    """Go on over all rows, a part of them a round: tasks step on their own, then their changes are averaged."""
+    context, weights = taught.sparkSession.sparkContext, class_weights(share)
+    for n, rate in enumerate(ROUND_RATES):
+        sent = context.broadcast(network)
+
+        def learned(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            steps = Steps(pickle.loads(pickle.dumps(sent.value)), np.random.default_rng(n))
+            rows = 0
+            for batch in source:
+                for part in (batch.slice(i, SCORED_AT_ONCE) for i in range(0, batch.num_rows, SCORED_AT_ONCE)):
+                    words = [words_of(t.as_py()) for t in part.column(1)]
+                    texts, labels = [rows_of(w) if w else np.zeros((0, FEATURES), np.int64) for w in words], part.column(0).to_numpy()
+                    steps.run(texts, labels, weights[labels], steps.rng.permutation(len(texts)), rate)
+                    rows += len(texts)
+            if rows:
+                before, met = Steps(sent.value, steps.rng).parameters, np.flatnonzero(steps.met)
+                changes = [steps.parameters[0][met] - before[0][met], *(a - b for a, b in zip(steps.parameters[1:], before[1:]))]
+                yield pa.RecordBatch.from_pydict({"changes": [pickle.dumps((rows, met, changes))]})
+
+        def averaged(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, rows, by_row = None, 0, np.zeros((len(sent.value.embedding), 1))
+            for batch in source:
+                for value in batch.column(0):
+                    count, met, changes = pickle.loads(value.as_py())
+                    total = total or [np.zeros(sent.value.embedding.shape), *(np.zeros(c.shape) for c in changes[1:])]
+                    rows += count
+                    by_row[met] += count
+                    total[0][met] += count * changes[0]
+                    for t, c in zip(total[1:], changes[1:]):
+                        t += count * c
+            if total:
+                means = [total[0] / np.maximum(by_row, 1), *(t / rows for t in total[1:])]
+                yield pa.RecordBatch.from_pydict({"changes": [pickle.dumps([m.astype(np.float32) for m in means])]})
+
+        part = taught.where(F.pmod(F.xxhash64("id", F.lit("round")), F.lit(len(ROUND_RATES))) == n).select("label", "text")
+        part = part.coalesce(max(context.defaultParallelism, 1)).mapInArrow(learned, "changes binary")  # changes of one task are at most the network
+        found = part.repartition(1).mapInArrow(averaged, "changes binary").first()
+        sent.destroy()
+        if found:
+            moved = [p + c for p, c in zip(Steps(network, np.random.default_rng(n)).parameters, pickle.loads(found["changes"]))]
+            w = len(WIDTHS)
+            network = Network(moved[0], moved[1:1 + w], moved[1 + w:1 + 2 * w], moved[-2], float(moved[-1][0]), network.thresholds)
+    return network
+
+
+def _calibrated(kept: DataFrame, network: Network) -> Network:
+    """Set the thresholds by all rows kept from the steps: their logits are counted in narrow steps, by language and label."""
+    sent = kept.sparkSession.sparkContext.broadcast(network)
+
+    def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table = sent.value, sent.value.word_table()
+        for batch in source:
+            for part in (batch.slice(i, SCORED_AT_ONCE) for i in range(0, batch.num_rows, SCORED_AT_ONCE)):
+                texts = [words_of(t.as_py()) for t in part.column(1)]
+                place = np.rint(np.clip(logits(table, model, texts), -MOST_LOGIT, MOST_LOGIT) / LOGIT_STEP).astype(np.int64)
+                columns = [part.column(0), pa.array([language_of(t) for t in texts], pa.int32()), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "language", "place"])
+
+    rows = kept.select("label", "text").mapInArrow(counted, "label int, language int, place long")
+    found = rows.groupBy("label", "language", "place").agg(F.count("*").alias("n")).collect()  # at most all steps by language and label
+    sent.destroy()
+    labels, languages, places, n = (np.array(c) for c in zip(*found)) if found else (np.zeros(0),) * 4
+    every = _threshold(places * LOGIT_STEP, labels, n, 0.0)
+    for i in range(len(LANGUAGES)):
+        here = languages == i
+        network.thresholds[i] = _threshold(places[here] * LOGIT_STEP, labels[here], n[here], every)
+    return network
+
+
 def with_scores(df: DataFrame, network: Network, text: str = "text", out: str = "score") -> DataFrame:
     """`df` with the score of each text; a column named like `out` is replaced, all others are kept.
 
-    The network is a few MB and goes out as a broadcast variable.
+    The network is a few MB and goes out as a broadcast variable; tasks make the larger word table of it.
     """
-    sent = df.sparkSession.sparkContext.broadcast((network, network.word_table()))
+    sent = df.sparkSession.sparkContext.broadcast(network)
     plain = df.drop(out)
     place = plain.columns.index(text)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = sent.value
+        model, table = sent.value, sent.value.word_table()
         for batch in rows:
             for part in (batch.slice(i, SCORED_AT_ONCE) for i in range(0, batch.num_rows, SCORED_AT_ONCE)):
                 texts = [words_of(t.as_py()) for t in part.column(place)]

@@ -276,6 +276,32 @@ def test_scores_use_texts_only(labelled, odd, none):
     assert len(untaught) == len(IDS_TEXTS) and (untaught.score == 0).all()
 
 
+def test_all_labelled_rows_are_learned_from(spark, labelled):
+    """A word that no row of the first fit has is learned, and the rows' share decides the class weights."""
+    rows = [(r.doc_id, r.text, r.toxic) for r in labelled.collect()]
+    rows += [(1000 + i, prose(i, 40) + (" blockhead numskull " if i % 2 else " gardener ") + prose(i + 3, 10), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    found = toxicity.fit(df, df, per_label=20)
+    plain = [prose(5000 + i, 40) for i in range(40)]
+    texts = [toxicity.words_of(t + word) for word in (" blockhead numskull", " gardener") for t in plain]
+    scores = toxicity.logits(found.word_table(), found, texts) - found.thresholds[[toxicity.language_of(t) for t in texts]]
+    assert (scores[:40] > 0).mean() > 0.9 and (scores[40:] < 0).mean() > 0.9
+    read = toxicity.classify(df.select("doc_id", "text"), df.select("doc_id", "toxic")).toPandas()
+    assert len(read) == len(rows) and read.score.between(0, 1).all()
+
+
+def test_thresholds_of_counted_logits_are_those_of_rows():
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 2, 300)
+    found = np.rint((labels + rng.normal(size=300)) * 8) / 8
+    places, at = np.unique(np.column_stack([found, labels]), axis=0, return_inverse=True)
+    counted = toxicity._threshold(places[:, 0], places[:, 1], np.bincount(at.ravel()), 9.0)
+    assert counted == toxicity._threshold(found, labels, np.ones(300), 9.0) != 9.0
+    errors = lambda cut: ((found >= cut) != labels).sum()
+    assert errors(counted) <= min(errors(c) for c in np.arange(-3, 4, 1 / 16)) + 1
+    assert toxicity._threshold(found[:4], labels[:4], np.ones(4), 9.0) == 9.0
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     words = [prose(1, 50).encode().split(), prose(2, 3).encode().split()]
