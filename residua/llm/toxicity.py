@@ -233,12 +233,18 @@ def _backward(parameters: list[np.ndarray], rows: np.ndarray, label: int, weight
         gradients[1 + f] += np.einsum("sf,sfd->df", flow, windows[chosen])
         push = flow[:, :, None] * parameters[1 + f].T
         for k in range(width):
-            np.add.at(to_vectors, chosen + k, push[:, :, DIMENSIONS * k:DIMENSIONS * (k + 1)])
+            _add_rows(to_vectors, (chosen + k).ravel(), push[:, :, DIMENSIONS * k:DIMENSIONS * (k + 1)])
     met = np.flatnonzero(to_vectors[: len(rows)].any(axis=1))
-    np.add.at(gradients[0], rows[met].ravel(), np.repeat(to_vectors[met], FEATURES, axis=0))
+    _add_rows(gradients[0], rows[met].ravel(), np.repeat(to_vectors[met], FEATURES, axis=0))
     return rows[met].ravel()
 
 
+def _add_rows(target: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
+    """Add rows at places that may repeat; flat places are much faster than whole rows."""
+    width = target.shape[1]
+    np.add.at(target.reshape(-1), (places[:, None].astype(np.int64) * width + np.arange(width)).ravel(), values.ravel())
+
+
 def _threshold(found: np.ndarray, labels: np.ndarray, rows: np.ndarray, otherwise: float) -> float:
     """The middle of the logits with the fewest errors on rows kept from training; `otherwise` with too few of them. `rows` counts equal ones."""
     ones, zeros = rows * (labels == 1), rows * (labels == 0)
