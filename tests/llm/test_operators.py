@@ -559,6 +559,17 @@ def test_repeats_equal_all_strings(spark, none, monkeypatch, most):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_large_groups_move_no_text_again(spark, monkeypatch):
+    """Strings of large groups are hashed from the surroundings that were shuffled, not from another join of the texts."""
+    stored, store = [], suffixes.materialize
+    monkeypatch.setattr(suffixes, "MOST_SORTED", 0)
+    monkeypatch.setattr(suffixes, "materialize", lambda df, name="table": stored.append(name) or store(df, name))
+    rows = repeat_rows()
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=400)
+    assert order(found.collect()) == plain_repeats(rows, 400)
+    assert stored == ["anchors", "again", "candidates", "classes"]
+
+
 def test_long_texts_are_read_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "STRETCH", 700)
     rows = [(1, prose(1, 900)), (2, "xx" + prose(1, 900)[1500:4000] + prose(2, 50))]
