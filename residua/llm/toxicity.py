@@ -22,6 +22,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -107,20 +108,19 @@ class Network:
         )
 
 
-def pooled(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest value per stretch and in all, with the place of each stretch's largest; values has a row per word."""
+def pooled(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest value per stretch, with its place; values has a row per word."""
     starts = np.arange(0, len(values), STRETCH)
     padded = np.full((len(starts) * STRETCH, values.shape[1]), -np.inf, np.float32)
     padded[: len(values)] = values
-    blocks = padded.reshape(len(starts), STRETCH, -1)
-    places = blocks.argmax(axis=1) + starts[:, None]
-    return np.take_along_axis(values, places, 0), values.max(axis=0), places
+    places = padded.reshape(len(starts), STRETCH, -1).argmax(axis=1) + starts[:, None]
+    return np.take_along_axis(values, places, 0), places
 
 
 def logits(table: np.ndarray, network: Network, texts: list[list[bytes]]) -> np.ndarray:
     """Uncalibrated logits of texts given as words."""
-    distinct: dict[bytes, int] = {}
-    ids = [np.fromiter((distinct.setdefault(w, len(distinct)) for w in words), np.int64, len(words)) for words in texts]
+    distinct = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+    ids = [np.fromiter(map(distinct.__getitem__, words), np.int64, len(words)) for words in texts]
     if distinct:
         rows = rows_of(list(distinct))
         per_word = table[rows[:, 0]]
@@ -134,13 +134,14 @@ def _logit(places: np.ndarray, network: Network) -> float:
     at, features = 0, []
     for f, width in enumerate(WIDTHS):
         length = max(1, len(places) - width + 1)
-        values = np.zeros((length, FILTERS), np.float32) + network.biases[f]
+        values = np.zeros((length, FILTERS), np.float32)
         for k in range(width):
             part = places[k:k + length, FILTERS * at:FILTERS * (at + 1)]
             values[: len(part)] += part
             at += 1
-        stretches, largest, _ = pooled(np.maximum(values, 0))
-        features += [stretches.mean(axis=0), largest]
+        # The largest value stays the largest when a bias is added and what is below 0 is cut, so that is done once a stretch.
+        stretches = np.maximum(np.maximum.reduceat(values, np.arange(0, length, STRETCH), axis=0) + network.biases[f], 0)
+        features += [stretches.mean(axis=0), stretches.max(axis=0)]
     return network.bias + float(np.concatenate(features) @ network.output)
 
 
@@ -182,67 +183,81 @@ class Steps:
 
     def __init__(self, network: Network, rng: np.random.Generator) -> None:
         self.parameters = [network.embedding, *network.filters, *network.biases, network.output, np.full(1, network.bias, np.float32)]
-        self.first, self.second, self.gradients = ([np.zeros_like(p) for p in self.parameters] for _ in range(3))
+        self.first, self.second = ([np.zeros_like(p) for p in self.parameters] for _ in range(2))
+        self.gradients = [None, *(np.zeros_like(p) for p in self.parameters[1:])]  # the embedding's come by the rows met
         self.rng, self.step = rng, 0
         self.met = np.zeros(len(network.embedding), bool)
 
     def run(self, rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, order: np.ndarray, rate: float) -> None:
         for at in range(0, len(order), BATCH):
-            touched = []
+            touched, pushes = [], []
             for n in order[at:at + BATCH]:
                 kept = self.rng.random(len(rows[n])) < KEPT_WORDS  # so that no single word carries a text alone
-                touched.append(_backward(self.parameters, rows[n][kept], labels[n], weights[n], self.gradients))
+                met, push = _backward(self.parameters, rows[n][kept], labels[n], weights[n], self.gradients)
+                touched.append(met)
+                pushes.append(push)
             self.step += 1
-            used = np.unique(np.concatenate(touched))
+            used, found = _sums_by_row(np.concatenate(touched), np.concatenate(pushes))
             self.met[used] = True
-            for i, (p, g, first, second) in enumerate(zip(self.parameters, self.gradients, self.first, self.second)):
-                part = used if i == 0 else slice(None)  # only the embedding rows that were met
-                g = g[part] / BATCH + 1e-6 * p[part]
-                first[part] = 0.9 * first[part] + 0.1 * g
-                second[part] = 0.99 * second[part] + 0.01 * g * g
-                p[part] -= rate * (first[part] / (1 - 0.9**self.step)) / (np.sqrt(second[part] / (1 - 0.99**self.step)) + 1e-7)
-                self.gradients[i][part] = 0
-
-
-def _backward(parameters: list[np.ndarray], rows: np.ndarray, label: int, weight: float, gradients: list[np.ndarray]) -> np.ndarray:
-    """Add one text's gradients; returns the embedding rows it met."""
+            for i, (p, first, second) in enumerate(zip(self.parameters, self.first, self.second)):
+                part, g = (used, found) if i == 0 else (slice(None), self.gradients[i])  # only the embedding rows that were met
+                here = p[part]
+                g /= BATCH
+                g += np.float32(1e-6) * here
+                one, two = first[part] * np.float32(0.9), second[part] * np.float32(0.99)
+                one += np.float32(0.1) * g
+                two += np.float32(0.01) * g * g
+                first[part], second[part] = one, two
+                p[part] = here - np.float32(rate / (1 - 0.9**self.step)) * one / (np.sqrt(two / np.float32(1 - 0.99**self.step)) + np.float32(1e-7))
+                g[...] = 0
+
+
+def _sums_by_row(rows: np.ndarray, pushes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embedding rows of some words, a line of `rows` each, and the sum of the words' pushes for each row."""
+    flat = rows.ravel()
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+    order = np.argsort(flat.astype(np.uint32), kind="stable")
+    flat = flat[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    return flat[starts], np.add.reduceat(pushes[order // FEATURES], starts, axis=0)
+
+
+def _backward(parameters: list[np.ndarray], rows: np.ndarray, label: int, weight: float, gradients: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Add one text's gradients but for the embedding's, the first; returns the rows of the words it met, and what each adds to the gradients of its rows."""
     embedding, output = parameters[0], parameters[-2]
     if not len(rows):
-        return np.zeros(0, np.int64)
-    vectors, features, memory = embedding[rows].sum(axis=1), [], []
+        return rows, np.zeros((0, DIMENSIONS), np.float32)
+    vectors = embedding[rows[:, 0]]
+    for i in range(1, FEATURES):
+        vectors += embedding[rows[:, i]]
+    padded = np.concatenate([vectors, np.zeros((max(WIDTHS), DIMENSIONS), np.float32)])
+    features, memory, every = [], [], np.arange(FILTERS)
     for f, width in enumerate(WIDTHS):
-        padded = np.concatenate([vectors, np.zeros((max(0, width - len(vectors)), DIMENSIONS), np.float32)])
-        length = len(padded) - width + 1
-        windows = np.concatenate([padded[k:k + length] for k in range(width)], axis=1)
-        values = np.maximum(windows @ parameters[1 + f] + parameters[1 + len(WIDTHS) + f], 0)
-        stretches, largest, places = pooled(values)
-        features += [stretches.mean(axis=0), largest]
-        memory.append((windows, values, places, values.argmax(axis=0)))
+        length = max(1, len(vectors) - width + 1)
+        values = sum(padded[k:k + length] @ parameters[1 + f][DIMENSIONS * k:DIMENSIONS * (k + 1)] for k in range(width))
+        values = np.maximum(values + parameters[1 + len(WIDTHS) + f], 0)
+        stretches, places = pooled(values)
+        features += [stretches.mean(axis=0), stretches.max(axis=0)]
+        memory.append((values, places, places[stretches.argmax(axis=0), every]))
     x = np.concatenate(features)
     slope = weight * (1 / (1 + np.exp(-np.clip(x @ output + parameters[-1][0], -30, 30))) - label)
     gradients[-2] += slope * x
     gradients[-1] += slope
     back = (slope * output).reshape(len(WIDTHS), 2, FILTERS).astype(np.float32)
-    to_vectors = np.zeros((len(vectors) + max(WIDTHS), DIMENSIONS), np.float32)
-    every = np.arange(FILTERS)
-    for f, (width, (windows, values, places, top)) in enumerate(zip(WIDTHS, memory)):
-        chosen = np.concatenate([places, top[None]])  # one word place per stretch, and the largest of all
-        flow = np.concatenate([np.broadcast_to(back[f, 0] / len(places), places.shape), back[f, 1][None]])
-        flow = flow * (values[chosen, every] > 0)
+    to_vectors = np.zeros_like(padded)
+    for f, (width, (values, places, top)) in enumerate(zip(WIDTHS, memory)):
+        flow = np.zeros_like(values)  # one word place per stretch, and the largest of all
+        flow[places, every] = back[f, 0] / np.float32(len(places))
+        flow[top, every] += back[f, 1]
+        flow *= values > 0
         gradients[1 + len(WIDTHS) + f] += flow.sum(axis=0)
-        gradients[1 + f] += np.einsum("sf,sfd->df", flow, windows[chosen])
-        push = flow[:, :, None] * parameters[1 + f].T
         for k in range(width):
-            _add_rows(to_vectors, (chosen + k).ravel(), push[:, :, DIMENSIONS * k:DIMENSIONS * (k + 1)])
+            part = slice(DIMENSIONS * k, DIMENSIONS * (k + 1))
+            gradients[1 + f][part] += padded[k:k + len(flow)].T @ flow
+            to_vectors[k:k + len(flow)] += flow @ parameters[1 + f][part].T
     met = np.flatnonzero(to_vectors[: len(rows)].any(axis=1))
-    _add_rows(gradients[0], rows[met].ravel(), np.repeat(to_vectors[met], FEATURES, axis=0))
-    return rows[met].ravel()
-
-
-def _add_rows(target: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
-    """Add rows at places that may repeat; flat places are much faster than whole rows."""
-    width = target.shape[1]
-    np.add.at(target.reshape(-1), (places[:, None].astype(np.int64) * width + np.arange(width)).ravel(), values.ravel())
+    return rows[met], to_vectors[met]
 
 
 def _threshold(found: np.ndarray, labels: np.ndarray, rows: np.ndarray, otherwise: float) -> float:

@@ -302,6 +302,16 @@ def test_thresholds_of_counted_logits_are_those_of_rows():
     assert toxicity._threshold(found[:4], labels[:4], np.ones(4), 9.0) == 9.0
 
 
+def test_sums_by_row_add_up_repeated_rows():
+    rng = np.random.default_rng(3)
+    rows, pushes = rng.integers(0, 9, (40, toxicity.FEATURES)), rng.normal(size=(40, toxicity.DIMENSIONS)).astype(np.float32)
+    used, sums = toxicity._sums_by_row(rows, pushes)
+    for row, found in zip(used, sums, strict=True):
+        assert np.allclose(found, ((rows == row).sum(axis=1)[:, None] * pushes).sum(axis=0), atol=1e-4)
+    assert used.tolist() == sorted(set(rows.ravel().tolist()))
+    assert [x.shape for x in toxicity._sums_by_row(rows[:0], pushes[:0])] == [(0,), (0, toxicity.DIMENSIONS)]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     words = [prose(1, 50).encode().split(), prose(2, 3).encode().split()]
