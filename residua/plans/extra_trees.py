@@ -144,7 +144,7 @@ def grow(rows: DataFrame, trees: int, classes: int, depth: int, drawn: int, seed
     root, low, high = _root(rows, classes)
     if root is None:
         return []
-    width, rng, done = len(low), np.random.default_rng(seed), []
+    width, rng, done = len(low), np.random.default_rng(seed & (2**64 - 1)), []
     drawn = min(drawn, width)
     most = int(min(2 ** min(depth, 40), rows_of(root, classes) // 2 + 1))  # nodes that can be open at once
     group = max(1, min(trees, MOST_SUMS // ((drawn + 1) * statistics * most)))

@@ -96,6 +96,11 @@ def test_extra_trees_learn_repeat_and_survive_storage(spark, tmp_path, classes):
         assert np.allclose([s.sum() for s in shares], 1)
 
 
+def test_extra_trees_take_any_seed(spark):
+    same = vectors(spark, [([1.0, 2.0], float(i % 2)) for i in range(10)])
+    assert {r.prediction for r in XT.ExtraTrees(numTrees=2, seed=-5).fit(same).transform(same).collect()} == {0.5}
+
+
 def test_extra_trees_of_odd_tables(spark):
     same = vectors(spark, [([1.0, 2.0], float(i % 2)) for i in range(10)])  # nothing to split
     assert {r.prediction for r in XT.ExtraTrees(numTrees=3).fit(same).transform(same).collect()} == {0.5}
