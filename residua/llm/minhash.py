@@ -149,16 +149,20 @@ def signatures(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     return source.mapInArrow(sign, SIGNATURE)
 
 
-def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `texts` with the given distinct ids; few ids are broadcast, so that no other text is moved."""
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+def _of_ids(texts: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of `texts` with the given distinct ids; few ids are broadcast, so that no other text is moved. `most`: so many ids at most, if known."""
+    few = most is not None and most <= BROADCAST_ROWS or ids.count() <= BROADCAST_ROWS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the similarity; `texts` has a text for each end. The result is stored."""
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct()
-    texts = _of_ids(texts, ids)
+    n = pairs.count()
+    if not n:  # nothing to confirm: the driver need not plan and remember the joins of texts
+        return pairs
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = _of_ids(texts, ids, most=2 * n)
     left, right = (texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 

@@ -361,6 +361,11 @@ def plain_components(rows, k, percent=80):
     return order((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in zip(ids, sets))
 
 
+def test_no_pairs_need_no_texts(spark):
+    """Where a round has no pairs, the driver plans no join of texts that it would have to remember."""
+    assert minhash.confirmed(spark.createDataFrame([], "a long, b long"), None, 5, 80).count() == 0
+
+
 def near_rows():
     rows = [(100 + i, prose(50, 60 + i % 4)) for i in range(30)]
     base = prose(60, 150).split()
